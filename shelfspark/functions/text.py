@@ -67,7 +67,7 @@ def without_markup(text: Column) -> Column:
         out = F.regexp_replace(out, pattern, by)
     cut = out
     for rule in reversed(_RULES):
-        cut = F.when(out.rlike(rule), stripped(F.element_at(F.split(out, rule, 2), 1))).otherwise(cut)
+        cut = F.when(out.rlike(rule), stripped(F.get(F.split(out, rule, 2), F.lit(0)))).otherwise(cut)
     out = cut
     for tail in _TAILS:
         out = F.regexp_replace(out, f"(?ismu){tail}", "")

@@ -95,7 +95,7 @@ def best_editions(records: DataFrame, known_works: DataFrame) -> DataFrame:
     """The best edition of each known work and language, with the ISBNs of all of them (20 at most, the best's first).
 
     Best-of is over all editions, however many there are between two of a work."""
-    rows = records.select("*", F.regexp_replace(F.element_at("works", 1)["key"], "^/works/", "").alias("work"))
+    rows = records.select("*", F.regexp_replace(F.get(F.col("works"), F.lit(0))["key"], "^/works/", "").alias("work"))
     rows = rows.join(known_works.select(F.col("open_library_id").alias("work")), "work", "left_semi")
     language = F.coalesce(language_of(F.get(F.col("languages"), F.lit(0))["key"]), F.lit("en"))
     rows = rows.withColumn("language", language).withColumn("score", edition_score())

@@ -46,9 +46,9 @@ def collaborative(cat: Catalogue, others: DataFrame | None = None) -> DataFrame:
 
 def for_you(cat: Catalogue, k: int = LIMIT) -> DataFrame:
     """0.6 genre weight + 0.25 readers among similar users, of the most of any book + 0.15 average of five."""
-    weights = P.genre_weights(cat).select("user_id", "genre_id", "weight")
+    weights = P.genre_weights(cat).select("user_id", "genre_id", "raw", "total")
     tagged = cat.book_genres.join(_shown(cat), "book_id", "left_semi")
-    genres = weights.join(tagged, "genre_id").groupBy("user_id", "book_id").agg(F.sum("weight").alias("genre_score")).join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
+    genres = weights.join(tagged, "genre_id").groupBy("user_id", "book_id").agg((F.sum("raw") / F.max("total")).alias("genre_score")).join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
     readers = collaborative(cat).withColumn("most", F.max("readers").over(Window.partitionBy("user_id")))
     part = F.coalesce(F.col("readers") / F.col("most"), F.lit(0.0))
     scored = genres.join(readers, ["user_id", "book_id"], "left").join(_shown(cat, "avg_rating"), "book_id")
@@ -118,8 +118,8 @@ def hidden_gems(cat: Catalogue, k: int = LIMIT) -> DataFrame:
 def you_might_like(cat: Catalogue, book_id: int, k: int = LIMIT) -> DataFrame:
     """For each user, books that share genres with one book, by the user's weight of these genres."""
     genres = cat.book_genres.where(F.col("book_id") == book_id).select("genre_id")
-    weights = P.genre_weights(cat).join(genres, "genre_id", "left_semi").select("user_id", "genre_id", "weight")
-    scored = weights.join(cat.book_genres.where(F.col("book_id") != book_id), "genre_id").groupBy("user_id", "book_id").agg(F.sum("weight").alias("score"))
+    weights = P.genre_weights(cat).join(genres, "genre_id", "left_semi").select("user_id", "genre_id", "raw", "total")
+    scored = weights.join(cat.book_genres.where(F.col("book_id") != book_id), "genre_id").groupBy("user_id", "book_id").agg((F.sum("raw") / F.max("total")).alias("score"))
     left = scored.join(P.excluded(cat), ["user_id", "book_id"], "left_anti").join(_shown(cat, "avg_rating"), "book_id")
     return ranked(left.withColumn("score", X.six(F.col("score"))), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
 

@@ -46,13 +46,15 @@ def shelf_weight() -> Column:
 
 
 def genre_weights(cat: Catalogue) -> DataFrame:
-    """(user_id, genre_id, weight, rank): positive sums of shelf weights, scaled to add up to one per user."""
+    """(user_id, genre_id, weight, rank, raw, total): positive sums of shelf weights, scaled to add up to one per user.
+    Sums over a user's genres are taken of raw, which is in halves and so exact in any order."""
     rated = cat.ratings.select("user_id", "book_id", "overall_rating")
     weighed = cat.bookshelves.join(rated, ["user_id", "book_id"], "left").withColumn("weight", shelf_weight())
-    sums = weighed.join(cat.book_genres, "book_id").groupBy("user_id", "genre_id").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    sums = weighed.join(cat.book_genres, "book_id").groupBy("user_id", "genre_id").agg(F.sum("weight").alias("raw")).where("raw > 0")
     user = Window.partitionBy("user_id")
-    scaled = sums.withColumn("share", F.col("weight") / F.sum("weight").over(user))
-    return scaled.select("user_id", "genre_id", F.col("share").alias("weight"), F.row_number().over(user.orderBy(F.desc("weight"), "genre_id")).alias("rank"))
+    scaled = sums.withColumn("total", F.sum("raw").over(user))
+    rank = F.row_number().over(user.orderBy(F.desc("raw"), "genre_id"))
+    return scaled.select("user_id", "genre_id", (F.col("raw") / F.col("total")).alias("weight"), rank.alias("rank"), "raw", "total")
 
 
 def anchors(cat: Catalogue) -> DataFrame:

@@ -240,7 +240,7 @@ add("c12_precompute", lambda cat: similar.precompute(cat).withColumn("similar_id
 
 EXCLUDED = "SELECT user_id, book_id FROM bookshelves WHERE status IN ('read', 'reading', 'abandoned')"
 WEIGHTS = """
-  SELECT user_id, genre_id, share AS weight, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, genre_id) AS rank FROM (SELECT *, w / sum(w) OVER (PARTITION BY user_id) AS share FROM (
+  SELECT user_id, genre_id, w / total AS weight, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, genre_id) AS rank, w, total FROM (SELECT *, sum(w) OVER (PARTITION BY user_id) AS total FROM (
     SELECT user_id, genre_id, sum(CASE WHEN status = 'read' AND overall_rating >= 4 THEN 3.0::DOUBLE WHEN status = 'read' AND overall_rating IS NOT NULL THEN 1.0 WHEN status IN ('read', 'reading') THEN 1.5 WHEN status = 'want_to_read' THEN 0.5 WHEN status = 'abandoned' THEN -1.0 ELSE 0.0 END
       + CASE WHEN is_favorite THEN 2.0 ELSE 0.0 END) AS w
     FROM bookshelves LEFT JOIN (SELECT user_id, book_id, overall_rating FROM ratings) USING (user_id, book_id) JOIN book_genres USING (book_id) GROUP BY 1, 2) WHERE w > 0)"""
@@ -309,7 +309,7 @@ add(
         "score DESC",
         similar_users=SIMILAR_USERS,
         collaborative=COLLABORATIVE,
-        genre_side="SELECT user_id, book_id, sum(weight) AS genre_score FROM weights JOIN book_genres USING (genre_id) JOIN (SELECT book_id FROM rated WHERE listable) USING (book_id) ANTI JOIN excluded USING (user_id, book_id) GROUP BY 1, 2",
+        genre_side="SELECT user_id, book_id, sum(w) / any_value(total) AS genre_score FROM weights JOIN book_genres USING (genre_id) JOIN (SELECT book_id FROM rated WHERE listable) USING (book_id) ANTI JOIN excluded USING (user_id, book_id) GROUP BY 1, 2",
     ),
 )
 add(
@@ -347,7 +347,7 @@ add(
     "p15_you_might_like",
     partial(personal.you_might_like, book_id=7),
     personal_sql(
-        "SELECT user_id, book_id, round(score, 6) AS score, avg_rating FROM (SELECT user_id, book_id, sum(weight) AS score FROM weights JOIN book_genres USING (genre_id) WHERE book_id <> 7 AND genre_id IN (SELECT genre_id FROM book_genres WHERE book_id = 7) GROUP BY 1, 2) ANTI JOIN excluded USING (user_id, book_id) JOIN (SELECT * FROM rated WHERE listable) USING (book_id)",
+        "SELECT user_id, book_id, round(score, 6) AS score, avg_rating FROM (SELECT user_id, book_id, sum(w) / any_value(total) AS score FROM weights JOIN book_genres USING (genre_id) WHERE book_id <> 7 AND genre_id IN (SELECT genre_id FROM book_genres WHERE book_id = 7) GROUP BY 1, 2) ANTI JOIN excluded USING (user_id, book_id) JOIN (SELECT * FROM rated WHERE listable) USING (book_id)",
         "score DESC, avg_rating DESC NULLS LAST",
     ),
 )

@@ -22,8 +22,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def records(text: DataFrame, kind: str, schema: str) -> DataFrame:
     """JSON records of one kind from rows (value): five fields, the first the kind, the last JSON. Lines of fewer fields
     or of damaged JSON are left out."""
-    fields = text.select(F.split("value", "\t", 5).alias("f")).where((F.size("f") == 5) & (F.element_at("f", 1) == kind))
-    return fields.select(F.from_json(F.element_at("f", 5), schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and r.key is not null").select("r.*")
+    fields = text.select(F.split("value", "\t", 5).alias("f")).where((F.size("f") == 5) & (F.get("f", 0) == kind))
+    return fields.select(F.from_json(F.get("f", 4), schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and r.key is not null").select("r.*")
 
 
 def text_value(raw: str) -> Column:
@@ -38,11 +38,11 @@ def short_key(column: str) -> Column:
 def ratings(text: DataFrame) -> DataFrame:
     """(work, rating) of lines work, anything, rating, ...; ratings that aren't whole numbers from 1 to 5 are left out."""
     f = text.select(F.split("value", "\t").alias("f")).where(F.size("f") >= 3)
-    return f.select(F.regexp_replace(F.element_at("f", 1), r"^/(works|books)/", "").alias("work"), F.element_at("f", 3).try_cast("int").alias("rating")).where("rating between 1 and 5 and work <> ''")
+    return f.select(F.regexp_replace(F.get("f", 0), r"^/(works|books)/", "").alias("work"), F.get("f", 2).try_cast("int").alias("rating")).where("rating between 1 and 5 and work <> ''")
 
 
 def reading_log(text: DataFrame) -> DataFrame:
     """(work, shelf) of lines work, anything, shelf, ...; unknown shelves are left out."""
     f = text.select(F.split("value", "\t").alias("f")).where(F.size("f") >= 3)
-    shelf = F.coalesce(*[F.when(F.trim(F.element_at("f", 3)) == name, F.lit(short)) for name, short in SHELVES.items()])
-    return f.select(F.regexp_replace(F.element_at("f", 1), r"^/(works|books)/", "").alias("work"), shelf.alias("shelf")).where("shelf is not null")
+    shelf = F.coalesce(*[F.when(F.trim(F.get("f", 2)) == name, F.lit(short)) for name, short in SHELVES.items()])
+    return f.select(F.regexp_replace(F.get("f", 0), r"^/(works|books)/", "").alias("work"), shelf.alias("shelf")).where("shelf is not null")
