@@ -1,14 +1,18 @@
 """Toxicity classifier with a counterfactual regulariser.
 
-A logistic model over the words that a text holds. In each labelled text that names a group of people, the name is
-swapped for that of another group; the model is charged for the square of the change of its score, so that a name by
-itself carries little weight and neutral mentions aren't taken for abuse. Weights are found by accelerated proximal
-gradient with an L1 penalty: of thousands of words few keep a weight, and long texts don't gather noise.
+A logistic model over the words that a text holds, and the beginnings of these words. In each labelled text that names a
+group of people, the name is swapped for that of another group; the model is charged for the square of the change of its
+score, so that a name by itself carries little weight and neutral mentions aren't taken for abuse.
+
+Features are counted by class over the training rows as a Spark job; those whose frequencies differ between the classes
+beyond chance are kept. Each enters with its log-odds ratio as its scale, and weights are found by accelerated proximal
+gradient with an L1 penalty: few features keep a weight, and long texts don't gather noise.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +25,15 @@ from pyspark.sql import functions as F
 from .common import sampled_rows
 from .quality import remainder
 
-BITS = 18
-#: Labelled rows that the model is fitted on, about: those whose hash is in the share that gives as many. Hashed words,
-#: no texts, go to the driver.
-FIT_ROWS = 12_000
+BITS = 24
+#: Labelled rows that the model is fitted on, about: those whose hash is in the share that gives as many.
+FIT_ROWS = 20_000
+#: Features that the model may use: those with the clearest difference between the classes. These reach the driver, and of each row those among them.
+MAX_FEATURES = 20_000
+#: Chi-square value of a difference that isn't taken for chance.
+LEAST_CHI2 = 6.6
+#: Lengths of the beginnings of words.
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Names of groups that are swapped for one another, in kinds; a name is only swapped within its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -40,14 +49,23 @@ IDENTITY_TERMS = (
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def index(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word, 7) & ((1 << BITS) - 1)
+def index(feature: bytes) -> int:
+    return xxhash.xxh32_intdigest(feature, 7) & ((1 << BITS) - 1)
 
 
 def words_of(data: bytes) -> set[bytes]:
     return set(WORD.findall(data.lower()))
 
 
+def word_features(word: bytes) -> list[int]:
+    letters = word.decode("utf-8", "ignore")
+    return [index(word), *(index(b"<" + letters[:n].encode()) for n in STEMS if len(letters) > n)]
+
+
+def features(words: set[bytes]) -> set[int]:
+    return {f for w in words for f in word_features(w)}
+
+
 def swaps(words: set[bytes], kinds: tuple = IDENTITY_TERMS) -> dict[bytes, bytes]:
     """The next name of its kind that the text doesn't hold, for each name of a group in it."""
     out = {}
@@ -61,19 +79,48 @@ def swaps(words: set[bytes], kinds: tuple = IDENTITY_TERMS) -> dict[bytes, bytes
     return out
 
 
-def hashed_batches(kinds: tuple):
-    """(toxic, body) to (toxic, words, words with groups swapped or null), as sorted distinct indices."""
+def both_versions(data: bytes, kinds: tuple) -> tuple[set[int], set[int] | None]:
+    """Features of a text, and of its version with groups swapped, if it names any."""
+    words = words_of(data)
+    change = swaps(words, kinds)
+    return features(words), features({change.get(w, w) for w in words}) if change else None
+
+
+def count_batches(kinds: tuple):
+    """(toxic, body) to (feature, clean, toxic, named): how many texts of each class have it, and how many swaps touch it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            keys = sorted(set().union(*counts))
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["feature", "clean", "toxic", "named"])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for toxic, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own, other = both_versions(body.as_py() or b"", kinds)
+                counts[1 if toxic else 0].update(own)
+                if other is not None:
+                    counts[2].update(own ^ other)
+            if sum(map(len, counts)) > 500_000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
+def kept_batches(kinds: tuple, kept: dict[int, int]):
+    """(toxic, body) to (toxic, own, swapped): places of the kept features of a text and of its swap, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
-            for t in batch.column(1):
-                words = words_of(t.as_py() or b"")
-                change = swaps(words, kinds)
-                own.append(sorted({index(w) for w in words}))
-                other.append(sorted({index(change.get(w, w)) for w in words}) if change else None)
+            pairs = [both_versions(t.as_py() or b"", kinds) for t in batch.column(1)]
+            places = lambda fs: None if fs is None else sorted(kept[f] for f in fs if f in kept)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, kind), pa.array(other, kind)], names=["toxic", "own", "swapped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([places(a) for a, _ in pairs], kind), pa.array([places(b) for _, b in pairs], kind)], names=["toxic", "own", "swapped"])
 
     return run
 
@@ -83,15 +130,17 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, data: bytes, seen: dict[bytes, float]) -> float:
-        """seen: weights of words met before, so that most are looked up and not hashed."""
-        total, weights = self.bias, self.weights
+    def score(self, data: bytes, seen: dict[bytes, tuple[int, ...]]) -> float:
+        """seen: weighted features of words met before, so that most are looked up and not hashed."""
+        hits: set[int] = set()
         for word in words_of(data):
-            if (w := seen.get(word)) is None:
+            if (found := seen.get(word)) is None:
                 if len(seen) > 200_000:
                     seen.clear()
-                w = seen[word] = weights.get(index(word), 0.0)
-            total += w
+                found = seen[word] = tuple(f for f in word_features(word) if f in self.weights)
+            if found:
+                hits.update(found)
+        total = self.bias + sum(self.weights[f] for f in sorted(hits))
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
 
@@ -111,48 +160,59 @@ class Bags:
         return np.bincount(self.columns, weights=r[self.row], minlength=self.width)
 
 
-def fit(own: list[list[int]], swapped: list[list[int] | None], toxic: np.ndarray, l1: float = 3e-4, fairness: float = 5.0, steps: int = 150, least: int = 5) -> Model:
-    """Logistic loss + l1 * |w| + fairness * mean((w.x - w.x')^2) over texts x that name a group and their swap x'.
-
-    Words in fewer than `least` texts that name no group are left out.
-    """
-    counts = np.bincount(np.concatenate([np.asarray(r, np.int64) for r in own]) if own else np.empty(0, np.int64), minlength=1 << BITS)
-    named = np.zeros(1 << BITS, bool)
-    for r, s in zip(own, swapped):
-        if s is not None:
-            named[list(set(r) ^ set(s))] = True
-    kept = np.flatnonzero((counts >= least) | named)
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    packed = lambda r: [p for p in place[np.asarray(r, np.int64)] if p >= 0]
-    x = Bags([packed(r) for r in own], len(kept))
-    pairs = [(packed(r), packed(s)) for r, s in zip(own, swapped) if s is not None]
-    a, b = Bags([p for p, _ in pairs], len(kept)), Bags([q for _, q in pairs], len(kept))
-    n, y = max(1, len(own)), toxic.astype(float)
+def fit(own: list[list[int]], swapped: list[list[int] | None], toxic: np.ndarray, width: int, l1: float = 2e-4, fairness: float = 5.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of `width` features, and the bias: logistic loss + l1 * |w / scale| + fairness * mean((w.x - w.x')^2)
+    over texts x that name a group and their swaps x'. A feature's scale is its log-odds ratio."""
+    x, y, n = Bags(own, width), toxic.astype(float), max(1, len(own))
+    pairs = [(a, b) for a, b in zip(own, swapped) if b is not None]
+    a, b, charge = Bags([p for p, _ in pairs], width), Bags([q for _, q in pairs], width), 2 * fairness / max(1, len(pairs))
+    n1 = y.sum()
+    odds = lambda hits, total: np.log((hits + 0.5) / (total + 1))
+    scale = odds(x.transposed_dot(y), n1) - odds(x.transposed_dot(1 - y), n - n1)
     mean = x.transposed_dot(np.ones(x.n)) / n
-    # The largest eigenvalue bounds the step; power iteration finds it.
-    v = np.ones(len(kept)) / max(1, len(kept)) ** 0.5
-    for _ in range(12):
-        u = x.transposed_dot(x.dot(v) - mean @ v) - mean * (x.dot(v) - mean @ v).sum()
-        norm = np.linalg.norm(u) or 1.0
-        v = u / norm
-    step = 1 / (0.25 * norm / n * 1.1 + 8 * fairness * (len(pairs) > 0) + 0.3)
-    w, z, bias, zb, t = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0, 1.0
+
+    def forward(u: np.ndarray) -> np.ndarray:
+        return x.dot(scale * u) - (mean * scale) @ u  # centred columns
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return scale * (x.transposed_dot(r) - mean * r.sum())
+
+    def charged(u: np.ndarray) -> np.ndarray:
+        change = a.dot(scale * u) - b.dot(scale * u)
+        return charge * scale * (a.transposed_dot(change) - b.transposed_dot(change))
+
+    top, v = 1.0, np.ones(width) / max(1, width) ** 0.5
+    for _ in range(20):  # power iteration bounds the curvature
+        u = backward(forward(v)) * 0.25 / n + charged(v)
+        top = np.linalg.norm(u) or 1.0
+        v = u / top
+    step, rate = 0.9 / top, 4.0
+    w, z, t = np.zeros(width), np.zeros(width), 1.0
+    bias = zb = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     for _ in range(steps):
-        f = x.dot(z) - mean @ z + zb  # centred columns
+        f = forward(z) + zb
         r = (1 / (1 + np.exp(-np.clip(f, -50, 50))) - y) / n
-        grad = x.transposed_dot(r) - mean * r.sum()
-        if pairs:
-            change = a.dot(z) - b.dot(z)
-            grad += 2 * fairness / len(pairs) * (a.transposed_dot(change) - b.transposed_dot(change))
-        new = z - step * grad
+        new = z - step * (backward(r) + charged(z))
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_bias = zb - min(step, 3.0) * r.sum()
+        new_bias = zb - rate * r.sum()
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, zb, t = new + (t - 1) / t2 * (new - w), new_bias + (t - 1) / t2 * (new_bias - bias), t2
         w, bias = new, new_bias
-    found = np.flatnonzero(w)
-    return Model({int(kept[i]): float(w[i]) for i in found}, float(bias - mean @ w))
+    weights = scale * w
+    return weights, float(bias - mean @ weights)
+
+
+def chosen_features(bodies: DataFrame, kinds: tuple, most: int = MAX_FEATURES) -> list[int]:
+    """Features of rows (toxic, body) whose frequencies differ between the classes, and those that swaps touch."""
+    counts = bodies.mapInArrow(count_batches(kinds), "feature long, clean long, toxic long, named long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("named").alias("named"))
+    classes = bodies.agg(F.count_if("toxic = 0").alias("n0"), F.count_if("toxic = 1").alias("n1")).first()
+    n0, n1 = float(classes["n0"]), float(classes["n1"])
+    if not n0 or not n1:
+        return []
+    c, t = F.col("c").cast("double"), F.col("t").cast("double")
+    chi2 = F.try_divide((t * (n0 - c) - c * (n1 - t)) ** 2 * (n0 + n1), n0 * n1 * (c + t) * (n0 + n1 - c - t))
+    scored = counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("chi2") >= LEAST_CHI2) & (F.col("c") + F.col("t") >= 3) | (F.col("named") > 0))
+    return [r["feature"] for r in scored.orderBy((F.col("named") == 0).cast("int"), F.desc("chi2"), "feature").limit(most).select("feature").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, **how) -> Model | None:
@@ -162,12 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tupl
     if not (total := known.count()):
         return None
     rows = sampled_rows(docs.select("doc_id", "text"), limit / total).join(known, "doc_id")
-    bodies = rows.select(F.col("toxic").cast("int"), F.col("text").cast("binary").alias("body"))
-    found = bodies.mapInArrow(hashed_batches(kinds), "toxic int, own array<int>, swapped array<int>").toArrow()
-    toxic = found.column("toxic").to_numpy()
-    if len(set(toxic.tolist())) < 2:
+    bodies = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("binary").alias("body"))
+    chosen = chosen_features(bodies, kinds)
+    if not chosen:
         return None
-    return fit(found.column("own").to_pylist(), found.column("swapped").to_pylist(), toxic, **how)
+    found = bodies.mapInArrow(kept_batches(kinds, {f: i for i, f in enumerate(chosen)}), "toxic int, own array<int>, swapped array<int>").toArrow()
+    toxic = found.column("toxic").to_numpy()
+    weights, bias = fit(found.column("own").to_pylist(), found.column("swapped").to_pylist(), toxic, len(chosen), **how)
+    return Model({f: float(w) for f, w in zip(chosen, weights) if w}, bias)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, **how) -> DataFrame:
@@ -181,7 +243,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, held:
     model = train(own(docs), own(labels), limit, kinds, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, float] = {}
+        seen: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             scores = [model.score(t.as_py() or b"", seen) if model else 0.0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
