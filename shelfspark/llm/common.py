@@ -38,6 +38,21 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def rows_with_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose number (see with_row_id) is in the one column of ids."""
+    own, kept = fresh(df, "__row"), fresh(df, "__kept_row")
+    ids = ids.toDF(kept)
+    return with_row_id(df, own).join(ids, F.col(own) == F.col(kept), "left_semi").drop(own)
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, with_row_id
+from .common import cut, lower_ascii, rows_with_ids, with_row_id
 
 CHUNK = 1 << 18
 #: A prime of 31 bits and two bases.
@@ -131,5 +131,4 @@ def mark_exact_duplicates(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIM
 
 def drop_exact_duplicates(docs: DataFrame, chunk: int = CHUNK, prime: int = PRIME) -> DataFrame:
     """The rows of docs without those whose text another, kept row has."""
-    kept = equal_texts(docs, chunk, prime).where("row_id = model_id").select(F.col("row_id").alias("__kept_row"))
-    return with_row_id(docs, "__row").join(kept, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
+    return rows_with_ids(docs, equal_texts(docs, chunk, prime).where("row_id = model_id").select("row_id"))

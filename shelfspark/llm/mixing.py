@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, unit_hash, word_count
+from .common import broadcast_if_small, cut, fresh, unit_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -66,9 +66,9 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **kinds) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, seed: str = SEED, **kinds) -> DataFrame:
     """The mix itself: every row of docs as many times as its copies say."""
-    names = docs.columns
+    source, rate, copy = (fresh(docs, c) for c in ("__source", "__rate", "__copy"))
     goal = targets(docs.select("source", word_count(F.col("text")).alias("size")), **kinds)
-    goal = goal.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
-    goal = broadcast_if_small(goal)
-    rated = docs.join(goal, docs["source"].eqNullSafe(goal["__source"]), "left")
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("__rate"), F.lit(seed), F.col("doc_id")).cast("int")))).select(*names)
+    goal = broadcast_if_small(goal.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)))
+    rated = docs.join(goal, docs["source"].eqNullSafe(goal[source]), "left")
+    times = copies(F.col(rate), F.lit(seed), F.col("doc_id")).cast("int")
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled_rows
+from .common import fresh, sampled_rows
 from .text_features import NAMES, surface
 
 #: Rows of each kind that the classifier is fitted on, about: those whose hash is in the share that gives as many. Their
@@ -94,8 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model |
     return fit(positive, unlabelled, prior)
 
 
-def score_column(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds score to the rows of docs; every other column is passed on. Null and empty texts are scored as empty ones;
+def score_column(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
+    """Adds a score of the given name to the rows of docs; every other column is passed on. Null and empty texts are scored as empty ones;
     without a model all scores are 0.5."""
     names = docs.columns
 
@@ -103,10 +103,10 @@ def score_column(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             features = np.array([surface(t.as_py() or b"") for t in batch.column(batch.num_columns - 1)]).reshape(-1, len(NAMES))
             scores = model.scores(features) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.withColumn("__body", F.col("text").cast("binary")).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn(fresh(docs, "__body"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> DataFrame:
@@ -117,12 +117,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held:
     """
     own = lambda df: df.where(remainder(F.col("doc_id"), modulus) != held)
     model = train(own(docs), own(labels), limit)
-    scored = score_column(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    scored = score_column(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the classifier doesn't reject."""
     own = lambda df: df.where(remainder(F.col("doc_id"), modulus) != held)
     model = train(own(docs), own(labels), limit)
-    return score_column(docs, model).where("__score >= 0.5").drop("__score")
+    score = fresh(docs, "__score")
+    return score_column(docs, model, score).where(F.col(score) >= 0.5).drop(score)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row_id
+from .common import cut, rows_with_ids, with_row_id
 from .components import components
 
 SHINGLE = 4
@@ -207,11 +207,11 @@ def fingerprint_links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     counted = emitted.groupBy("key").agg(F.count("*").alias("n"))
     large = cut(counted.where(F.col("n") > piece).select("key", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
     own = F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.least(o, own) * F.col("pieces") + F.greatest(o, own))
+    cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: (F.least(o, own) * F.col("pieces") + F.greatest(o, own)).cast("long"))
     if large.isEmpty():
         dealt = emitted.select("key", F.lit(0).cast("long").alias("cell"), "print")
     else:
-        dealt = emitted.join(large, "key", "left").select("key", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(cells)).cast("long").alias("cell"), "print")
+        dealt = emitted.join(large, "key", "left").select("key", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell"), "print")
     return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(link_batches, "a long, b long")
 
 
@@ -237,8 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each component keeps one: that of the smallest id."""
-    kept = near_duplicates(docs).where("keeps").select(F.col("row_id").alias("__kept_row"))
-    return with_row_id(docs, "__row").join(kept, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
+    return rows_with_ids(docs, near_duplicates(docs).where("keeps").select("row_id"))
 
 
 def hex_print(column: str = "print") -> Column:
