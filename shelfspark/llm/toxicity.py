@@ -205,7 +205,7 @@ def fit(own: list[list[int]], swapped: list[list[int] | None], toxic: np.ndarray
 def chosen_features(bodies: DataFrame, kinds: tuple, most: int = MAX_FEATURES) -> list[int]:
     """Features of rows (toxic, body) whose frequencies differ between the classes, and those that swaps touch."""
     counts = bodies.mapInArrow(count_batches(kinds), "feature long, clean long, toxic long, named long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("named").alias("named"))
-    classes = bodies.agg(F.count_if("toxic = 0").alias("n0"), F.count_if("toxic = 1").alias("n1")).first()
+    classes = bodies.agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     n0, n1 = float(classes["n0"]), float(classes["n1"])
     if not n0 or not n1:
         return []

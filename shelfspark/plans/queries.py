@@ -234,7 +234,24 @@ add(
         together=READER_PAIRS,
     ),
 )
-add("c12_precompute", lambda cat: similar.precompute(cat).withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ",")))
+SECTION_KEYS = {
+    "c01_more_by_author": ("book", "more_by_author"),
+    "c02_more_from_series": ("book", "more_from_series"),
+    "c03_similar_by_genre": ("book", "similar_by_genre"),
+    "c04_readers_also_enjoyed": ("book", "readers_also_enjoyed"),
+    "c05_authors_by_genre": ("author", "similar_by_genre"),
+    "c06_fans_also_read": ("author", "fans_also_read"),
+    "c07_series_more_by_author": ("series", "more_by_author"),
+    "c08_series_by_genre": ("series", "similar_by_genre"),
+    "c09_series_readers_also_enjoyed": ("series", "readers_also_enjoyed"),
+}
+add(
+    "c12_precompute",
+    lambda cat: similar.precompute(cat).withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ",")),
+    "\nUNION ALL ".join(
+        f"SELECT '{kind}' AS entity_type, CAST(source_id AS VARCHAR) AS entity_id, '{section}' AS section_key, string_agg(target_id, ',' ORDER BY rank) AS similar_ids FROM ({ORACLE_SQL[key]}) GROUP BY source_id" for key, (kind, section) in SECTION_KEYS.items()
+    ),
+)
 
 # ---- taste profiles and personal sections
 
@@ -356,7 +373,14 @@ add(
     partial(personal.unread_by_author, author_id=3, user_id=7),
     personal_sql("SELECT CAST(7 AS BIGINT) AS user_id, book_id, avg_rating AS score FROM book_authors JOIN (SELECT * FROM rated WHERE listable) USING (book_id) WHERE author_id = 3 AND book_id NOT IN (SELECT book_id FROM bookshelves WHERE user_id = 7)", "score DESC NULLS LAST"),
 )
-add("p17_home", personal.home)
+HOME_KEYS = ("p07_for_you", "p08_because_you_liked", "p09_continue_series", "p10_from_favorite_authors", "p11_top_in_genre", "p12_want_to_read_picks", "p13_readers_like_you", "p14_hidden_gems")
+add(
+    "p17_home",
+    personal.home,
+    f"SELECT section, user_id, rank, book_id, score FROM ({sql('SELECT user_id FROM bookshelves GROUP BY 1 HAVING count(DISTINCT book_id) >= 5')}) warm JOIN ("
+    + "\nUNION ALL ".join(f"SELECT '{key[4:]}' AS section, * FROM ({ORACLE_SQL[key]})" for key in HOME_KEYS)
+    + ") USING (user_id)",
+)
 add("p19_active_users", profile.active_users, sql("SELECT user_id FROM bookshelves GROUP BY 1 HAVING count(DISTINCT book_id) >= 5"))
 
 # ---- search
@@ -383,7 +407,30 @@ d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average)))), 6) AS score FROM p JOIN d USING (term), s GROUP BY 1
 """,
 )
-add("q06_search_books", lambda cat: search.search_books(cat, "gren small"))
+
+
+def field_sql(source: str, key: str, field: str, weight: float, query: str) -> str:
+    """BM25 of one field with typo tolerance, times its weight."""
+    asked = " UNION ALL ".join(f"SELECT '{w}' AS asked, {search.fuzzy_edits(w)} AS edits" for w in query.split())
+    return f"""(WITH t AS (SELECT {key} AS doc, regexp_extract_all(lower({field}), '[\\p{{L}}\\p{{N}}]+') AS terms FROM {source}),
+  s AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM t WHERE len(terms) > 0),
+  p AS (SELECT doc, term, length, count(*) AS tf FROM (SELECT doc, len(terms) AS length, unnest(terms) AS term FROM t) GROUP BY ALL),
+  m AS (SELECT * FROM p JOIN ({asked}) ON levenshtein(term, asked) <= edits),
+  d AS (SELECT term, count(DISTINCT doc) AS df FROM m GROUP BY 1),
+  b AS (SELECT doc, asked, max(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average)))) AS part FROM m JOIN d USING (term), s GROUP BY 1, 2)
+  SELECT doc, sum(part) * {weight}::DOUBLE AS score FROM b GROUP BY 1)"""
+
+
+def hits_sql(kind: str, source: str, key: str, title: str, fields: dict[str, float], query: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT * FROM {field_sql('docs', key, f, w, query)}" for f, w in fields.items())
+    return f"""WITH docs AS (SELECT * FROM ({source}) WHERE language = 'en')
+SELECT '{kind}' AS type, CAST(doc AS VARCHAR) AS id, {title} AS title, round(score + 4.0::DOUBLE * bayesian_score, 6) AS score FROM (SELECT doc, max(score) AS score FROM ({parts}) GROUP BY 1) JOIN docs ON docs.{key} = doc"""
+
+
+BOOK_FIELDS, NAME_FIELDS = {"title": 3.0, "authors_names": 2.0, "series_name": 1.0, "slug": 1.0}, {"name": 3.0, "slug": 1.0}
+add("q06_search_books", lambda cat: search.search_books(cat, "gren small"), hits_sql("book", ORACLE_SQL["q01_book_docs"], "book_id", "title", BOOK_FIELDS, "gren small"))
+add("q07_search_authors", lambda cat: search.search_authors(cat, "supplier"), hits_sql("author", ORACLE_SQL["q02_author_rollup"], "author_id", "name", NAME_FIELDS, "supplier"))
+add("q08_search_series", lambda cat: search.search_series(cat, "brend 23"), hits_sql("series", ORACLE_SQL["q03_series_rollup"], "series_id", "name", NAME_FIELDS, "brend 23"))
 add("q09_search", lambda cat: search.federated(cat, "green large"))
 add(
     "q10_category_search",
