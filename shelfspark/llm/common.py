@@ -86,7 +86,19 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def drawn(df: DataFrame, name: str, share: float) -> DataFrame:
+    """The rows of df (doc_id, ...) whose hash is in the given share of all hashes, with their number; repeated rows are
+    drawn one by one."""
+    hit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", name), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))
+    return with_row_id(df, name).where(hit)
+
+
 def sampled_rows(df: DataFrame, share: float) -> DataFrame:
-    """The rows of df (doc_id, ...) whose hash is in the given share of all hashes; repeated rows are drawn one by one."""
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "__drawn"), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))
-    return with_row_id(df, "__drawn").where(drawn).drop("__drawn")
+    return drawn(df, "__drawn", share).drop("__drawn")
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """The drawn rows of docs (doc_id, text) that known (doc_id, one row each, ...) has, with known's other columns.
+    Ids alone are shuffled; the numbers of the rows found then go to where the texts are read."""
+    marks = broadcast_if_small(drawn(docs.select("doc_id"), "__drawn", share).join(known, "doc_id").drop("doc_id"))
+    return with_row_id(docs.select("doc_id", "text"), "__drawn").join(marks, "__drawn").drop("__drawn")

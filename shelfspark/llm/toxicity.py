@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled_rows
+from .common import cut, labelled_sample
 from .quality import remainder
 
 BITS = 24
@@ -221,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tupl
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if not (total := known.count()):
         return None
-    rows = sampled_rows(docs.select("doc_id", "text"), limit / total).join(known, "doc_id")
-    bodies = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("binary").alias("body"))
+    rows = labelled_sample(docs, known, limit / total)
+    bodies = cut(rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("binary").alias("body")))  # `limit` texts, about
     chosen = chosen_features(bodies, kinds)
     if not chosen:
         return None
