@@ -91,6 +91,19 @@ def edition_score() -> Column:
     return X.truthy_count(isbns, F.col("number_of_pages") > 0, F.size("publishers") > 0, F.size("covers") > 0, X.filled(F.col("description")), X.filled(F.col("physical_format")))
 
 
+def first_isbns(rows: DataFrame, most: int = ISBNS) -> DataFrame:
+    """(work, language, isbn): different ISBNs of editions (work, language, score, key, isbn_13, isbn_10), those of the
+    best edition first. Each ISBN's first place is found before any of a work's are brought together, and only so many
+    of them are, whatever the number of its editions."""
+    none = F.array().cast("array<string>")
+    isbns = F.concat(F.coalesce("isbn_13", none), F.coalesce("isbn_10", none))
+    each = rows.select("work", "language", (-F.col("score")).alias("k"), "key", F.posexplode(isbns).alias("pos", "one"))
+    first = each.groupBy("work", "language", "one").agg(F.min(F.struct("k", "key", "pos")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("work", "language").orderBy("first"))
+    kept = first.withColumn("nth", nth).where(F.col("nth") <= most)
+    return kept.groupBy("work", "language").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "one"))), lambda p: p["one"]).alias("isbn"))
+
+
 def best_editions(records: DataFrame, known_works: DataFrame) -> DataFrame:
     """The best edition of each known work and language, with the ISBNs of all of them (20 at most, the best's first).
 
@@ -99,10 +112,8 @@ def best_editions(records: DataFrame, known_works: DataFrame) -> DataFrame:
     rows = rows.join(known_works.select(F.col("open_library_id").alias("work")), "work", "left_semi")
     language = F.coalesce(language_of(F.get(F.col("languages"), F.lit(0))["key"]), F.lit("en"))
     rows = rows.withColumn("language", language).withColumn("score", edition_score())
-    isbns = F.concat(F.coalesce("isbn_13", F.array().cast("array<string>")), F.coalesce("isbn_10", F.array().cast("array<string>")))
-    picked = F.struct((-F.col("score")).alias("k"), F.col("key"), isbns.alias("isbns"))
     best = F.min_by(F.struct("key", "title", "number_of_pages", "publishers", "covers", "description", "physical_format", "series", "score"), F.struct((-F.col("score")).alias("k"), F.col("key")))
-    grouped = rows.groupBy("work", "language").agg(best.alias("best"), F.array_sort(F.collect_list(picked)).alias("all"))
+    grouped = rows.groupBy("work", "language").agg(best.alias("best")).join(first_isbns(rows), ["work", "language"], "left")
     series = F.get(F.col("best.series"), F.lit(0))
     return grouped.select(
         "work",
@@ -117,7 +128,7 @@ def best_editions(records: DataFrame, known_works: DataFrame) -> DataFrame:
         X.book_format(F.col("best.physical_format")).alias("format"),
         X.series_name(series).alias("series"),
         X.clamp_position(X.series_number(series)).alias("series_position"),
-        F.slice(F.array_distinct(F.flatten("all.isbns")), 1, ISBNS).alias("isbn"),
+        F.coalesce("isbn", F.array().cast("array<string>")).alias("isbn"),
     )
 
 

@@ -165,3 +165,48 @@ def packs(cat: Catalogue, seed: int, n: int = 20, length: int = 8) -> DataFrame:
     pool = collected_pools(pools(cat, seed))
     rows = [(p, i, t, b) for p in range(n) for i, (t, b) in enumerate(open_pack(pool, seed + p, length) or [])]
     return cat.spark.createDataFrame(rows, "pack int, place int, tier string, book_id long")
+
+
+# ---- the same draws for many players at once
+
+
+def uniform_column(*parts: Column) -> Column:
+    """uniform() of columns."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def tier_at(at: Column, tiers: tuple[Tier, ...] = TIERS) -> Column:
+    """The tier of a place in [0, 1) on the chances of the tiers given, scaled to one."""
+    scaled, total = at * sum(t.chance for t in tiers), 0.0
+    out = None
+    for tier in tiers[:-1]:
+        total += tier.chance
+        out = F.when(scaled < total, tier.name) if out is None else out.when(scaled < total, tier.name)
+    return F.lit(tiers[0].name) if out is None else out.otherwise(tiers[-1].name)
+
+
+def rolls(cat: Catalogue, seed: int) -> DataFrame:
+    """The tier that each user rolls."""
+    return cat.users.select("user_id", tier_at(uniform_column(F.lit(seed), F.lit("roll"), F.col("user_id"))).alias("tier"))
+
+
+def spins(cat: Catalogue, seed: int) -> DataFrame:
+    """A spin for each user: a book from the pool of the rolled tier, or the nearest that isn't empty, and three reels:
+    that tier and two rolled among it and the rarer ones, shuffled. Pools hold sum(POOL_SIZES) books at most, so they
+    are broadcast; without any book no one spins."""
+    pool = pools(cat, seed).select("tier", "nth", "book_id")
+    sizes = pool.groupBy("tier").agg(F.count("*").alias("size"))
+    names = [t.name for t in TIERS]
+    nearest = cat.spark.createDataFrame([(t, n, i) for t in names for i, n in enumerate([t, *fallback_order(t)])], "rolled string, tier string, distance int")
+    given = nearest.join(F.broadcast(sizes), "tier").groupBy("rolled").agg(F.min_by(F.struct("tier", "size"), "distance").alias("given")).select("rolled", "given.*")
+    at = lambda what: uniform_column(F.lit(seed), F.lit(what), F.col("user_id"))
+    rolled = rolls(cat, seed).withColumnRenamed("tier", "rolled").join(F.broadcast(given), "rolled")
+    won = rolled.withColumn("nth", (F.floor(at("book") * F.col("size")) + 1).cast("int")).join(F.broadcast(pool), ["tier", "nth"])
+
+    def reel(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("tier") == t, tier_at(at(name), TIERS[: i + 1])) for i, t in enumerate(names)])
+
+    reels = {"reel-0": F.col("tier"), "reel-1": reel("reel-1"), "reel-2": reel("reel-2")}
+    placed = F.array_sort(F.array(*[F.struct(at(f"place-{k}").alias("at"), v.alias("tier")) for k, v in reels.items()]))
+    return won.select("user_id", "tier", "book_id", F.array_join(F.transform(placed, lambda p: p["tier"]), " ").alias("reels"))

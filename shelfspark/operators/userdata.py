@@ -13,9 +13,13 @@ from shelfspark.sources.catalogue import Catalogue
 
 
 def shelf_stats(cat: Catalogue) -> DataFrame:
+    return shelf_stats_of(cat.bookshelves)
+
+
+def shelf_stats_of(shelves: DataFrame) -> DataFrame:
     """Per user: books on each shelf and favourites."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return cat.bookshelves.groupBy("user_id").agg(n("want_to_read"), n("reading"), n("read"), n("abandoned"), F.count_if("is_favorite").alias("favorites"))
+    return shelves.groupBy("user_id").agg(n("want_to_read"), n("reading"), n("read"), n("abandoned"), F.count_if("is_favorite").alias("favorites"))
 
 
 def rating_counts(cat: Catalogue) -> DataFrame:

@@ -540,6 +540,32 @@ add(
     sql(f"SELECT book_id, tier, title FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5(book_id || ':42'), book_id) AS nth FROM tiered WHERE tier IS NOT NULL AND book_id <> 11) WHERE nth <= {SLOTS} + 24 ORDER BY nth > {SLOTS}, md5(book_id || ':42'), book_id LIMIT 24", tiered=TIERED),
 )
 add("g08_packs", partial(sampling.packs, seed=SEED))
+UNIFORM = "(('0x' || substr(md5('42:{}:' || user_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+def tier_sql(what: str, tiers: tuple[sampling.Tier, ...] = sampling.TIERS) -> str:
+    """The tier that a user rolls for something, among the tiers given."""
+    upto = [sum(t.chance for t in tiers[: i + 1]) for i in range(len(tiers))]
+    return "CASE " + " ".join(f"WHEN {UNIFORM.format(what)} * {upto[-1]!r}::DOUBLE < {c!r}::DOUBLE THEN '{t.name}'" for t, c in zip(tiers, upto)) + f" ELSE '{tiers[-1].name}' END"
+
+
+add("g03_rolls", partial(sampling.rolls, seed=SEED), sql(f"SELECT user_id, {tier_sql('roll')} AS tier FROM users"))
+NEAREST = ", ".join(f"('{t.name}', '{n}', {i})" for t in sampling.TIERS for i, n in enumerate([t.name, *sampling.fallback_order(t.name)]))
+REELS = {k: "CASE tier " + " ".join(f"WHEN '{t.name}' THEN {tier_sql(k, sampling.TIERS[: i + 1])}" for i, t in enumerate(sampling.TIERS)) + " END" for k in ("reel-1", "reel-2")}
+add(
+    "g10_slots",
+    partial(sampling.spins, seed=SEED),
+    sql(
+        f"""
+SELECT user_id, tier, book_id, array_to_string(list_transform(list_sort([
+    {{'at': {UNIFORM.format('place-reel-0')}, 'tier': tier}}, {{'at': {UNIFORM.format('place-reel-1')}, 'tier': {REELS['reel-1']}}}, {{'at': {UNIFORM.format('place-reel-2')}, 'tier': {REELS['reel-2']}}}]), lambda p: p.tier), ' ') AS reels
+FROM (SELECT user_id, {tier_sql('roll')} AS rolled FROM users)
+JOIN (SELECT rolled, arg_min(tier, distance) AS tier, arg_min(size, distance) AS size FROM (VALUES {NEAREST}) n(rolled, tier, distance) JOIN (SELECT tier, count(*) AS size FROM pool GROUP BY 1) USING (tier) GROUP BY 1) USING (rolled)
+JOIN pool USING (tier) WHERE nth = CAST(floor({UNIFORM.format('book')} * size) AS BIGINT) + 1""",
+        tiered=TIERED,
+        pool=f"SELECT tier, nth, book_id FROM (SELECT tier, book_id, row_number() OVER (PARTITION BY tier ORDER BY md5(book_id || ':42'), book_id) AS nth FROM tiered WHERE tier IS NOT NULL) WHERE nth <= {SIZES}",
+    ),
+)
 
 # ---- user data
 
@@ -659,6 +685,48 @@ add(
     sql("SELECT user_id FROM bookshelves WHERE book_id % 50 = 0 UNION SELECT user_id FROM ratings WHERE book_id % 50 = 0 UNION SELECT user_id FROM comments WHERE book_id % 50 = 0"),
 )
 
+# ---- incremental work: what it has made of a table when it has gone through it
+
+
+def _reindexed(cat: Catalogue) -> DataFrame:
+    """Events in the pass that indexes them: those there at first, then those changed since."""
+    events = cat.table("events").select("event_id", "ts")
+    half = events.where("ts < timestamp_ntz'2024-01-15'")
+    first, mark = counters.changed_since(half, "ts", None)
+    then, _ = counters.changed_since(events, "ts", mark)
+    return first.select("event_id", F.lit(1).alias("pass")).unionByName(then.select("event_id", F.lit(2).alias("pass")))
+
+
+add("m02_changed_since", _reindexed, "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 1 ELSE 2 END AS pass FROM events")
+
+
+def _streamed(cat: Catalogue, table: str, sink: Callable[[str], Callable[[DataFrame, int], None]], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table that a sink has made of another, streamed."""
+    shared = cat.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shelfspark-')}"
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = cat.spark.readStream.schema(cat.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(cat.sf_dir)
+    counters.drain(change(stream), sink(f"{root}/table"), f"{root}/checkpoint", "append")
+    return cat.spark.read.parquet(f"{root}/table")
+
+
+add(
+    "m06_best_lines",
+    lambda cat: _streamed(
+        cat,
+        "lineitem",
+        lambda path: counters.fold_best(path, ["book_id"], ["less", "l_orderkey", "l_linenumber"]),
+        lambda lines: lines.select(F.col("l_partkey").alias("book_id"), (-F.col("l_quantity")).alias("less"), "l_orderkey", "l_linenumber"),
+    ).select("book_id", "l_orderkey", "l_linenumber"),
+    "SELECT l_partkey AS book_id, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) = 1",
+)
+add(
+    "m07_touched_stats",
+    lambda cat: _streamed(
+        cat, "events", lambda path: counters.recompute_touched(lambda: cat.bookshelves, userdata.shelf_stats_of, "user_id", path), lambda events: events.where("event_type = 'purchase'").select("user_id")
+    ),
+    sql("SELECT shelf_stats.* FROM shelf_stats WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')", **STAT_TABLES),
+)
+
 # ---- streaming: what a stream over the events has counted when it has drained them
 
 
@@ -675,3 +743,8 @@ def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["m03_view_counts"] = _drained
 ORACLE_SQL["m03_view_counts"] = """
 SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id, count(*) AS view_count, epoch_us(max(ts)) AS last_viewed FROM events WHERE event_type = 'view' GROUP BY 1"""
+
+from shelfspark.plans import imports  # noqa: E402
+
+QUERIES |= imports.QUERIES
+ORACLE_SQL |= imports.ORACLE_SQL

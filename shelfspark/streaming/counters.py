@@ -56,6 +56,25 @@ def fold_counts(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def fold_best(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps, for each key, the row that comes first by the order, over all batches so far. The first of
+    firsts is the first, so neither the cut into batches nor a batch that is delivered twice changes the table."""
+
+    def best(rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__best")).select(*keys, *[F.col("__best")[c].alias(c) for c in others])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        new = best(batch)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            new = best(spark.read.parquet(path).unionByName(new))
+        replace(new, path)
+
+    return sink
+
+
 def recompute_touched(source: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], key: str, path: str) -> Callable[[DataFrame, int], None]:
     """A sink that recomputes statistics of the keys in a batch of changes from the whole source, and leaves the rest of
     the table at path alone."""

@@ -19,7 +19,7 @@ def connection(sf_dir: str = SMALL):
 
 def comparable(df: pd.DataFrame) -> list[tuple]:
     def one(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "\0null"
         if isinstance(value, bool) or type(value).__name__ == "bool_":
             return bool(value)

@@ -346,6 +346,28 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted(rows(spark.read.parquet(f"{root}/t"), "entity_id", "view_count")) == [(1, 3), (2, 1), (3, 1)]
 
 
+def test_the_best_row_does_not_depend_on_batches(spark, tmp_path):
+    sink = counters.fold_best(f"file://{tmp_path}/best", ["k"], ["less", "id"])
+    batches = [[("a", 3, 1), ("a", 2, 2), ("b", 5, 3)], [("a", 2, 1), ("c", 1, 9)], [("b", 6, 1)]]
+    for i in (0, 1, 1, 2):
+        sink(spark.createDataFrame(batches[i], "k string, less int, id int"), i)
+    assert sorted(rows(spark.read.parquet(f"file://{tmp_path}/best"), "k", "less", "id")) == [("a", 2, 1), ("b", 5, 3), ("c", 1, 9)]
+
+
+def test_isbns_keep_their_first_place_and_stop_at_twenty(spark):
+    many = [("w", "en", 9 - i, f"k{i}", [f"i{2 * i}", f"i{2 * i + 1}", "i0"], None) for i in range(12)] + [("v", "en", 1, "k", None, None)]
+    found = ingest.first_isbns(spark.createDataFrame(many, "work string, language string, score int, key string, isbn_13 array<string>, isbn_10 array<string>"))
+    assert rows(found, "work", "isbn") == [("w", [f"i{i}" for i in range(20)])]
+
+
+def test_slots_use_the_nearest_pool_and_rarer_reels(spark):
+    cat = catalogue(spark, books=[book(i, rating_count=30, avg_rating=3.9) for i in range(1, 6)], users=[(i, f"u{i}") for i in range(60)])
+    found = rows(sampling.spins(cat, 7), "user_id", "tier", "book_id", "reels")
+    assert len(found) == 60 and {t for _, t, _, _ in found} == {"rare"} and {b for _, _, b, _ in found} == {1, 2, 3, 4, 5}
+    assert all(r.split().count("rare") >= 1 and set(r.split()) <= {"legendary", "ultra_rare", "super_rare", "rare"} for *_, r in found)
+    assert rows(sampling.spins(catalogue(spark, users=[(1, "u")]), 7)) == []
+
+
 def test_touched_keys_are_recomputed(spark, tmp_path):
     path = f"file://{tmp_path}/stats"
     source = spark.createDataFrame([(1, 1, 4.0), (2, 1, 5.0), (1, 2, 3.0)], "user_id long, book_id long, overall_rating double")
