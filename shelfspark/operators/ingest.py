@@ -93,13 +93,13 @@ def edition_score() -> Column:
 
 def first_isbns(rows: DataFrame, most: int = ISBNS) -> DataFrame:
     """(work, language, isbn): different ISBNs of editions (work, language, score, key, isbn_13, isbn_10), those of the
-    best edition first. Each ISBN's first place is found before any of a work's are brought together, and only so many
-    of them are, whatever the number of its editions."""
+    best edition first (by place in it, then by ISBN, where editions share their key). Each ISBN's first place is found
+    before any of a work's are brought together, and only so many of them are, whatever the number of its editions."""
     none = F.array().cast("array<string>")
     isbns = F.concat(F.coalesce("isbn_13", none), F.coalesce("isbn_10", none))
     each = rows.select("work", "language", (-F.col("score")).alias("k"), "key", F.posexplode(isbns).alias("pos", "one"))
     first = each.groupBy("work", "language", "one").agg(F.min(F.struct("k", "key", "pos")).alias("first"))
-    nth = F.row_number().over(Window.partitionBy("work", "language").orderBy("first"))
+    nth = F.row_number().over(Window.partitionBy("work", "language").orderBy("first", "one"))
     kept = first.withColumn("nth", nth).where(F.col("nth") <= most)
     return kept.groupBy("work", "language").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "one"))), lambda p: p["one"]).alias("isbn"))
 

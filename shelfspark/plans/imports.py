@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
-from shelfspark.operators import ingest
+from shelfspark.operators import ingest, merge
+from shelfspark.plans.oracle import sql
 from shelfspark.sources import dumps
 from shelfspark.sources.catalogue import Catalogue
 
@@ -68,6 +69,35 @@ add(
     f"SELECT * FROM ({AUTHORS}) WHERE score >= 2",
 )
 
+
+
+def _known_authors(cat: Catalogue) -> DataFrame:
+    """Authors of even number as a table that was there before the import."""
+    s = F.col("s_suppkey")
+    return cat.table("supplier").where(s % 2 == 0).select(
+        X.slug_ascii(F.col("s_name")).alias("slug"), F.lit("old").alias("open_library_id"), F.when(s % 4 == 0, "old bio").alias("bio"), F.when(s % 3 == 0, "old photo").alias("photo_url"), s.cast("string").alias("view_count")
+    )
+
+
+add(
+    "k07_merge_authors",
+    lambda cat: ingest.merge_authors(_known_authors(cat), imported_authors(cat)),
+    f"""
+SELECT slug, coalesce(n.open_library_id, o.open_library_id) AS open_library_id, coalesce(o.bio, n.bio) AS bio, coalesce(o.photo_url, n.photo_url) AS photo_url, CAST(view_count AS VARCHAR) AS view_count
+FROM (SELECT regexp_replace(lower(s_name), '[^a-z0-9_-]', '', 'g') AS slug, 'old' AS open_library_id, CASE WHEN s_suppkey % 4 = 0 THEN 'old bio' END AS bio, CASE WHEN s_suppkey % 3 = 0 THEN 'old photo' END AS photo_url, s_suppkey AS view_count FROM supplier WHERE s_suppkey % 2 = 0) o
+FULL JOIN (SELECT * FROM ({AUTHORS}) WHERE score >= 2) n USING (slug)""",
+)
+add(
+    "k10_insert_links",
+    lambda cat: merge.insert_links(cat.book_authors, cat.book_authors.select((F.col("book_id") + 1).alias("book_id"), "author_id")),
+    sql("SELECT book_id, author_id FROM book_authors UNION SELECT book_id + 1, author_id FROM book_authors"),
+)
+add(
+    "e10_enrichment",
+    lambda cat: ingest.enrichment_candidates(cat.books),
+    sql("SELECT book_id, title FROM books WHERE description IS NULL OR length(description) < 100 ORDER BY ol_already_read_count DESC NULLS LAST, book_id LIMIT 5"),
+)
+
 # ---- works
 
 
@@ -175,9 +205,10 @@ add(
     ).select("work", F.array_join("isbn", "|").alias("isbn")),
     """
 SELECT work, string_agg(isbn, '|' ORDER BY nth) AS isbn FROM (
-  SELECT work, isbn, row_number() OVER (PARTITION BY work ORDER BY min(place)) AS nth FROM (
-    SELECT l_partkey AS work, unnest([CAST(l_suppkey AS VARCHAR), l_returnflag]) AS isbn, unnest([0, 1]) + 2 * row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber DESC, l_orderkey) AS place FROM lineitem)
-  GROUP BY work, isbn) WHERE nth <= 20 GROUP BY work""",
+  SELECT work, isbn, row_number() OVER (PARTITION BY work ORDER BY first, isbn) AS nth FROM (
+    SELECT work, isbn, min({'k': -n, 'key': o, 'pos': pos}) AS first
+    FROM (SELECT l_partkey AS work, l_linenumber AS n, l_orderkey AS o, unnest([CAST(l_suppkey AS VARCHAR), l_returnflag]) AS isbn, unnest([0, 1]) AS pos FROM lineitem) GROUP BY work, isbn))
+WHERE nth <= 20 GROUP BY work""",
 )
 
 # ---- ratings and reading logs
