@@ -98,6 +98,13 @@ def delete_books(tables: dict[str, DataFrame], book_ids: DataFrame) -> tuple[dic
     return left, out
 
 
+def unlink_series(books: DataFrame, series: DataFrame) -> DataFrame:
+    """Books of which those in deleted series (series_id) have no series and no place in one."""
+    gone = series.select("series_id").distinct().withColumn("__gone", F.lit(True))
+    joined = books.join(gone, "series_id", "left")
+    return joined.select(*[F.when(F.col("__gone"), None).otherwise(F.col(c)).alias(c) if c in ("series_id", "series_position") else F.col(c) for c in books.columns])
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Writes df beside the folder at path and swaps them; readers of the old files finish undisturbed."""
     spark = df.sparkSession

@@ -92,6 +92,11 @@ add(
     lambda cat: merge.insert_links(cat.book_authors, cat.book_authors.select((F.col("book_id") + 1).alias("book_id"), "author_id")),
     sql("SELECT book_id, author_id FROM book_authors UNION SELECT book_id + 1, author_id FROM book_authors"),
 )
+add(
+    "k23_delete_series",
+    lambda cat: merge.unlink_series(cat.books.select("book_id", "series_id", "series_position"), cat.books.where("book_id % 30 = 0").select("series_id")),
+    sql("SELECT book_id, CASE WHEN gone IS NULL THEN series_id END AS series_id, CASE WHEN gone IS NULL THEN series_position END AS series_position FROM books LEFT JOIN (SELECT DISTINCT series_id AS gone FROM books WHERE book_id % 30 = 0) ON gone = series_id"),
+)
 add(
     "e10_enrichment",
     lambda cat: ingest.enrichment_candidates(cat.books),
