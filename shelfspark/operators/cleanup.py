@@ -58,6 +58,11 @@ def small_series(cat: Catalogue, few: int = FEW_SERIES_BOOKS) -> DataFrame:
     return sums.where((F.col("books") <= few) | (nameless & (F.col("ratings") == 0) & (F.col("readers") == 0))).select("series_id", "books")
 
 
+def unlinked_genres(cat: Catalogue) -> DataFrame:
+    """Genres without a link in the whole table."""
+    return orphan_genres(cat.genres, cat.book_genres)
+
+
 def orphan_genres(genres: DataFrame, book_genres: DataFrame) -> DataFrame:
     return genres.join(book_genres, "genre_id", "left_anti").select("genre_id")
 

@@ -633,6 +633,7 @@ add(
     lambda cat: cleanup.orphan_genres(cat.genres, cat.book_genres.join(cat.books.where("language = 'de' and book_id < 400").select("book_id"), "book_id")),
     sql("SELECT genre_id FROM genres WHERE genre_id NOT IN (SELECT genre_id FROM book_genres JOIN books USING (book_id) WHERE language = 'de' AND book_id < 400)"),
 )
+add("d04b_unlinked_genres", cleanup.unlinked_genres, sql("SELECT genre_id FROM genres WHERE genre_id NOT IN (SELECT genre_id FROM book_genres)"))
 add("d05_small_genres", partial(cleanup.small_genres, few=250), sql("SELECT genre_id, count(*) AS books FROM book_genres GROUP BY 1 HAVING count(*) <= 250"))
 add("d06_invalid_genres", lambda cat: cleanup.invalid_genres(cat.genres.withColumn("name", F.replace("name", F.lit("Size"), F.lit("Size #")))), sql("SELECT genre_id FROM genres WHERE contains(genre_id, 'size')"))
 
