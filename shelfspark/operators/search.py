@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
+from shelfspark.functions.stem import stem as stem_of
 from shelfspark.sources.catalogue import Catalogue
 
 K1, B = 1.2, 0.75
@@ -22,9 +23,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def postings(docs: DataFrame, doc: str, field: str) -> DataFrame:
-    """(doc, term, tf, length) of one text field."""
-    all_terms = docs.select(F.col(doc).alias("doc"), terms(F.col(field)).alias("terms")).withColumn("length", F.size("terms"))
+def stemmed(words: Column) -> Column:
+    """English stems of an array of terms."""
+    return F.udf(lambda found: [stem_of(w) for w in found], "array<string>", useArrow=True)(words)
+
+
+def postings(docs: DataFrame, doc: str, field: str, stem: bool = False) -> DataFrame:
+    """(doc, term, tf, length) of one text field; with stem, terms are English stems."""
+    found = stemmed(terms(F.col(field))) if stem else terms(F.col(field))
+    all_terms = docs.select(F.col(doc).alias("doc"), found.alias("terms")).withColumn("length", F.size("terms"))
     return all_terms.select("doc", "length", F.explode("terms").alias("term")).groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
 
 
@@ -39,16 +46,17 @@ def fuzzy_edits(term: str) -> int:
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
-def bm25(docs: DataFrame, doc: str, field: str, query: str, fuzzy: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, doc: str, field: str, query: str, fuzzy: bool = False, stem: bool = False) -> DataFrame:
     """(doc, score) of documents with a term of the query, or one near it.
 
     The index is narrowed to the query's terms before anything is shuffled; document frequencies come from the narrowed
     rows. A term found through edits counts once for each query term, at its best."""
-    wanted = sorted(set(re.findall(r"\w+", query.lower())))
+    asked = re.findall(r"\w+", query.lower())
+    wanted = sorted({stem_of(w) for w in asked} if stem else set(asked))
     if not wanted:
         return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
     n, average = field_lengths(docs, field)
-    found = postings(docs, doc, field)
+    found = postings(docs, doc, field, stem)
     near = [F.when(F.levenshtein(F.col("term"), F.lit(w), fuzzy_edits(w)).between(0, fuzzy_edits(w)) if fuzzy else F.col("term") == w, F.lit(w)) for w in wanted]
     matched = found.withColumn("asked", F.explode(F.array_compact(F.array(*near))))
     frequency = matched.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("df"))
@@ -59,9 +67,9 @@ def bm25(docs: DataFrame, doc: str, field: str, query: str, fuzzy: bool = False)
     return per_asked.groupBy("doc").agg(F.sum("part").alias("score"))
 
 
-def best_field(docs: DataFrame, doc: str, fields: dict[str, float], query: str, fuzzy: bool = True) -> DataFrame:
+def best_field(docs: DataFrame, doc: str, fields: dict[str, float], query: str, fuzzy: bool = True, stemmed_fields: tuple[str, ...] = ()) -> DataFrame:
     """(doc, score): the best of the fields' scores, each times its weight."""
-    parts = [bm25(docs, doc, field, query, fuzzy).withColumn("score", F.col("score") * weight) for field, weight in fields.items()]
+    parts = [bm25(docs, doc, field, query, fuzzy, field in stemmed_fields).withColumn("score", F.col("score") * weight) for field, weight in fields.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.max("score").alias("score"))
 
 
@@ -91,13 +99,15 @@ def series_documents(cat: Catalogue) -> DataFrame:
     return _rollup(cat.books.where("series_id is not null"), "series_id", "language").withColumn("name", F.col("series_id")).withColumn("slug", F.lower(F.replace("series_id", F.lit(" "), F.lit("-"))))
 
 
-def _hits(docs: DataFrame, kind: str, key: str, title: str, fields: dict[str, float], query: str) -> DataFrame:
-    scored = best_field(docs, key, fields, query).join(docs.withColumnRenamed(key, "doc"), "doc")
+def _hits(docs: DataFrame, kind: str, key: str, title: str, fields: dict[str, float], query: str, stemmed_fields: tuple[str, ...] = ()) -> DataFrame:
+    scored = best_field(docs, key, fields, query, stemmed_fields=stemmed_fields).join(docs.withColumnRenamed(key, "doc"), "doc")
     return scored.select(F.lit(kind).alias("type"), F.col("doc").cast("string").alias("id"), F.col(title).alias("title"), X.six(F.col("score") + BOOST * F.col("bayesian_score")).alias("score"))
 
 
-def search_books(cat: Catalogue, query: str, language: str = "en") -> DataFrame:
-    return _hits(book_documents(cat).where(F.col("language") == language), "book", "book_id", "title", {"title": 3.0, "authors_names": 2.0, "series_name": 1.0, "slug": 1.0}, query)
+def search_books(cat: Catalogue, query: str, language: str = "en", stem: bool = True) -> DataFrame:
+    """Hits among books; titles, authors and series are compared by English stems unless stem is false, slugs never are."""
+    stems = ("title", "authors_names", "series_name") if stem else ()
+    return _hits(book_documents(cat).where(F.col("language") == language), "book", "book_id", "title", {"title": 3.0, "authors_names": 2.0, "series_name": 1.0, "slug": 1.0}, query, stems)
 
 
 def search_authors(cat: Catalogue, query: str, language: str = "en") -> DataFrame:
