@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset (tests)."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='shelfspark-')}"
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -32,10 +32,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a row number that hold the place in the file, for a few files and for very many; the rest tells files apart.
+PLACE_BITS, MANY_FILES_PLACE_BITS, MANY_FILES = 32, 24, 50_000
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "file:/", path)
+
+
+def file_salt(paths: list[str], bits: int) -> int:
+    """The first salt with which no two paths have the same `bits` highest hash bits."""
+    for salt in range(1000):
+        if len({xxhash.xxh64_intdigest(f"{salt}:{p}", 42) >> (64 - bits) for p in paths}) == len(paths):
+            return salt
+    raise ValueError(f"{len(paths)} files can't be told apart by {bits} bits")
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Adds a number that tells equal rows apart. df has to be a plain read of files: their splits, and so the
-    numbers, are the same each time the plan runs."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds a number that tells equal rows apart and doesn't depend on how files are split: it is made of the row's file
+    and place there, so each job that reads df again gives the same rows the same numbers.
+
+    df is a Parquet read, at most selected and filtered. Rows that come from elsewhere are numbered once and written to
+    the shared folder with their numbers."""
+    try:
+        where = df.metadataColumn("_metadata")
+        df.select(where["file_path"], where["row_index"])
+    except AnalysisException:
+        return cut(df.withColumn(name, F.monotonically_increasing_id()))
+    paths = sorted({_plain(p) for p in df.inputFiles()})
+    place = PLACE_BITS if len(paths) <= MANY_FILES else MANY_FILES_PLACE_BITS
+    salt = file_salt(paths, 63 - place)
+    path = F.regexp_replace(where["file_path"], "^file:/+", "file:/")
+    number = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit(f"{salt}:"), path)), place + 1)
+    at = where["row_index"]
+    fits = F.when(at < F.lit(1 << place), at).otherwise(F.raise_error(F.lit(f"a file has more than 2^{place} rows")).cast("long"))
+    return df.withColumn(name, F.shiftleft(number, place) + fits)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -46,11 +77,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def rows_with_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose number (see with_row_id) is in the one column of ids."""
-    own, kept = fresh(df, "__row"), fresh(df, "__kept_row")
-    ids = ids.toDF(kept)
-    return with_row_id(df, own).join(ids, F.col(own) == F.col(kept), "left_semi").drop(own)
+def numbered(docs: DataFrame, *columns: Column | str, row_id: str | None = None) -> DataFrame:
+    """(row_id, *columns) of docs: the numbers are those of the column named row_id, or new ones (see with_row_id)."""
+    if row_id:
+        return docs.select(F.col(row_id).alias("row_id"), *columns)
+    return with_row_id(docs.select(*columns), "row_id").select("row_id", *[F.col(c) if isinstance(c, str) else c for c in columns])
+
+
+def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The rows whose number (column name) isn't in the one column of gone, without their numbers."""
+    out = fresh(rows, "__gone_row")
+    gone = broadcast_if_small(gone.toDF(out), SMALL_IDS)
+    return rows.join(gone, F.col(name) == F.col(out), "left_anti").drop(name)
 
 
 def utf8_size(text: Column) -> Column:
@@ -76,8 +114,8 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-#: Rows that are broadcast at most.
-SMALL_ROWS = 100_000
+#: Rows that are broadcast at most, and rows of a few numbers each (24 MB of them, about 100 MB as a hash table).
+SMALL_ROWS, SMALL_IDS = 100_000, 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_with_ids, with_row_id
+from .common import broadcast_if_small, cut, fresh, numbered, with_row_id, without_rows
 from .components import components
 
 SHINGLE = 4
@@ -215,29 +215,35 @@ def fingerprint_links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(link_batches, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of docs (doc_id, text, ...): row_id, doc_id, print, component_id (smallest doc_id linked to
-    it, itself included), keeps (true for one row of each component).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, row_id: str | None = None) -> DataFrame:
+    """One row for each row of docs (doc_id, text, ...): row_id (that of the column named so, or a new one), doc_id,
+    print, component_id (smallest doc_id linked to it, itself included), keeps (true for one row of each component).
 
-    Null and blank texts have fingerprint 0 and are linked like any other; null ids never are the smallest, a component
-    of none but null ids has the id null; repeated rows are in one component; an empty table gives no rows; other
-    columns are not looked at.
+    Null and blank texts have fingerprint 0 and are linked like any other; long texts are hashed whole, some shingles at
+    a time; null ids never are the smallest, a component of none but null ids has the id null; repeated rows are in one
+    component; an empty table gives no rows; other columns are not looked at.
     """
     if shingle != SHINGLE:
         raise ValueError("fingerprints are of four-word shingles")
-    rows = with_row_id(docs.select("doc_id", "text"), "row_id").select("row_id", "doc_id", F.col("text").cast("binary").alias("body"))
+    rows = numbered(docs, "doc_id", "text", row_id=row_id).select("row_id", "doc_id", F.col("text").cast("binary").alias("body"))
     rows = cut(rows.mapInArrow(fingerprint_batches, "row_id long, doc_id long, print long"))
     prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")))
     linked = components(fingerprint_links(prints)).withColumnsRenamed({"node": "print"})
-    grouped = prints.join(linked, "print", "left").withColumn("component", F.coalesce("component", "print"))
-    ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first")["row_id"].alias("kept_row"))
-    by_print = grouped.join(ids, "component").select("print", "component_id", "kept_row")
+    members = cut(prints.join(linked, "print"))
+    ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("first")["row_id"].alias("kept_row"))
+    # Written first: the join with a hot component is then between two exchanges, which adaptive execution can split.
+    named = members.join(broadcast_if_small(ids), "component").select("print", "component_id", "kept_row")
+    by_print = cut(prints.join(named, "print", "left").select("print", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept_row", "first.row_id").alias("kept_row")))
     return rows.join(by_print, "print").select("row_id", "doc_id", "print", "component_id", (F.col("row_id") == F.col("kept_row")).alias("keeps"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which each component keeps one: that of the smallest id."""
-    return rows_with_ids(docs, near_duplicates(docs).where("keeps").select("row_id"))
+    """The rows of docs (doc_id, text, ...) of which each component keeps one, that of the smallest id; all columns as
+    they are. Nulls, blanks and repeats as in near_duplicates; an empty table stays empty; columns of any name are
+    passed on."""
+    name = fresh(docs, "__row")
+    rows = with_row_id(docs, name)
+    return without_rows(rows, name, near_duplicates(rows, row_id=name).where("not keeps").select("row_id"))
 
 
 def hex_print(column: str = "print") -> Column:

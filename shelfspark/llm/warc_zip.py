@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, with_row_id
+from .common import SMALL_IDS, broadcast_if_small, cut, shared_dir, with_row_id
 
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -161,7 +161,7 @@ def warc_record(row: dict) -> bytes:
         ("Payload-Length", str(len(payload))),
     ]
     if revisit:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(row["refers_to"], row["row_id"]))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(row["refers_to"], row["refers_row"]))]
     body = b"" if revisit else payload
     headers.append(("Content-Length", str(len(body))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
@@ -175,8 +175,8 @@ def parse_record(data: bytes) -> dict:
         raise ValueError("not a WARC record")
     fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines if ": " in line)}
     body = rest[: int(fields["content-length"])]
-    number = lambda urn: None if "null" in urn else int(urn.strip("<>").rpartition(":")[2])
-    revisit, stated = fields["warc-type"] == "revisit", fields["warc-payload-digest"].removeprefix("sha1:")
+    number = lambda urn: int(last) if (last := urn.strip("<>").removeprefix("urn:page:")).removeprefix("-").isdecimal() else None
+    revisit, stated = fields["warc-type"] == "revisit", fields.get("warc-payload-digest", f"sha1:{digest(body)}").removeprefix("sha1:")
     if not revisit and digest(body) != stated:
         raise ValueError(f"{fields['warc-record-id']}: the payload doesn't match its digest")
     return {
@@ -184,9 +184,9 @@ def parse_record(data: bytes) -> dict:
         "url": fields.get("warc-target-uri", ""),
         "record_type": fields["warc-type"],
         "payload": None if revisit else body,
-        "payload_bytes": int(fields["payload-length"]) if revisit else len(body),
+        "payload_bytes": int(fields.get("payload-length", 0)) if revisit else len(body),
         "payload_digest": stated,
-        "refers_to": number(fields["warc-refers-to"]) if revisit else None,
+        "refers_to": number(fields.get("warc-refers-to", "")) if revisit else None,
     }
 
 
@@ -221,19 +221,28 @@ def write_package(out, rows: Iterable[dict], zip64: bool) -> int:
     return total
 
 
+def repeated_payloads(keyed: DataFrame) -> DataFrame:
+    """(row_id, refers_to, refers_row) of rows (row_id, page_id, sha1) whose digest an earlier one has: the row to which
+    each refers. Rows in order of page_id, null last, then of row_id; null digests aren't compared. Payloads take no part."""
+    own = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row_id")
+    ids = cut(keyed.where("sha1 is not null").select("row_id", "page_id", F.unhex("sha1").alias("sha1")))
+    first = ids.groupBy("sha1").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    found = ids.select("row_id", "sha1").join(broadcast_if_small(first), "sha1").where(F.col("row_id") != F.col("first.row_id"))
+    return found.select("row_id", F.col("first.page_id").alias("refers_to"), F.col("first.row_id").alias("refers_row"))
+
+
 def write_archives(pages: DataFrame, root: str, least: int = 0, zip64: bool = True) -> DataFrame:
     """Writes each row of pages (page_id, url, html, ...) as a record to packages under root, one for each task; gives
-    (path, records). Of equal payloads of `least` bytes or more, that with the smallest page_id is the response.
+    (path, records). Of equal payloads of `least` bytes or more, that with the smallest page_id is the response. Only
+    digests and row numbers are compared between tasks; payloads stay where they are read, unless there are more
+    revisits than broadcast_if_small takes.
 
     A task writes under a name of its own attempt and renames it when done, so one that runs again replaces its package.
     """
     named = with_row_id(pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")), "row_id")
-    own = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "row_id")
-    keyed = named.withColumn("sha1", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    first = keyed.where("sha1 is not null").groupBy("sha1").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    rows = keyed.join(first, "sha1", "left").select(
-        "page_id", "url", "payload", "row_id", (F.col("first").isNotNull() & (F.col("first.row_id") != F.col("row_id"))).alias("revisit"), F.col("first.page_id").alias("first_id")
-    )
+    keyed = named.select("row_id", "page_id", F.when(F.octet_length("payload") >= least, F.sha1("payload")).alias("sha1"))
+    marks = broadcast_if_small(repeated_payloads(keyed), SMALL_IDS)
+    rows = named.join(marks, "row_id", "left").select("page_id", "url", "payload", "row_id", F.col("refers_row").isNotNull().alias("revisit"), "refers_to", "refers_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -246,7 +255,7 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, zip64: bool = Tr
         def records() -> Iterator[dict]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    yield {**r, "refers_to": r["first_id"] if r["revisit"] else None, "digest": digest(r["payload"])}
+                    yield {**r, "digest": digest(r["payload"])}
 
         files.create_dir(base)
         with files.open_output_stream(aside) as out:
@@ -257,32 +266,79 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, zip64: bool = Tr
     return rows.mapInArrow(run, "path string, records long")
 
 
+def member_bytes(file, member: Member) -> bytes:
+    """A whole member, unpacked if need be and held against its checksum: for indexes, which are small."""
+    data = read_range(file, data_begin(file, member), member.stored)
+    if member.method == 8:
+        data = zlib.decompress(data, -15)
+    elif member.method:
+        raise ValueError(f"{member.name}: compression method {member.method} isn't known")
+    if zlib.crc32(data) != member.crc:
+        raise ValueError(f"{member.name} is damaged")
+    return data
+
+
+def index_entries(listed: bytes) -> list[dict]:
+    """The JSON objects of an index: a line is one, or has a key and a time before it."""
+    lines = (line.strip() for line in listed.decode().splitlines())
+    return [json.loads(line[line.index("{") :]) for line in lines if "{" in line]
+
+
+def walked(file, begin: int, size: int, piece: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the gzip members in a stored archive member, found by unpacking it piece by piece: for
+    archives that no index names."""
+    at, start, unpacker, data = 0, 0, zlib.decompressobj(31), b""
+    while at < size or data:
+        if not data:
+            data = read_range(file, begin + at, min(piece, size - at))
+            at += len(data)
+        unpacker.decompress(data)
+        if unpacker.eof:
+            data = unpacker.unused_data
+            end = at - len(data)
+            yield start, end - start
+            start, unpacker = end, zlib.decompressobj(31)
+        else:
+            data = b""
+    if start < size:
+        raise ValueError(f"an archive ends within the record at {start}")
+
+
 def index_batches(root: str):
-    """Packages (path) to the ranges of their records (path, begin, length), from the index members."""
+    """Packages (path) to the ranges of their records (path, begin, length): from the index members, and for archives
+    that no index names from the archive itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = opened(root)
+        schema = pa.schema([("path", pa.string()), ("begin", pa.int64()), ("length", pa.int64())])
+
+        def ranges(path: str, begin: int, found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": [path] * len(found), "begin": [begin + o for o, _ in found], "length": [n for _, n in found]}, schema)
+
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with files.open_input_file(path) as file:
                     members = {m.name: m for m in directory(file, file.size())}
                     begins: dict[str, int] = {}
                     for m in members.values():
-                        if not m.name.startswith("indexes/") or m.method:
+                        if not m.name.startswith("indexes/") or m.name.endswith("/"):
                             continue
-                        listed = read_range(file, data_begin(file, m), m.size)
-                        if zlib.crc32(listed) != m.crc:
-                            raise ValueError(f"{path}: {m.name} is damaged")
-                        entries = [json.loads(line) for line in listed.decode().splitlines()]
-                        for e in entries:
-                            if (name := e["filename"]) not in begins:
+                        found: dict[str, list[tuple[int, int]]] = {}
+                        for e in index_entries(member_bytes(file, m)):
+                            name = e["filename"] if e["filename"] in members else f"archive/{e['filename']}"
+                            found.setdefault(name, []).append((int(e["offset"]), int(e["length"])))
+                        for name, places in found.items():
+                            if name not in begins:
                                 if members[name].method:
                                     raise ValueError(f"{path}: {name} isn't stored, it has no ranges")
                                 begins[name] = data_begin(file, members[name])
-                        yield pa.RecordBatch.from_pydict(
-                            {"path": [path] * len(entries), "begin": [begins[e["filename"]] + e["offset"] for e in entries], "length": [e["length"] for e in entries]},
-                            pa.schema([("path", pa.string()), ("begin", pa.int64()), ("length", pa.int64())]),
-                        )
+                            yield ranges(path, begins[name], places)
+                    for m in members.values():
+                        if m.name.startswith("archive/") and m.name.endswith(".gz") and m.name not in begins:
+                            if m.method:
+                                raise ValueError(f"{path}: {m.name} isn't stored, it has no ranges")
+                            begin = data_begin(file, m)
+                            yield ranges(path, begin, list(walked(file, begin, m.size)))
 
     return run
 

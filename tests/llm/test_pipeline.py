@@ -9,7 +9,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from tests.llm.test_mixing import reshared  # noqa: E402
 from tests.llm.test_packing import slow_ids  # noqa: E402
-from tests.llm.test_simhash import brute_components, plain_fingerprint  # noqa: E402
+from tests.llm.test_jaccard import brute_components  # noqa: E402
 from tests.oracle import SMALL  # noqa: E402
 
 
@@ -25,7 +25,7 @@ def brute_before_packing(spark, docs):
         key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in d["text"])
         last[key] = max(last.get(key, d), d, key=lambda x: x["doc_id"])
     left = sorted(last.values(), key=lambda d: d["doc_id"])
-    labels = brute_components(np.array([plain_fingerprint(d["text"]) for d in left], np.uint64))
+    labels = brute_components([d["text"] for d in left])
     left = [d for i, d in enumerate(left) if labels[i] == i]
     size, sources = {d["doc_id"]: len(d["text"].split()) for d in left}, Counter()
     for d in left:

@@ -74,6 +74,41 @@ def test_damage_is_noticed():
         warc_zip.parse_record(record.replace(b"body\r\n", b"bodY\r\n"))
 
 
+def archive(ids):
+    return b"".join(gzip.compress(warc_zip.warc_record(dict(page_id=i, row_id=i, url="u", payload=b"p%d" % i, revisit=False, refers_to=None, digest=warc_zip.digest(b"p%d" % i)))) for i in ids)
+
+
+@pytest.mark.parametrize("index", ["deflated", "keyed", "none"])
+def test_archives_of_other_writers(spark, tmp_path, index):
+    """A compressed index, an index with keys before its objects, and an archive that no index names."""
+    parts, lines, at = [archive([i]) for i in range(50)], [], 0
+    for part in parts:
+        line = '{"filename": "data.warc.gz", "offset": "%d", "length": "%d"}' % (at, len(part))
+        lines.append(f"com,example)/ 20200101000000 {line}" if index == "keyed" else line)
+        at += len(part)
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        z.writestr("archive/data.warc.gz", b"".join(parts))
+        if index != "none":
+            z.writestr("indexes/index.cdx", "\n".join(lines), zipfile.ZIP_DEFLATED if index == "deflated" else zipfile.ZIP_STORED)
+    packages = spark.createDataFrame([(f"{tmp_path}/x.wacz",)], "path string")
+    assert sorted((r["page_id"], r["payload"]) for r in warc_zip.read_archives(packages, str(tmp_path)).collect()) == [(i, b"p%d" % i) for i in range(50)]
+
+
+def test_walking_an_archive_by_pieces():
+    parts = [archive([i]) for i in range(9)]
+    data = b"xx" + b"".join(parts)
+    found = list(warc_zip.walked(io.BytesIO(data), 2, len(data) - 2, 7))
+    assert [n for _, n in found] == [len(p) for p in parts] and [o for o, _ in found] == [sum(map(len, parts[:i])) for i in range(9)]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc_zip.walked(io.BytesIO(data), 2, len(data) - 5))
+
+
+def test_revisits_name_the_record_that_has_the_payload():
+    """Also where that record's page has no id."""
+    row = dict(page_id=None, row_id=8, url="u", payload=b"x", revisit=True, refers_to=None, refers_row=3, digest=warc_zip.digest(b"x"))
+    assert b"WARC-Refers-To: " + warc_zip.record_id(None, 3).encode() in warc_zip.warc_record(row)
+
+
 def test_edges(spark, tmp_path):
     long = "<p>" + "x" * 3_000_000
     rows = [(5, "a", None), (3, "b", "same"), (9, "c", "same"), (4, "d e\r\nf", ""), (6, None, None), (7, "東", long), (8, "h", "\r\n\r\nWARC/1.1\r\n")]
