@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SMALL_IDS, broadcast_if_small, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); component is the smallest node reachable.
 
     Each round links every node's larger neighbours to its smallest neighbour (large star), then its smaller ones
-    (small star). Edges never grow in number, a node with a great many neighbours is only ever the key of a minimum
-    (combined before the shuffle) and of a join whose skewed partitions Spark splits. Rounds grow with the logarithm
-    of the longest path. Each ends in a checkpoint, so neither lineage nor lost executors matter. Null ends and loops
-    are ignored; no edges give no rows.
+    (small star). Edges never grow in number. A node with a great many neighbours is only ever the key of a minimum,
+    combined before the shuffle, and of a join with the minima: these are written first, so that they are broadcast while
+    they are few, and else joined between two exchanges whose skewed partitions Spark splits. Rounds grow with the
+    logarithm of the longest path. Each ends in a checkpoint, so neither lineage nor lost executors matter. Null ends and
+    loops are ignored; no edges give no rows.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = broadcast_if_small(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), SMALL_IDS)
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = broadcast_if_small(large.groupBy("a").agg(F.min("b").alias("m")), SMALL_IDS)
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         pairs = cut(small.where("a <> b").distinct())
