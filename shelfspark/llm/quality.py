@@ -3,8 +3,9 @@
 Trusted positives are documents labelled good; all else that the classifier learns from is unlabelled text of the
 corpus. With the class prior p, the risk p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P[l(-f)]) is minimised: the second
 part estimates the risk on negatives, and is kept from going below zero, which a flexible model would drive it to. f is
-linear in surface features of the whole text; l is the logistic loss. The prior is estimated from the labelled rows of
-the training part. Labels, language, source and id are no inputs of the score.
+linear in surface features of the whole text; l is the logistic loss. The prior is the share of good rows among the
+labelled ones of the training part; where these hold no other rows, it is estimated from positives and unlabelled texts
+alone. Labels, language, source and id are no inputs of the score.
 """
 
 from __future__ import annotations
@@ -64,6 +65,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w[:-1], float(w[-1]))
 
 
+def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+    """An upper bound of the class prior from scores: a tail that holds the share a of the positives and b of the
+    unlabelled texts has p * a <= b; the least b / a over tails with `least` of the positives or more."""
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(positive[: max(1, int((1 - least) * len(positive)))])
+    a = 1 - np.searchsorted(positive, at) / len(positive)
+    b = 1 - np.searchsorted(unlabelled, at) / len(unlabelled)
+    return float(np.min(b / a))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 2, start: float = 0.95) -> float:
+    """The class prior without labelled negatives: a model fitted with too high a prior separates what it can, and the
+    tail ratio of its scores is the next, lower estimate."""
+    prior = start
+    for _ in range(rounds):
+        model = fit(positive, unlabelled, prior)
+        prior = min(max(tail_ratio(model.scores(positive), model.scores(unlabelled)), 0.05), prior)
+    return prior
+
+
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last column, a text in UTF-8 or null, by its features."""
     for batch in batches:
@@ -85,12 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model |
     rows = texts.count()
     if not good or not rows:
         return None
-    prior = min(max(good / total, 0.05), 0.98)
     trusted = known.where("quality = 1").select("doc_id")
     positive = features_of(sampled_rows(texts, limit / good).join(trusted, "doc_id", "left_semi"))
     unlabelled = features_of(sampled_rows(texts, limit / rows))
     if not len(positive) or not len(unlabelled):
         return None
+    prior = min(max(good / total, 0.05), 0.98) if good < total else estimated_prior(positive, unlabelled)
     return fit(positive, unlabelled, prior)
 
 
@@ -112,8 +133,9 @@ def score_column(docs: DataFrame, model: Model | None, name: str) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
 
-    Labels are learnt from rows whose remainder isn't `held` alone. Repeated rows are scored alike; null ids belong to
-    remainder 0; an empty table gives no rows; other columns are not looked at.
+    Labels are learnt from rows whose remainder isn't `held` alone. Null texts are scored as empty ones, long texts whole;
+    without good labels all scores are 0.5; repeated rows are scored alike; null ids belong to remainder 0; an empty table
+    gives no rows; other columns are not looked at.
     """
     own = lambda df: df.where(remainder(F.col("doc_id"), modulus) != held)
     model = train(own(docs), own(labels), limit)
@@ -122,7 +144,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 3, held:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, limit: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
+    """The rows of docs (doc_id, text, ...) that the classifier doesn't reject, all columns as they are. Null texts are
+    judged as empty ones, long texts whole, repeated rows alike; without good labels every row stays; an empty table stays
+    empty; columns of any name are passed on."""
     own = lambda df: df.where(remainder(F.col("doc_id"), modulus) != held)
     model = train(own(docs), own(labels), limit)
     score = fresh(docs, "__score")

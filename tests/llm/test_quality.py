@@ -40,6 +40,58 @@ def test_the_risk_on_negatives_stays_above_zero():
     assert (model.scores(good) >= 0.5).mean() > 0.95 and (model.scores(bad) >= 0.5).mean() < 0.05
 
 
+def risk(w, positive, unlabelled, prior, decay):
+    """The stated risk with its penalty; the last column of the inputs is the constant one."""
+    loss = lambda z: np.logaddexp(0, -z)
+    negative = loss(-(unlabelled @ w)).mean() - prior * loss(-(positive @ w)).mean()
+    return prior * loss(positive @ w).mean() + max(0.0, negative) + decay / 2 * (w[:-1] ** 2).sum()
+
+
+def test_fit_against_a_slow_minimisation():
+    """Steepest descent with numeric derivatives on the stated risk doesn't get below what fit() reaches."""
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.7, 1, (300, 3)), rng.normal(-0.7, 1, (300, 3))
+    positive, unlabelled = good[:150], np.concatenate([good[150:], bad])
+    model = quality.fit(positive, unlabelled, 1 / 3, steps=4000, decay=0.05)
+    scaled = lambda x: np.hstack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))])
+    p, u, w, step = scaled(positive), scaled(unlabelled), np.zeros(4), 0.5
+    for _ in range(3000):
+        grad = np.array([(risk(w + d, p, u, 1 / 3, 0.05) - risk(w - d, p, u, 1 / 3, 0.05)) / 2e-5 for d in np.eye(4) * 1e-5])
+        while step > 1e-9 and risk(w - step * grad, p, u, 1 / 3, 0.05) >= risk(w, p, u, 1 / 3, 0.05):
+            step /= 2
+        w = w - step * grad
+        step = min(step * 1.5, 1.0)
+    reached = risk(np.append(model.weights, model.bias), p, u, 1 / 3, 0.05)
+    assert reached <= risk(w, p, u, 1 / 3, 0.05) + 2e-3
+    assert np.abs(model.scores(unlabelled) - 1 / (1 + np.exp(-(u @ w)))).max() < 0.05
+
+
+def test_scores_against_a_plain_computation():
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=len(NAMES)), rng.uniform(0.5, 2, len(NAMES)), rng.normal(size=len(NAMES)), 0.3)
+    for text in (b"", b"Plain words here.", b"BUY NOW!!! BUY NOW!!! | # $"):
+        total = 0.3
+        for x, mean, scale, weight in zip(surface(text), model.mean, model.scale, model.weights):
+            total += min(max((x - mean) / scale, -8), 8) * weight
+        assert model.scores(np.array([surface(text)]))[0] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_prior_without_negatives():
+    rng = np.random.default_rng(6)
+    for share in (0.4, 0.7, 0.9):
+        good, bad = rng.normal(2, 1, (4000, 2)), rng.normal(-2, 1, (int(4000 * (1 - share)), 2))
+        unlabelled = np.concatenate([good[2000 : 2000 + int(2000 * share)], bad[: 2000 - int(2000 * share)]])
+        assert quality.estimated_prior(good[:2000], unlabelled) == pytest.approx(share, abs=0.08)
+    assert quality.tail_ratio(np.array([0.9, 0.8]), np.array([0.1, 0.95, 0.2, 0.3])) == 0.25
+
+
+def test_labels_without_negatives(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    again = quality.score_documents(docs, labels.where("quality = 1")).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = again[again.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9
+
+
 def test_features_are_finite_for_any_bytes():
     for text in (b"", b" ", b"\xff\x00", b"A" * 100_000, b"!!! ||| ###", "東京".encode()):
         values = surface(text)
