@@ -28,8 +28,6 @@ from .quality import remainder
 BITS = 24
 #: Labelled rows that the model is fitted on, about: those whose hash is in the share that gives as many.
 FIT_ROWS = 20_000
-#: Features that the model may use: those with the clearest difference between the classes. These reach the driver, and of each row those among them.
-MAX_FEATURES = 20_000
 #: Chi-square value of a difference that isn't taken for chance.
 LEAST_CHI2 = 6.6
 #: Lengths of the beginnings of words.
@@ -202,8 +200,9 @@ def fit(own: list[list[int]], swapped: list[list[int] | None], toxic: np.ndarray
     return weights, float(bias - mean @ weights)
 
 
-def chosen_features(bodies: DataFrame, kinds: tuple, most: int = MAX_FEATURES) -> list[int]:
-    """Features of rows (toxic, body) whose frequencies differ between the classes, and those that swaps touch."""
+def chosen_features(bodies: DataFrame, kinds: tuple) -> list[int]:
+    """Features of rows (toxic, body) whose frequencies differ between the classes, and those that swaps touch: all of
+    them. They come from the bounded sample of rows that the model is fitted on, which bounds their number."""
     counts = bodies.mapInArrow(count_batches(kinds), "feature long, clean long, toxic long, named long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("named").alias("named"))
     classes = bodies.agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     n0, n1 = float(classes["n0"]), float(classes["n1"])
@@ -212,7 +211,7 @@ def chosen_features(bodies: DataFrame, kinds: tuple, most: int = MAX_FEATURES) -
     c, t = F.col("c").cast("double"), F.col("t").cast("double")
     chi2 = F.try_divide((t * (n0 - c) - c * (n1 - t)) ** 2 * (n0 + n1), n0 * n1 * (c + t) * (n0 + n1 - c - t))
     scored = counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("chi2") >= LEAST_CHI2) & (F.col("c") + F.col("t") >= 3) | (F.col("named") > 0))
-    return [r["feature"] for r in scored.orderBy((F.col("named") == 0).cast("int"), F.desc("chi2"), "feature").limit(most).select("feature").collect()]
+    return sorted(r["feature"] for r in scored.select("feature").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, **how) -> Model | None:
@@ -235,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tupl
 def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, **how) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
 
-    Labels are learnt from rows whose remainder isn't `held` alone. Null texts are scored as empty ones; without labels
+    Labels are learnt from rows whose remainder isn't `held` alone. Null texts are scored as empty ones, long texts whole; without labels
     of both kinds all scores are 0; repeated rows are scored alike; null ids belong to remainder 0; an empty table gives
     no rows; other columns are not looked at.
     """
