@@ -8,14 +8,19 @@ batch whose folder exists has been counted, so committing it again does nothing.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import utf8_size, word_count
+from .tokens import ByteBpe
 
 KEYS = ("source", "lang", "tokenizer")
+DAY = 86_400
 CHANGES = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
 #: Tokenizer versions that SQL functions count: words parted by ASCII white space, and single bytes.
@@ -23,11 +28,28 @@ COUNTERS = {"words-1": word_count, "bytes-1": utf8_size}
 
 
 def counted(docs: DataFrame, counters: dict = COUNTERS) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens) of each row of docs and tokenizer version; null texts have no tokens."""
+    """(doc_id, source, lang, tokenizer, tokens) of each row of docs (doc_id, source, lang, text, ...) and tokenizer version.
+
+    Null and empty texts have no tokens, long texts are counted whole; null ids, sources and languages are values like
+    others; repeated rows count each; an empty table gives no rows; other columns, whatever their names, are not looked at."""
+    docs = docs.select("doc_id", "source", "lang", "text")
     each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("tokens")) for name, count in counters.items()])
     return docs.select("doc_id", "source", "lang", F.explode(each).alias("t")).select("doc_id", "source", "lang", "t.tokenizer", "t.tokens")
 
 
+def bpe_counted(docs: DataFrame, version: str = "byte_bpe_50k", vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+    """counted() for a version that takes a vocabulary: tokens of the public byte-level BPE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe(vocabulary, ranks)
+        for batch in batches:
+            sizes = [len(bpe.ids(t.as_py() or "")) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+
+    rows = docs.select("doc_id", "source", "lang", "text")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, tokenizer string, tokens long")
+
+
 def deltas(changes: DataFrame) -> DataFrame:
     """Signed sums by key of changes (CHANGES; more columns may follow).
 
@@ -83,11 +105,50 @@ class TokenRollup:
             return False
         return True
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._files().listStatus(at)) if self._files().exists(at) else []
+
+    def _state(self) -> tuple[str | None, set[str]]:
+        """The newest sum of batches, and the batches that it holds."""
+        sums = [n for n in self._names("sums") if n.startswith("sum=")]
+        if not sums:
+            return None, set()
+        at = f"{self.root}/sums/{sums[-1]}"
+        return at, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect()}  # a row for each batch, no data
+
+    def compact(self) -> None:
+        """Sums up what is committed in one folder, so that totals don't read every batch for ever. It comes with the names
+        of its batches and counts only when it is whole; the batches' folders stay, so that none is counted twice. One
+        writer compacts at a time. What writers left aside more than a day ago is removed."""
+        at, held = self._state()
+        names = [n.removeprefix("batch=") for n in self._names("batches")]
+        number = int(at.rpartition("=")[2]) + 1 if at else 0
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        self._summed(at, held, names).write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
+        files = self._files()
+        files.mkdirs(self._path(f"{self.root}/sums"))
+        if not files.rename(self._path(aside), self._path(f"{self.root}/sums/sum={number:09d}")):
+            raise OSError(f"{aside} couldn't be renamed")
+        for left in files.listStatus(self._path(f"{self.root}/aside")) if files.exists(self._path(f"{self.root}/aside")) else ():
+            if left.getModificationTime() < (time.time() - DAY) * 1000:
+                files.delete(left.getPath(), True)
+
+    def _summed(self, at: str | None, held: set[str], names: list[str]) -> DataFrame:
+        paths = [f"{self.root}/batches/batch={n}" for n in names if n not in held] + ([f"{at}/totals"] if at else [])
+        if not paths:
+            return self.spark.createDataFrame([], DELTAS)
+        parts = self.spark.read.schema(DELTAS).option("recursiveFileLookup", "true").parquet(*paths)
+        return parts.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens over all committed batches; keys whose documents are all gone have
-        no row."""
-        if not self._files().exists(self._path(f"{self.root}/batches")):
+        no row. Renames make a batch appear whole where the store renames folders in one step; an object store that
+        doesn't needs a committer of its own."""
+        if not self._names("batches"):
             return self.spark.createDataFrame([], DELTAS)
-        parts = self.spark.read.schema(DELTAS).option("recursiveFileLookup", "true").parquet(f"{self.root}/batches")
-        sums = parts.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return self._present(self._summed(*self._state(), [n.removeprefix("batch=") for n in self._names("batches")]))
+
+    def _present(self, sums: DataFrame) -> DataFrame:
         return sums.where((F.col("documents") != 0) | (F.col("tokens") != 0))

@@ -39,6 +39,42 @@ def test_a_batch_that_failed_leaves_nothing(spark, tmp_path):
         r.commit("../x", changes(spark))
 
 
+def test_compaction_changes_nothing(spark, tmp_path):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    r.commit("one", changes(spark, ("insert", "a", "en", "t", 10, None), ("insert", "b", "en", "t", 4, None)))
+    r.commit("two", changes(spark, ("delete", "b", "en", "t", 4, None)))
+    before = totals(r)
+    r.compact()
+    assert totals(r) == before == [("a", "en", "t", 1, 10)]
+    assert not r.commit("one", changes(spark, ("insert", "a", "en", "t", 10, None))) and totals(r) == before
+    r.commit("three", changes(spark, ("insert", "a", "en", "t", 1, None)))
+    r.compact()
+    assert totals(r) == [("a", "en", "t", 2, 11)] == totals(rollup.TokenRollup(spark, f"file://{tmp_path}/r"))
+
+
+def test_vocabulary_tokens(edge_docs, no_docs):
+    from tests.llm.test_packing import slow_ids
+
+    got = sorted((str(r["doc_id"]), r["tokens"]) for r in rollup.bpe_counted(edge_docs).collect())
+    assert got == sorted((str(d["doc_id"]), len(slow_ids(d["text"] or ""))) for d in edge_docs.collect())
+    assert rollup.bpe_counted(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("documents, labels", [(1, 0), (0, 1), (0, 0), (1, 2)])
+def test_query_plan_on_awkward_tables(spark, edge_docs, no_docs, tmp_path, documents, labels):
+    """Empty tables, null ids, clashing columns, all documents deleted."""
+    (edge_docs if documents else no_docs).withColumn("tokens", rollup.F.lit(5)).withColumn("tokenizer", rollup.F.lit("x")).withColumn("kind", rollup.F.lit("y")).withColumn("tidy", rollup.F.lit("z")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = [[], [(1, 0, 0), (None, 0, 0), (5, None, None)], [(i, 0, 0) for i in range(1, 10)]][labels]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = sorted(((r["source"], r["tokenizer"], r["documents"]) for r in op5_token_rollup(spark, f"file://{tmp_path}").collect()), key=str)
+    left = [d for d in edge_docs.collect() if documents and d["doc_id"] not in {r[0] for r in rows if r[1] == 0 and r[0] is not None}]
+    want = {(d["source"], t): 0 for d in left for t in rollup.COUNTERS}
+    for d in left:
+        for t in rollup.COUNTERS:
+            want[d["source"], t] += 1
+    assert got == sorted(((s, t, n) for (s, t), n in want.items()), key=str)
+
+
 def test_edges(edge_docs, no_docs):
     rows = rollup.counted(edge_docs).collect()
     assert len(rows) == 24
