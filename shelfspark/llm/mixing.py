@@ -65,7 +65,9 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **kinds) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, seed: str = SEED, **kinds) -> DataFrame:
-    """The mix itself: every row of docs as many times as its copies say."""
+    """The mix itself: every row of docs (doc_id, text, source, ...) as many times as its copies say, all columns as they
+    are. Null texts have size 0, null is a source of its own, rows with one id are drawn alike, a source without words
+    goes; long texts are counted whole; an empty table stays empty; columns of any name are passed on."""
     source, rate, copy = (fresh(docs, c) for c in ("__source", "__rate", "__copy"))
     goal = targets(docs.select("source", word_count(F.col("text")).alias("size")), **kinds)
     goal = broadcast_if_small(goal.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)))
