@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,19 +63,60 @@ def six(value: Column) -> Column:
 # ---- text and id helpers
 
 
+def _accented() -> tuple[str, str]:
+    """Small Latin letters with accents, and the letters that they are made of, by Unicode's own decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for block in (range(0xE0, 0x250), range(0x1E00, 0x1F00)) for c in block if chr(c).islower()]
+    found = [(c, base) for c, base in pairs if base != c and base.isascii() and base.isalpha()]
+    return "".join(c for c, _ in found), "".join(base for _, base in found)
+
+
+ACCENTED, PLAIN = _accented()
+#: Small letters in Latin script, of several letters or none that Unicode takes apart.
+LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "ng", "ŧ": "t", "ĸ": "k", "ĳ": "ij"}
+#: Greek and Cyrillic small letters in Latin ones.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґў", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia i i ie g u".split()))
+
+
+def fold_accents(text: Column) -> Column:
+    """Lower case, Latin letters without their accents: one letter for each."""
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
+def transliterated(text: Column) -> Column:
+    """Lower case in ASCII letters as far as Latin, Greek and Cyrillic script go; other scripts are left as they are.
+    Texts within ASCII take no part in the replacements."""
+    low = F.lower(text)
+    table = LETTERS | GREEK | CYRILLIC
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    accents = {unicodedata.normalize("NFC", base + mark): base for base in "αεηιουωиеу" for mark in "\u0301\u0308\u0306" if len(unicodedata.normalize("NFC", base + mark)) == 1 and unicodedata.normalize("NFC", base + mark) not in table}
+    out = F.translate(low, "".join(accents), "".join(accents.values()))
+    for letter, letters in table.items():
+        if len(letters) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(letters))
+    out = F.translate(out, ACCENTED + "".join(single), PLAIN + "".join(single.values()))
+    out = F.regexp_replace(out, r"\p{Mn}", "")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), out).otherwise(low)
+
+
 def slug_ascii(text: Column, most: int = 200) -> Column:
-    """Slug of a text without letters beyond ASCII; an empty result is replaced by a hash of the text."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\s-]", "")
+    """Slug of a text: other scripts and accented letters in ASCII letters where there are any; an empty result is
+    replaced by a hash of the text."""
+    plain = F.regexp_replace(transliterated(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\s-]", "")
     dashed = F.substring(F.regexp_replace(F.regexp_replace(plain, r"[-\s]+", "-"), r"^-+|-+$", ""), 1, most)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).when(dashed == "", F.substring(F.md5(text), 1, 16)).otherwise(dashed)
 
 
+#: Fixed value: a series' name, and its number where there is one.
+SERIES = r"^(.+?)(?:\s*[#,]\s*(\d+(?:\.\d+)?))?$"
+
+
 def series_name(text: Column) -> Column:
-    return F.regexp_extract(text, r"^(.+?)(?:\s*[#,]\s*(\d+(?:\.\d+)?))?$", 1)
+    return F.regexp_extract(text, SERIES, 1)
 
 
 def series_number(text: Column) -> Column:
-    found = F.regexp_extract(text, r"^(.+?)(?:\s*[#,]\s*(\d+(?:\.\d+)?))?$", 2)
+    found = F.regexp_extract(text, SERIES, 2)
     return F.when(found != "", found.try_cast("double"))
 
 

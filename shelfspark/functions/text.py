@@ -38,6 +38,7 @@ _INLINE = (
     (r"_([^_]+)_", "$1"),
     (r"(?m)^#+\s+", ""),
 )
+#: Rules that end a description, and tails that are taken off.
 _RULES = (r"-{5,}", r"={5,}", r"\*{5,}", r"_{5,}")
 _TAILS = (
     r"\n\*\*Also contained in:\*\*.*$",
@@ -77,4 +78,6 @@ def without_markup(text: Column) -> Column:
 
 
 def clean_description(text: Column) -> Column:
-    return without_markup(unescaped(stripped(text)))
+    """Only texts that may hold an entity go through Python."""
+    whole = stripped(text)
+    return without_markup(F.coalesce(unescaped(F.when(whole.contains("&"), whole)), whole))

@@ -132,19 +132,46 @@ def best_editions(records: DataFrame, known_works: DataFrame) -> DataFrame:
     )
 
 
-def merge_editions(books: DataFrame, editions: DataFrame) -> DataFrame:
-    """Books (open_library_id, language, ...) with their best editions: ISBNs replaced where there are any, pages,
-    publisher, cover and description filled in; languages without a book get one, made from the English one."""
+def merge_editions(books: DataFrame, editions: DataFrame, own_titles: bool = True) -> DataFrame:
+    """Books (open_library_id of the work, language, ...) with their best editions: ISBNs replaced where there are any;
+    pages, publisher, cover, description, first sentence and series filled in; formats joined; external ids added. Only
+    columns that both sides have change. Languages without a book get one, made from the English one: its slug and year,
+    its title unless own_titles, and what the edition lacks of description, cover and series."""
     new = editions.withColumnRenamed("work", "open_library_id").withColumn("isbn", F.when(F.size("isbn") > 0, F.col("isbn")))
-    columns = [c for c in ("number_of_pages", "publisher", "primary_cover_url", "description") if c in books.columns]
+    if "format" in new.columns:
+        new = new.withColumn("formats", F.when(F.col("format").isNotNull(), F.array("format")))
+    if "series" in new.columns:
+        new = new.withColumn("series_slug", F.when(X.filled(F.col("series")), X.slug_ascii(F.col("series"))))
+    policies = {"isbn": "supplied", "formats": "union", "external_ids": "map"} | dict.fromkeys(("number_of_pages", "publisher", "primary_cover_url", "description", "first_sentence", "series_slug", "series_position"), "fill")
+    columns = [c for c in policies if c in books.columns and c in new.columns]
     keys = ["open_library_id", "language"]
-    updated = merged(books, new.select(*keys, "isbn", *columns), keys, {"isbn": "supplied"} | dict.fromkeys(columns, "fill"), insert=False)
-    english = books.where("language = 'en'")
-    missing = new.join(books.select(*keys), keys, "left_anti").select(*keys, "title", "isbn", *columns)
-    own = [c for c in books.columns if c in missing.columns and c not in keys]
-    rest = [c for c in books.columns if c not in own and c not in keys]
-    added = missing.select(*keys, *[F.col(c).alias(f"__{c}") for c in own]).join(english.drop("language"), "open_library_id").select(*keys, *[F.coalesce(f"__{c}", c).alias(c) for c in own], *rest)
-    return updated.unionByName(added.select(*books.columns))
+    updated = merged(books, new.select(*keys, *columns), keys, policies, insert=False)
+    english = books.where("language = 'en'").drop("language")
+    missing = new.join(books.select(*keys), keys, "left_anti").select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    own = {c: F.coalesce(f"__{c}", c) for c in ("description", "primary_cover_url", "series_slug") if c in columns}
+    own |= {c: F.col(f"__{c}") for c in columns if c not in own}
+    if own_titles and "title" in new.columns:
+        missing = missing.join(new.select(*keys, F.col("title").alias("__title")), keys)
+        own["title"] = F.coalesce("__title", "title")
+    if "series_position" in columns:
+        own["series_position"] = F.when(F.col("__series_slug").isNull(), F.col("series_position")).otherwise(F.col("__series_position"))
+    kept = ("title", "slug", "original_publication_year")
+    kinds = dict(books.dtypes)
+    value = lambda c: F.col(c) if c in keys else own.get(c, F.col(c) if c in kept else F.lit(None)).cast(kinds[c])
+    return updated.unionByName(missing.join(english, "open_library_id").select(*[value(c).alias(c) for c in books.columns]))
+
+
+def clone_links(links: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """links (book_id, ...) with those of each source book given to its new row (book_id, source_book_id) as well."""
+    more = new_rows.select(F.col("book_id").alias("__new"), F.col("source_book_id").alias("book_id")).join(links, "book_id").drop("book_id").withColumnRenamed("__new", "book_id")
+    return links.unionByName(more.select(*links.columns)).dropDuplicates()
+
+
+def fill_wikidata(authors: DataFrame, found: DataFrame) -> DataFrame:
+    """Authors with what is found for their wikidata_id (nationality, birth_place, wikipedia_url) where they lack it."""
+    names = ("nationality", "birth_place", "wikipedia_url")
+    some = found.where(" or ".join(f"{n} is not null" for n in names))
+    return merged(authors, last_by(some, ["wikidata_id"], "nationality"), ["wikidata_id"], dict.fromkeys(names, "fill"), insert=False)
 
 
 def work_ratings(rows: DataFrame) -> DataFrame:

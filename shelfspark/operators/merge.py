@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def last_by(changes: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(sequence)))
+    """The last change of each key. Of several at one place in the sequence the greatest counts, by the other columns in
+    their order, so the result never depends on how rows arrive."""
+    kinds = dict(changes.dtypes)
+    ties = [F.desc_nulls_last(F.to_json(c) if kinds[c].startswith("map") else F.col(c)) for c in changes.columns if c not in keys and c != sequence]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(sequence), *ties))
     return changes.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
@@ -78,6 +82,26 @@ def deleted(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_anti")
 
 
+def edit_comments(comments: DataFrame, changes: DataFrame) -> DataFrame:
+    """comments (comment_id, user_id, body, is_spoiler, ...) after changes (comment_id, user_id, kind, body, is_spoiler,
+    updated_at): the last update sets text and flag, a delete takes the row out for good. Only its writer changes a
+    comment; changes to unknown comments are ignored."""
+    keys = ["comment_id", "user_id"]
+    last = last_by(changes.where("kind = 'update'"), keys, "updated_at").select(*keys, "body", "is_spoiler")
+    left = deleted(comments, changes.where("kind = 'delete'").select(*keys).distinct())
+    return merged(left, last, keys, {}, insert=False)
+
+
+def partial_update(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """table with the values that changes supply; null means no change, unknown keys are ignored."""
+    return merged(table, changes, keys, {}, default="supplied", insert=False)
+
+
+def delete_authors(tables: dict[str, DataFrame], author_ids: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the rows of these authors: they themselves and their links; their books stay."""
+    return {name: deleted(df, author_ids.select("author_id")) if "author_id" in df.columns else df for name, df in tables.items()}
+
+
 def insert_links(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.unionByName(new.select(*links.columns)).dropDuplicates()
 
@@ -113,8 +137,23 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.parquet(aside)
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(at(path)):
-        files.rename(at(path), at(old))
+    had = files.exists(at(path))
+    if had and not files.rename(at(path), at(old)):
+        raise OSError(f"{path} couldn't be moved away")
     if not files.rename(at(aside), at(path)):
+        if had:
+            files.rename(at(old), at(path))
         raise OSError(f"{aside} couldn't be renamed to {path}")
     files.delete(at(old), True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether the folder at path is there. If a writer ended between the two moves of replace(), the last table is moved
+    back first; call it before reading what replace() writes."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)):
+        return True
+    left = sorted((s.getModificationTime(), s.getPath().toString()) for s in files.globStatus(at(f"{path}.old-*")) or [])
+    return bool(left) and files.rename(at(left[-1][1]), at(path))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
 from shelfspark.operators import profile as P
+from shelfspark.operators import signatures as S
 from shelfspark.sources.catalogue import Catalogue
 
 LIMIT = 20
@@ -44,36 +45,80 @@ def collaborative(cat: Catalogue, others: DataFrame | None = None) -> DataFrame:
     return counted.join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
 
 
+def _needs(cat: Catalogue, users: DataFrame, k: int) -> DataFrame:
+    """users (user_id, ...) with `need`: of any ranking that all users share, the first `need` books hold k that
+    the user hasn't read or given up."""
+    gone = P.excluded(cat).groupBy("user_id").agg(F.count("*").alias("gone"))
+    return users.join(gone, "user_id", "left").withColumn("need", (F.coalesce("gone", F.lit(0)) + k).cast("int")).drop("gone")
+
+
+def _deepest(cat: Catalogue, k: int) -> int:
+    """The largest need of any user."""
+    gone = P.excluded(cat).groupBy("user_id").agg(F.count("*").alias("gone"))
+    return (gone.agg(F.max("gone")).first()[0] or 0) + k
+
+
+def _best_of_both(base: DataFrame, exact: DataFrame, k: int) -> DataFrame:
+    """The best k of each user. base has at least the best books by a part of the score that other parts only add to;
+    exact has the books to which something is added, so a book in both counts by its exact score."""
+    best = ranked(exact, k, F.desc("score")).drop("rank")
+    both = base.select("user_id", "book_id", "score").unionByName(best).groupBy("user_id", "book_id").agg(F.max("score").alias("score"))
+    return ranked(both, k, F.desc("score"))
+
+
 def for_you(cat: Catalogue, k: int = LIMIT) -> DataFrame:
-    """0.6 genre weight + 0.25 readers among similar users, of the most of any book + 0.15 average of five."""
-    weights = P.genre_weights(cat).select("user_id", "genre_id", "raw", "total")
-    tagged = cat.book_genres.join(_shown(cat), "book_id", "left_semi")
-    genres = weights.join(tagged, "genre_id").groupBy("user_id", "book_id").agg((F.sum("raw") / F.max("total")).alias("genre_score")).join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
+    """0.6 genre weight + 0.25 readers among similar users, of the most of any book + 0.15 average of five.
+
+    Only books that similar users read get the second part. Among all others a user's best are the best by genres and
+    average: best_signatures names the genre sets that hold them, and their books are fetched by rank."""
+    weights = P.genre_weights(cat)
+    tastes = weights.groupBy("user_id").agg(F.collect_list(F.struct("genre_id", "raw")).alias("tastes"), F.max("total").alias("total"))
+    users = _needs(cat, tastes, k)
+    shown = _shown(cat, F.coalesce("avg_rating", F.lit(0.0)).alias("average")).join(S.signed(cat), "book_id")
+    books = S.numbered(shown, "signature", _deepest(cat, k), F.desc("average"), F.asc("book_id"))
+    signatures = books.groupBy("signature").agg(F.max("average").alias("best"), F.min(F.when(F.col("nth") == 1, F.col("book_id"))).alias("first"), F.count("*").cast("int").alias("n"))
+    found = S.best_signatures(users, signatures, cat.users.count(), S.signed(cat).select("signature").distinct().count(), 0.6, 0.15)
+    score = lambda part: X.six(F.col("genre_score") * 0.6 + part * 0.25 + F.col("average") / 5.0 * 0.15)
+    base = S.first_of(found, books, "signature").withColumn("score", score(F.lit(0.0))).where(F.col("score") >= F.col("floor"))
+    base = base.join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
     readers = collaborative(cat).withColumn("most", F.max("readers").over(Window.partitionBy("user_id")))
-    part = F.coalesce(F.col("readers") / F.col("most"), F.lit(0.0))
-    scored = genres.join(readers, ["user_id", "book_id"], "left").join(_shown(cat, "avg_rating"), "book_id")
-    score = F.col("genre_score") * 0.6 + part * 0.25 + F.coalesce("avg_rating", F.lit(0.0)) / 5.0 * 0.15
-    return ranked(scored.withColumn("score", X.six(score)), k, F.desc("score"))
+    known = readers.join(users.select("user_id", F.map_from_entries("tastes").alias("taste"), "total"), "user_id").join(shown, "book_id")
+    raw = F.aggregate(S.genres_of(F.col("signature")), F.lit(0.0), lambda total, g: total + F.coalesce(F.try_element_at(F.col("taste"), g), F.lit(0.0)))
+    exact = known.withColumn("raw", raw).where("raw > 0").withColumn("genre_score", F.col("raw") / F.col("total")).withColumn("score", score(F.col("readers") / F.col("most")))
+    return _best_of_both(base, exact, k)
 
 
 def because_you_liked(cat: Catalogue, k: int = LIMIT) -> DataFrame:
-    """Half the Jaccard of genres with the user's anchor, half the readers that they share, of the most of any book."""
-    anchors, out = P.anchors(cat), P.excluded(cat)
-    sizes = cat.book_genres.groupBy("book_id").agg(F.count("*").alias("n"))
-    source = cat.book_genres.withColumnRenamed("book_id", "anchor_id").join(anchors.select("anchor_id").distinct(), "anchor_id", "left_semi")
-    shared = source.join(cat.book_genres, "genre_id").where("anchor_id <> book_id").groupBy("anchor_id", "book_id").agg(F.count("*").alias("shared"))
-    shared = shared.join(sizes.select(F.col("book_id").alias("anchor_id"), F.col("n").alias("a")), "anchor_id").join(sizes, "book_id")
-    jaccard = shared.select("anchor_id", "book_id", (F.col("shared") / (F.col("a") + F.col("n") - F.col("shared"))).alias("genre_score"))
+    """Half the Jaccard of genres with the user's anchor, half the readers that they share, of the most of any book.
+
+    By genres alone, anchors of one genre set have one ranking: it is made once for each set, as deep as its users need,
+    from signatures in order of similarity. Books that share readers with the anchor are few, and scored exactly."""
+    anchors, out, signed = P.anchors(cat), P.excluded(cat), S.signed(cat)
+    own = signed.select(F.col("book_id").alias("anchor_id"), F.col("signature").alias("source_signature"))
+    asked = _needs(cat, anchors.join(own, "anchor_id"), k + 1)  # the anchor itself is one more
+    deepest = asked.groupBy("source_signature").agg(F.max("need").alias("deepest"))
+    shown = _shown(cat).join(signed, "book_id")
+    books = S.numbered(shown, "signature", _deepest(cat, k + 1), F.asc("book_id")).withColumnRenamed("signature", "target_signature")
+    sizes = books.groupBy("target_signature").agg(F.count("*").alias("n"))
+    pairs = S.signature_pairs(deepest.select(F.col("source_signature").alias("signature")), sizes.select(F.col("target_signature").alias("signature")), 1)
+    levels = pairs.withColumn("score", X.six(F.col("score") * 0.5 + 0.0)).join(sizes, "target_signature").join(deepest, "source_signature")
+    levels = levels.withColumn("need", F.least(F.col("n"), F.col("deepest") - S.before("score", "n", "source_signature")))
+    candidates = S.first_of(levels.select("source_signature", "target_signature", "score", "need"), books, "target_signature")
+    place = F.row_number().over(Window.partitionBy("source_signature").orderBy(F.desc("score"), "book_id"))
+    ranking = candidates.select("source_signature", "book_id", "score").withColumn("nth", place)
+    base = S.first_of(asked, ranking, "source_signature").where("anchor_id <> book_id").join(out, ["user_id", "book_id"], "left_anti")
     reads = _reads(cat)
     nth = F.row_number().over(Window.partitionBy("anchor_id").orderBy("other_id"))
     fans = reads.select(F.col("book_id").alias("anchor_id"), F.col("user_id").alias("other_id")).join(anchors.select("anchor_id").distinct(), "anchor_id", "left_semi")
     fans = fans.withColumn("nth", nth).where(F.col("nth") <= READERS).drop("nth")
     together = fans.join(reads.withColumnRenamed("user_id", "other_id"), "other_id").where("anchor_id <> book_id").groupBy("anchor_id", "book_id").agg(F.count("*").alias("readers")).where("readers >= 2")
-    genre_side = anchors.join(jaccard, "anchor_id").join(out, ["user_id", "book_id"], "left_anti").select("user_id", "book_id", "genre_score")
-    reader_side = anchors.join(together, "anchor_id").join(out, ["user_id", "book_id"], "left_anti").withColumn("most", F.max("readers").over(Window.partitionBy("user_id"))).select("user_id", "book_id", (F.col("readers") / F.col("most")).alias("reader_score"))
-    both = genre_side.join(reader_side, ["user_id", "book_id"], "full")
-    score = F.coalesce("genre_score", F.lit(0.0)) * 0.5 + F.coalesce("reader_score", F.lit(0.0)) * 0.5
-    return ranked(both.withColumn("score", X.six(score)).join(_shown(cat), "book_id", "left_semi"), k, F.desc("score"))
+    shared = anchors.join(together, "anchor_id").join(out, ["user_id", "book_id"], "left_anti").withColumn("most", F.max("readers").over(Window.partitionBy("user_id")))
+    known = shared.join(_shown(cat), "book_id", "left_semi").join(own, "anchor_id", "left").join(signed, "book_id", "left")
+    a, b = S.genres_of(F.col("source_signature")), S.genres_of(F.col("signature"))
+    common = F.size(F.array_intersect(a, b))
+    jaccard = F.coalesce(F.when(common > 0, common / (F.size(a) + F.size(b) - common)), F.lit(0.0))
+    exact = known.withColumn("score", X.six(jaccard * 0.5 + F.col("readers") / F.col("most") * 0.5))
+    return _best_of_both(base, exact, k)
 
 
 def continue_series(cat: Catalogue, k: int = LIMIT) -> DataFrame:
@@ -88,15 +133,19 @@ def from_favorite_authors(cat: Catalogue, k: int = LIMIT) -> DataFrame:
     return ranked(left, k, F.desc_nulls_last("score"))
 
 
-def _in_genres(cat: Catalogue, top: int, books: DataFrame) -> DataFrame:
-    wanted = P.genre_weights(cat).where(F.col("rank") <= top).select("user_id", "genre_id")
-    found = wanted.join(cat.book_genres.join(books, "book_id"), "genre_id").drop("genre_id").distinct()
+def _in_genres(cat: Catalogue, top: int, books: DataFrame, k: int, *order: Column) -> DataFrame:
+    """Books of each user's first genres that the user hasn't read: enough of each genre to hold the user's best k. Each
+    genre's books are ranked once for all users."""
+    wanted = _needs(cat, P.genre_weights(cat).where(F.col("rank") <= top).select("user_id", "genre_id"), k)
+    best = S.numbered(cat.book_genres.join(books, "book_id"), "genre_id", _deepest(cat, k), *order, F.asc("book_id"))
+    found = S.first_of(wanted, best, "genre_id").drop("genre_id", "need", "nth").distinct()
     return found.join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
 
 
 def top_in_genre(cat: Catalogue, k: int = LIMIT) -> DataFrame:
     books = _shown(cat, F.col("avg_rating").alias("score"), "rating_count").where("score is not null")
-    return ranked(_in_genres(cat, 1, books), k, F.desc("score"), F.desc("rating_count"))
+    order = (F.desc("score"), F.desc("rating_count"))
+    return ranked(_in_genres(cat, 1, books, k, *order), k, *order)
 
 
 def want_to_read_picks(cat: Catalogue, k: int = LIMIT) -> DataFrame:
@@ -112,16 +161,27 @@ def readers_like_you(cat: Catalogue, k: int = LIMIT) -> DataFrame:
 def hidden_gems(cat: Catalogue, k: int = LIMIT) -> DataFrame:
     rare = F.col("rating_count").between(3, 20) & (F.col("avg_rating") >= 4.0) & (F.col("view_count") < 500)
     books = cat.books.where(X.listable() & rare).select("book_id", F.col("avg_rating").alias("score"), "rating_count")
-    return ranked(_in_genres(cat, P.TOP_GENRES, books), k, F.desc("score"), F.desc("rating_count"))
+    order = (F.desc("score"), F.desc("rating_count"))
+    return ranked(_in_genres(cat, P.TOP_GENRES, books, k, *order), k, *order)
 
 
 def you_might_like(cat: Catalogue, book_id: int, k: int = LIMIT) -> DataFrame:
-    """For each user, books that share genres with one book, by the user's weight of these genres."""
+    """For each user, books that share genres with one book, by the user's weight of these genres.
+
+    Books sharing the same of its genres score alike, so each such part of the set is scored once for a user, and parts
+    are opened from the best on until the user's need is met."""
     genres = cat.book_genres.where(F.col("book_id") == book_id).select("genre_id")
+    tagged = cat.book_genres.where(F.col("book_id") != book_id).join(genres, "genre_id", "left_semi")
+    parts = tagged.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set("genre_id")), "|").alias("part"))
+    order = (F.desc_nulls_last("avg_rating"), F.asc("book_id"))
+    books = S.numbered(parts.join(_shown(cat, "avg_rating"), "book_id"), "part", _deepest(cat, k), *order)
+    sizes = books.groupBy("part").agg(F.count("*").alias("n"))
     weights = P.genre_weights(cat).join(genres, "genre_id", "left_semi").select("user_id", "genre_id", "raw", "total")
-    scored = weights.join(cat.book_genres.where(F.col("book_id") != book_id), "genre_id").groupBy("user_id", "book_id").agg((F.sum("raw") / F.max("total")).alias("score"))
-    left = scored.join(P.excluded(cat), ["user_id", "book_id"], "left_anti").join(_shown(cat, "avg_rating"), "book_id")
-    return ranked(left.withColumn("score", X.six(F.col("score"))), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
+    liked = weights.join(sizes.select("part", "n", F.explode(S.genres_of(F.col("part"))).alias("genre_id")), "genre_id")
+    scored = liked.groupBy("user_id", "part", "n").agg(X.six(F.sum("raw") / F.max("total")).alias("score"))
+    asked = _needs(cat, scored, k).withColumn("need", F.least(F.col("n"), F.col("need") - S.before("score", "n", "user_id")))
+    left = S.first_of(asked, books, "part").join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
+    return ranked(left, k, F.desc("score"), F.desc_nulls_last("avg_rating"))
 
 
 def unread_by_author(cat: Catalogue, author_id: int, user_id: int, k: int = LIMIT) -> DataFrame:

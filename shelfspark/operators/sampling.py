@@ -160,13 +160,6 @@ def spin_slots(pool: Pool, seed: int) -> tuple[list[str], tuple[str, int]] | Non
     return sorted(reels, key=lambda r: uniform(seed, "place", r, reels.index(r))), winner
 
 
-def packs(cat: Catalogue, seed: int, n: int = 20, length: int = 8) -> DataFrame:
-    """n packs from one set of pools."""
-    pool = collected_pools(pools(cat, seed))
-    rows = [(p, i, t, b) for p in range(n) for i, (t, b) in enumerate(open_pack(pool, seed + p, length) or [])]
-    return cat.spark.createDataFrame(rows, "pack int, place int, tier string, book_id long")
-
-
 # ---- the same draws for many players at once
 
 
@@ -210,3 +203,61 @@ def spins(cat: Catalogue, seed: int) -> DataFrame:
     reels = {"reel-0": F.col("tier"), "reel-1": reel("reel-1"), "reel-2": reel("reel-2")}
     placed = F.array_sort(F.array(*[F.struct(at(f"place-{k}").alias("at"), v.alias("tier")) for k, v in reels.items()]))
     return won.select("user_id", "tier", "book_id", F.array_join(F.transform(placed, lambda p: p["tier"]), " ").alias("reels"))
+
+
+def book_in_range(cat: Catalogue, low: float, high: float, ratings: int, seed: int, language: str = "en") -> DataFrame:
+    """A seeded draw of one book whose average is in (low, high] and that has as many ratings."""
+    fits = (X.combined_rating(None) > low) & (X.combined_rating(None) <= high) & (X.total_ratings() >= ratings) & (F.col("language") == language)
+    return cat.books.where(fits).orderBy(X.seeded_order(F.col("book_id"), seed), "book_id").limit(1).select("book_id", "title", X.six(X.combined_rating()).alias("combined_rating"))
+
+
+def tiers_in_range(cat: Catalogue, seed: int, language: str = "en") -> DataFrame:
+    """For each tier the book that a case opened from the table draws: one in the tier's range with its ratings, or of the
+    nearest tier that has any, the more common of two first."""
+    r, n = X.combined_rating(None), X.total_ratings()
+    tier = F.coalesce(*[F.when((r > t.low) & (r <= t.high) & (n >= t.ratings), t.name) for t in TIERS])
+    fitting = cat.books.where(F.col("language") == language).withColumn("tier", tier).where("tier is not null")
+    drawn = fitting.groupBy("tier").agg(F.min_by("book_id", F.struct(X.seeded_order(F.col("book_id"), seed), "book_id")).alias("book_id"))
+    names = [t.name for t in TIERS]
+    nearest = cat.spark.createDataFrame([(t, name, i) for t in names for i, name in enumerate([t, *fallback_order(t)])], "rolled string, tier string, distance int")
+    given = nearest.join(F.broadcast(drawn), "tier")  # a row for each tier
+    return given.groupBy("rolled").agg(F.min_by(F.struct("tier", "book_id"), "distance").alias("given")).select("rolled", "given.*")
+
+
+def packs(cat: Catalogue, seed: int, length: int = 8) -> DataFrame:
+    """A pack for each user: (user_id, place, tier, book_id) of `length` different books, as open_pack() draws them with
+    the seed '<seed>:<user_id>'. Pools hold sum(POOL_SIZES) books at most, so a row with all of them is broadcast; a
+    pack's draws are a fold over its places. Without enough books no one gets a pack."""
+    if not 1 <= length <= 25:
+        raise ValueError("a pack has 1 to 25 books")
+    names = [t.name for t in TIERS]
+    books = pools(cat, seed).select("tier", "nth", "book_id")
+    held = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct("nth", "book_id")))), lambda p: p["book_id"]).alias(t)
+    pool = books.agg(*[held(t) for t in names]).withColumn("one", F.lit(1))
+    rows = cat.users.select("user_id", F.lit(1).alias("one")).join(F.broadcast(pool), "one").drop("one")
+    own = F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string"))
+    taken = "array<struct<tier:string,book_id:bigint>>"
+
+    def pick(order: list[str], used: Column, what: Column) -> Column:
+        """The first tier in order with a book that isn't used, and one of these books."""
+        options = []
+        for t in order:
+            left = F.array_except(t, used)
+            options.append(F.when(F.size(left) > 0, F.struct(F.lit(t).alias("tier"), F.get(left, F.floor(what * F.size(left)).cast("int")).alias("book_id"))))
+        return F.coalesce(*options)
+
+    def draw_next(got: Column, i: Column) -> Column:
+        rolled, at = tier_at(uniform_column(own, F.lit("roll"), i)), uniform_column(own, F.lit("book"), i)
+        used = F.transform(got, lambda g: g["book_id"])
+        found = F.coalesce(*[F.when(rolled == t, pick([t, *fallback_order(t)], used, at)) for t in names])
+        return F.concat(got, F.array(found))
+
+    drawn = rows.withColumn("got", F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.array().cast(taken), draw_next)).where(F.forall("got", lambda g: g.isNotNull()))
+    level = lambda g: F.coalesce(*[F.when(g["tier"] == t, F.lit(i)) for i, t in enumerate(names)])
+    lowest = F.array_min(F.transform("got", lambda g, i: F.struct((-level(g)).alias("level"), i.alias("i"))))["i"]
+    used = F.transform(F.filter("got", lambda _, i: i != F.col("lowest")), lambda g: g["book_id"])
+    better = pick(list(reversed(GUARANTEED)), used, uniform_column(own, F.lit("upgrade")))
+    lucky = F.exists("got", lambda g: g["tier"].isin(*GUARANTEED))
+    final = drawn.withColumn("lowest", lowest).withColumn("better", F.when(~lucky, better))
+    swapped = F.transform("got", lambda g, i: F.when(F.col("better").isNotNull() & (i == F.col("lowest")), F.col("better")).otherwise(g))
+    return final.select("user_id", F.posexplode(swapped).alias("place", "b")).select("user_id", "place", "b.tier", "b.book_id")

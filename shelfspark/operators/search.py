@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +18,15 @@ EXPANDED_SCORE = 0.4
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, accents folded for Latin-1 letters."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-case runs of letters and digits, Latin letters without their accents."""
+    return F.regexp_extract_all(X.fold_accents(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def query_terms(text: str) -> list[str]:
+    """terms() of a query."""
+    folded = text.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN))
+    kinds = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded)
+    return kinds.split()
 
 
 def stemmed(words: Column) -> Column:
@@ -28,49 +34,49 @@ def stemmed(words: Column) -> Column:
     return F.udf(lambda found: [stem_of(w) for w in found], "array<string>", useArrow=True)(words)
 
 
-def postings(docs: DataFrame, doc: str, field: str, stem: bool = False) -> DataFrame:
-    """(doc, term, tf, length) of one text field; with stem, terms are English stems."""
-    found = stemmed(terms(F.col(field))) if stem else terms(F.col(field))
-    all_terms = docs.select(F.col(doc).alias("doc"), found.alias("terms")).withColumn("length", F.size("terms"))
-    return all_terms.select("doc", "length", F.explode("terms").alias("term")).groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
-
-
-def field_lengths(docs: DataFrame, field: str) -> tuple[int, float]:
-    """(documents, average length) over documents that have terms in the field."""
-    n, avg = docs.select(F.size(terms(F.col(field))).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).first()
-    return n, avg or 1.0
-
-
 def fuzzy_edits(term: str) -> int:
     """Edits that a query term may be away: none up to 2 letters, one up to 5, else two."""
     return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
 
 
-def bm25(docs: DataFrame, doc: str, field: str, query: str, fuzzy: bool = False, stem: bool = False) -> DataFrame:
-    """(doc, score) of documents with a term of the query, or one near it.
-
-    The index is narrowed to the query's terms before anything is shuffled; document frequencies come from the narrowed
-    rows. A term found through edits counts once for each query term, at its best."""
-    asked = re.findall(r"\w+", query.lower())
-    wanted = sorted({stem_of(w) for w in asked} if stem else set(asked))
-    if not wanted:
+def best_field(docs: DataFrame, doc: str, fields: dict[str, float], query: str, fuzzy: bool = True, stemmed_fields: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, score) of documents with a term of the query, or one near it: the best of the fields' BM25 scores, each
+    times its weight. Terms of stemmed fields, and the query's there, are English stems.
+
+    All fields go through one pass of postings. The index is narrowed to the query's terms where documents are read;
+    document frequencies come from the narrowed rows, a row of statistics for each field from lengths. A term found through
+    edits counts once for each query term, at its best."""
+    asked = query_terms(query)
+    wanted = {f: sorted({stem_of(w) for w in asked} if f in stemmed_fields else set(asked)) for f in fields}
+    if not asked:
         return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("score")).limit(0)
-    n, average = field_lengths(docs, field)
-    found = postings(docs, doc, field, stem)
-    near = [F.when(F.levenshtein(F.col("term"), F.lit(w), fuzzy_edits(w)).between(0, fuzzy_edits(w)) if fuzzy else F.col("term") == w, F.lit(w)) for w in wanted]
-    matched = found.withColumn("asked", F.explode(F.array_compact(F.array(*near))))
-    frequency = matched.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    weighed = matched.join(frequency, "term")
-    idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(average))))
-    per_asked = weighed.withColumn("part", idf * saturation).groupBy("doc", "asked").agg(F.max("part").alias("part"))
-    return per_asked.groupBy("doc").agg(F.sum("part").alias("score"))
+    found = {f: stemmed(terms(F.col(f))) if f in stemmed_fields else terms(F.col(f)) for f in fields}
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), found[f].alias("terms")) for f, w in fields.items()]))
+    rows = docs.select(F.col(doc).alias("doc"), each.alias("f")).select("doc", "f.*").withColumn("length", F.size("terms"))
+    statistics = rows.where("length > 0").groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+
+    def near(term: Column, w: str) -> Column:
+        return F.levenshtein(term, F.lit(w), fuzzy_edits(w)).between(0, fuzzy_edits(w)) if fuzzy else term == w
+
+    def hits(term: Column) -> Column:
+        """The query terms that a term of the row's field stands for."""
+        by_field = [F.when(F.col("field") == f, F.array_compact(F.array(*[F.when(near(term, w), F.lit(w)) for w in ws]))) for f, ws in wanted.items()]
+        return F.coalesce(*by_field)
+
+    hit = rows.select("doc", "field", "weight", "length", F.explode("terms").alias("term")).withColumn("asked", F.explode(hits(F.col("term"))))
+    matched = hit.groupBy("doc", "field", "weight", "length", "term", "asked").agg(F.count("*").alias("tf"))
+    frequency = matched.groupBy("field", "term").agg(F.count_distinct("doc").alias("df"))
+    weighed = matched.join(frequency, ["field", "term"]).join(F.broadcast(statistics), "field")  # a row for each field
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    per_asked = weighed.withColumn("part", idf * saturation).groupBy("doc", "field", "weight", "asked").agg(F.max("part").alias("part"))
+    per_field = per_asked.groupBy("doc", "field", "weight").agg((F.sum("part") * F.col("weight")).alias("score"))
+    return per_field.groupBy("doc").agg(F.max("score").alias("score"))
 
 
-def best_field(docs: DataFrame, doc: str, fields: dict[str, float], query: str, fuzzy: bool = True, stemmed_fields: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, score): the best of the fields' scores, each times its weight."""
-    parts = [bm25(docs, doc, field, query, fuzzy, field in stemmed_fields).withColumn("score", F.col("score") * weight) for field, weight in fields.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.max("score").alias("score"))
+def bm25(docs: DataFrame, doc: str, field: str, query: str, fuzzy: bool = False, stem: bool = False) -> DataFrame:
+    """(doc, score) by one field."""
+    return best_field(docs, doc, {field: 1.0}, query, fuzzy, (field,) if stem else ())
 
 
 def book_documents(cat: Catalogue, since: str | None = None) -> DataFrame:

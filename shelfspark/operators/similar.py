@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
+from shelfspark.operators import signatures as S
 from shelfspark.sources.catalogue import Catalogue
 
 TOP = 20
@@ -40,49 +41,45 @@ def eligible_series(cat: Catalogue, least: int = SOURCE_RATINGS) -> DataFrame:
     return cat.books.where((X.total_ratings() >= least) & F.col("series_id").isNotNull() & (F.col("language") == "en")).select(F.col("series_id").alias("source_id")).distinct()
 
 
-def more_by_author(cat: Catalogue, k: int = TOP) -> DataFrame:
-    """Books that share an author with an eligible book, by average."""
-    sources = cat.book_authors.join(eligible_books(cat), F.col("book_id") == F.col("source_id")).select("source_id", "author_id")
+def more_by_author(cat: Catalogue, k: int = TOP, sources: DataFrame | None = None) -> DataFrame:
+    """Books that share an author with an eligible book, by average. Here and below, sources (source_id) are asked for
+    in place of all eligible ones."""
+    sources = cat.book_authors.join(eligible_books(cat) if sources is None else sources, F.col("book_id") == F.col("source_id")).select("source_id", "author_id")
     targets = cat.book_authors.withColumnRenamed("book_id", "target_id")
     pairs = sources.join(targets, "author_id").where("source_id <> target_id").select("source_id", "target_id").distinct()
     shown = cat.books.where(X.listable()).select(F.col("book_id").alias("target_id"), F.col("avg_rating").alias("score"))
     return ranked(pairs.join(shown, "target_id"), k, F.desc_nulls_last("score"))
 
 
-def more_from_series(cat: Catalogue, k: int = TOP) -> DataFrame:
+def more_from_series(cat: Catalogue, k: int = TOP, sources: DataFrame | None = None) -> DataFrame:
     """Other books of an eligible book's series, by position."""
-    sources = cat.books.join(eligible_books(cat), F.col("book_id") == F.col("source_id")).where("series_id is not null").select("source_id", "series_id")
+    sources = cat.books.join(eligible_books(cat) if sources is None else sources, F.col("book_id") == F.col("source_id")).where("series_id is not null").select("source_id", "series_id")
     shown = cat.books.where(X.listable()).select(F.col("book_id").alias("target_id"), "series_id", F.col("series_position").alias("score"))
     return ranked(sources.join(shown, "series_id").where("source_id <> target_id"), k, F.asc_nulls_last("score"))
 
 
-def _signatures(cat: Catalogue) -> DataFrame:
-    """(book_id, signature): each book's sorted genres, joined."""
-    return cat.book_genres.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set("genre_id")), "|").alias("signature"))
-
-
-def _signature_pairs(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
-    """(source_signature, target_signature, shared, score) of distinct signatures with `least` genres in common."""
-    genre = lambda df, name: df.select(F.col("signature").alias(name)).distinct().withColumn("all", F.split(name, r"\|"))
-    a = genre(left, "source_signature").withColumn("n", F.size("all")).select("source_signature", "n", F.explode("all").alias("genre"))
-    b = genre(right, "target_signature").withColumn("m", F.size("all")).select("target_signature", "m", F.explode("all").alias("genre"))
-    shared = a.join(b, "genre").groupBy("source_signature", "target_signature", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    return shared.select("source_signature", "target_signature", "shared", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score"))
-
-
 def similar_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
-    signed = _signatures(cat)
+    """English books by Jaccard of genres, among the first CANDIDATES by genres shared.
+
+    All sources of one signature have the same candidates but for themselves, so two short rankings for each signature
+    answer for all its books: of the first CANDIDATES, for books that aren't among them, and of one more candidate."""
+    signed = S.signed(cat)
     sources = signed.join(eligible_books(cat), F.col("book_id") == F.col("source_id")).select("source_id", F.col("signature").alias("source_signature"))
-    rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select("book_id", "rating_count", "primary_cover_url", "language")
-    targets = rated.join(signed, "book_id")
-    pairs = _signature_pairs(sources.select(F.col("source_signature").alias("signature")), targets)
-    shown = targets.select(F.col("book_id").alias("target_id"), F.col("signature").alias("target_signature"), "rating_count", X.listable().alias("shown"))
-    # Sources of one signature have the same candidates but for themselves, so one more than CANDIDATES is enough.
+    rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select(F.col("book_id").alias("target_id"), "rating_count", X.listable().alias("shown"))
+    targets = rated.join(signed.select(F.col("book_id").alias("target_id"), F.col("signature").alias("target_signature")), "target_id")
+    books = S.numbered(targets, "target_signature", CANDIDATES + 1, F.asc("target_id"))
+    sizes = books.groupBy("target_signature").agg(F.count("*").alias("held"))
+    pairs = S.signature_pairs(sources.select(F.col("source_signature").alias("signature")), sizes.select(F.col("target_signature").alias("signature")))
+    levels = pairs.join(sizes, "target_signature").withColumn("need", F.least(F.col("held"), F.lit(CANDIDATES + 1) - S.before("shared", "held", "source_signature")))
+    found = S.first_of(levels, books, "target_signature").drop("nth", "need", "held")
     per_signature = F.row_number().over(Window.partitionBy("source_signature").orderBy(F.desc("shared"), "target_id"))
-    candidates = pairs.join(shown, "target_signature").withColumn("nth", per_signature).where(F.col("nth") <= CANDIDATES + 1).drop("nth")
-    first = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), "target_id"))
-    own = sources.join(candidates, "source_signature").where("source_id <> target_id").withColumn("nth", first).where(F.col("nth") <= CANDIDATES)
-    return ranked(own.where("shown"), k, F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"))
+    candidates = found.withColumn("nth", per_signature).where(F.col("nth") <= CANDIDATES + 1)
+    among = sources.join(candidates.where(F.col("nth") <= CANDIDATES).select("source_signature", F.col("target_id").alias("source_id"), F.lit(True).alias("among")), ["source_signature", "source_id"], "left")
+    best = Window.partitionBy("source_signature").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"), "target_id")
+    first = lambda n, most, among: candidates.where(F.col("shown") & (F.col("nth") <= n)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).withColumn("with_self", F.lit(among))
+    short = first(CANDIDATES, k, False).unionByName(first(CANDIDATES + 1, k + 1, True))
+    own = among.withColumn("with_self", F.coalesce("among", F.lit(False))).join(short, ["source_signature", "with_self"]).where("source_id <> target_id")
+    return ranked(own, k, F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"))
 
 
 def _reader_pairs(sources: DataFrame, targets: DataFrame, least: int = 3) -> DataFrame:
@@ -116,13 +113,13 @@ def _author_books(cat: Catalogue) -> DataFrame:
     return cat.book_authors.join(english, "book_id").groupBy(F.col("author_id").alias("target_id")).agg(F.count("*").alias("book_count"))
 
 
-def authors_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
+def authors_by_genre(cat: Catalogue, k: int = TOP, sources: DataFrame | None = None) -> DataFrame:
     """Authors by Jaccard of genre sets; what is shared counts the candidate's English books only."""
     linked = cat.book_authors.join(cat.book_genres, "book_id")
     every = linked.select("author_id", "genre_id").distinct()
     english = linked.join(cat.books.where("language = 'en'").select("book_id"), "book_id", "left_semi").select(F.col("author_id").alias("target_id"), "genre_id").distinct()
     sizes = every.groupBy("author_id").agg(F.count("*").alias("n"))
-    sources = every.join(eligible_authors(cat), F.col("author_id") == F.col("source_id")).select("source_id", "genre_id")
+    sources = every.join(eligible_authors(cat) if sources is None else sources, F.col("author_id") == F.col("source_id")).select("source_id", "genre_id")
     shared = sources.join(english, "genre_id").where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.count("*").alias("shared")).where("shared >= 2")
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), "target_id"))
     shared = shared.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES)
@@ -142,25 +139,32 @@ def _series_of(cat: Catalogue) -> DataFrame:
     return cat.books.where("series_id is not null").select("book_id", "series_id")
 
 
-def series_more_by_author(cat: Catalogue, k: int = TOP) -> DataFrame:
+def series_more_by_author(cat: Catalogue, k: int = TOP, sources: DataFrame | None = None) -> DataFrame:
     """Books outside the series by its authors, by average."""
-    writers = _series_of(cat).join(cat.book_authors, "book_id").select(F.col("series_id").alias("source_id"), "author_id").distinct().join(eligible_series(cat), "source_id")
+    writers = _series_of(cat).join(cat.book_authors, "book_id").select(F.col("series_id").alias("source_id"), "author_id").distinct().join(eligible_series(cat) if sources is None else sources, "source_id")
     pairs = writers.join(cat.book_authors.withColumnRenamed("book_id", "target_id"), "author_id").select("source_id", "target_id").distinct()
     shown = cat.books.where(X.listable()).select(F.col("book_id").alias("target_id"), F.col("avg_rating").alias("score"), "series_id")
     return ranked(pairs.join(shown, "target_id").where(~F.col("series_id").eqNullSafe(F.col("source_id"))), k, F.desc_nulls_last("score"))
 
 
 def series_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
-    """Books outside the series by Jaccard of their genres and all genres of the series."""
-    own = _series_of(cat).join(cat.book_genres, "book_id").select(F.col("series_id").alias("source_id"), "genre_id").distinct().join(eligible_series(cat), "source_id")
-    sizes = own.groupBy("source_id").agg(F.count("*").alias("n"))
-    rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select("book_id", "series_id", "rating_count", X.listable().alias("shown"))
-    tagged = rated.join(cat.book_genres, "book_id")
-    many = cat.book_genres.groupBy("book_id").agg(F.count("*").alias("m"))
-    shared = own.join(tagged, "genre_id").where(~F.col("series_id").eqNullSafe(F.col("source_id"))).groupBy("source_id", F.col("book_id").alias("target_id"), "rating_count", "shown").agg(F.count("*").alias("shared")).where("shared >= 2")
+    """Books outside the series by Jaccard of their genres and all genres of the series: signatures are compared with
+    series, and only their first books are fetched, as many as a series may have among its candidates and one for each
+    of its own."""
+    members = _series_of(cat)
+    own = members.join(cat.book_genres, "book_id").select(F.col("series_id").alias("source_id"), "genre_id").distinct().join(eligible_series(cat), "source_id")
+    sizes = own.groupBy("source_id").agg(F.count("*").alias("n")).join(members.groupBy(F.col("series_id").alias("source_id")).agg(F.count("*").alias("members")), "source_id")
+    rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select(F.col("book_id").alias("target_id"), "series_id", "rating_count", X.listable().alias("shown"))
+    targets = rated.join(S.signed(cat).withColumnRenamed("book_id", "target_id"), "target_id")
+    deepest = (sizes.agg(F.max("members")).first()[0] or 0) + CANDIDATES
+    books = S.numbered(targets, "signature", deepest, F.asc("target_id"))
+    held = books.groupBy("signature").agg(F.count("*").alias("held"))
+    tagged = held.select("signature", "held", F.size(S.genres_of(F.col("signature"))).alias("m"), F.explode(S.genres_of(F.col("signature"))).alias("genre_id"))
+    shared = own.join(tagged, "genre_id").groupBy("source_id", "signature", "held", "m").agg(F.count("*").alias("shared")).where("shared >= 2").join(sizes, "source_id")
+    asked = shared.withColumn("need", F.least(F.col("held"), F.col("members") + CANDIDATES - S.before("shared", "held", "source_id")))
+    found = S.first_of(asked, books, "signature").drop("nth").where(~F.col("series_id").eqNullSafe(F.col("source_id")))
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), "target_id"))
-    shared = shared.withColumn("nth", nth).where((F.col("nth") <= CANDIDATES)).where("shown")
-    scored = shared.join(sizes, "source_id").join(many.withColumnRenamed("book_id", "target_id"), "target_id").withColumn("score", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
+    scored = found.withColumn("nth", nth).where((F.col("nth") <= CANDIDATES)).where("shown").withColumn("score", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")))
     return ranked(scored, k, F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"))
 
 
@@ -185,6 +189,34 @@ def precompute(cat: Catalogue, k: int = TOP) -> DataFrame:
     parts = []
     for kind, sections in SECTIONS.items():
         for key, build in sections.items():
-            found = build(cat, k).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("rank", "target_id"))).alias("found"))
-            parts.append(found.select(F.lit(kind).alias("entity_type"), F.col("source_id").cast("string").alias("entity_id"), F.lit(key).alias("section_key"), F.col("found.target_id").alias("similar_ids")))
+            parts.append(_listed(build(cat, k), kind, key))
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Sections that are built at once for an entity without precomputed ones.
+COLD = {"book": {"more_by_author": more_by_author, "more_from_series": more_from_series}, "author": {"similar_authors": authors_by_genre}, "series": {"more_by_author": series_more_by_author}}
+
+
+def _listed(found: DataFrame, kind: str, key: str) -> DataFrame:
+    rows = found.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("rank", "target_id"))).alias("found"))
+    return rows.select(F.lit(kind).alias("entity_type"), F.col("source_id").cast("string").alias("entity_id"), F.lit(key).alias("section_key"), F.col("found.target_id").alias("similar_ids"))
+
+
+def cold_sections(cat: Catalogue, asked: DataFrame, precomputed: DataFrame, k: int = TOP) -> DataFrame:
+    """(entity_type, entity_id, section_key, similar_ids) of the entities asked for (entity_type, entity_id) that have no
+    precomputed section: the few sections that don't depend on readers."""
+    cold = asked.select("entity_type", "entity_id").distinct().join(precomputed.select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti")
+    parts = []
+    for kind, sections in COLD.items():
+        ids = cold.where(F.col("entity_type") == kind).select(F.col("entity_id").alias("source_id") if kind == "series" else F.col("entity_id").try_cast("long").alias("source_id"))
+        parts += [_listed(build(cat, k, ids), kind, key) for key, build in sections.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_sections(cat: Catalogue, sections: DataFrame, k: int = TOP) -> DataFrame:
+    """(entity_type, entity_id, section_key, rank, target_id, title, slug): the first k targets of sections, named, in
+    the order in which they are listed; targets that no longer are in the catalogue are left out."""
+    listed = sections.select("entity_type", "entity_id", "section_key", F.posexplode(F.slice("similar_ids", 1, k)).alias("pos", "target_id"))
+    named = cat.books.select(F.lit(False).alias("person"), F.col("book_id").alias("target_id"), "title", "slug").unionByName(cat.authors.select(F.lit(True).alias("person"), F.col("author_id").alias("target_id"), F.col("name").alias("title"), "slug"))
+    found = listed.withColumn("person", F.col("entity_type") == "author").join(named, ["person", "target_id"])
+    return found.select("entity_type", "entity_id", "section_key", (F.col("pos") + 1).alias("rank"), "target_id", "title", "slug")

@@ -133,6 +133,22 @@ def hydrate(cat: Catalogue, ids: DataFrame) -> DataFrame:
     return ids.join(meta, "book_id").join(cat.author_names, "book_id", "left").orderBy("position")
 
 
+def resolved(cat: Catalogue, names: DataFrame) -> DataFrame:
+    """Rows (username, slug, language) with the user_id and book_id that they name; null where there is none."""
+    users = cat.users.select("user_id", "username")
+    books = cat.books.select("book_id", "slug", "language")
+    return names.join(users, "username", "left").join(books, ["slug", "language"], "left")
+
+
+def point_reads(cat: Catalogue, pairs: DataFrame) -> DataFrame:
+    """What users hold of books, for rows (user_id, book_id): status, is_favorite, overall_rating, comments (their
+    number); one row for each pair asked for, nulls where there is nothing."""
+    keys = ["user_id", "book_id"]
+    shelves = cat.bookshelves.select(*keys, "status", "is_favorite")
+    said = cat.comments.groupBy(*keys).agg(F.count("*").alias("comments"))
+    return pairs.distinct().join(shelves, keys, "left").join(cat.ratings.select(*keys, "overall_rating"), keys, "left").join(said, keys, "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
+
+
 def affected_users(cat: Catalogue, book_ids: DataFrame) -> DataFrame:
     """Users with anything on one of the books."""
     tables = (cat.bookshelves, cat.ratings, cat.comments)

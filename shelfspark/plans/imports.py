@@ -12,14 +12,14 @@ from shelfspark.functions import expressions as X
 from shelfspark.operators import ingest, merge
 from shelfspark.plans.oracle import sql
 from shelfspark.sources import dumps
-from shelfspark.sources.catalogue import Catalogue
+from shelfspark.sources.catalogue import Catalogue, catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def add(key: str, build: Callable[[Catalogue], DataFrame], oracle: str) -> None:
-    QUERIES[key] = lambda spark, sf_dir: build(Catalogue(spark, sf_dir))
+    QUERIES[key] = lambda spark, sf_dir: build(catalogue(spark, sf_dir))
     ORACLE_SQL[key] = oracle
 
 

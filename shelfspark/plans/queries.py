@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -14,7 +13,7 @@ from shelfspark.functions import expressions as X
 from shelfspark.functions import text as T
 from shelfspark.operators import browse, cleanup, discover, lists, merge, personal, profile, sampling, search, similar, userdata
 from shelfspark.plans.oracle import sql
-from shelfspark.sources.catalogue import Catalogue
+from shelfspark.sources.catalogue import Catalogue, catalogue, shared_dir
 from shelfspark.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +23,7 @@ SEED = 42
 
 
 def add(key: str, build: Callable[[Catalogue], DataFrame], oracle: str | None = None) -> None:
-    QUERIES[key] = lambda spark, sf_dir: build(Catalogue(spark, sf_dir))
+    QUERIES[key] = lambda spark, sf_dir: build(catalogue(spark, sf_dir))
     if oracle:
         ORACLE_SQL[key] = oracle
 
@@ -704,8 +703,7 @@ add("m02_changed_since", _reindexed, "SELECT event_id, CASE WHEN ts < TIMESTAMP
 
 def _streamed(cat: Catalogue, table: str, sink: Callable[[str], Callable[[DataFrame, int], None]], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table that a sink has made of another, streamed."""
-    shared = cat.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shelfspark-')}"
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(cat.spark)}/stream-{uuid.uuid4().hex}"
     stream = cat.spark.readStream.schema(cat.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(cat.sf_dir)
     counters.drain(change(stream), sink(f"{root}/table"), f"{root}/checkpoint", "append")
     return cat.spark.read.parquet(f"{root}/table")
@@ -734,8 +732,7 @@ add(
 
 def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, folded into a table of running counts."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shelfspark-')}"
-    root = f"{shared.rstrip('/')}/views-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counters.drain(counters.view_counts(stream), counters.fold_counts(f"{root}/table"), f"{root}/checkpoint")
@@ -746,7 +743,7 @@ QUERIES["m03_view_counts"] = _drained
 ORACLE_SQL["m03_view_counts"] = """
 SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id, count(*) AS view_count, epoch_us(max(ts)) AS last_viewed FROM events WHERE event_type = 'view' GROUP BY 1"""
 
-from shelfspark.plans import imports  # noqa: E402
+from shelfspark.plans import imports, merges  # noqa: E402
 
-QUERIES |= imports.QUERIES
-ORACLE_SQL |= imports.ORACLE_SQL
+QUERIES |= imports.QUERIES | merges.QUERIES
+ORACLE_SQL |= imports.ORACLE_SQL | merges.ORACLE_SQL

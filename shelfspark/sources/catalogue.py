@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,15 @@ from shelfspark.functions.expressions import DIMENSIONS, READER_SHELVES, average
 
 @dataclass(frozen=True)
 class Catalogue:
-    """Tables by their reader; each is read when it is first asked for."""
+    """Tables by their reader; each is read when it is first asked for. With keep, tables that take a join or a
+    grouping to present stay in executors' memory or on their disks; what a lost executor held is derived again."""
 
     spark: SparkSession
     sf_dir: str
+    keep: bool = False
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -29,7 +35,7 @@ class Catalogue:
         last = F.max(F.struct("o_orderdate", "l_orderkey", "l_linenumber", "o_orderstatus", "l_returnflag", "l_quantity"))
         latest = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).agg(last.alias("last"))
         status = F.when(F.col("last.o_orderstatus") == "F", "read").when(F.col("last.o_orderstatus") == "O", "reading").when(F.col("last.l_returnflag") == "R", "abandoned").otherwise("want_to_read")
-        return latest.select("user_id", "book_id", status.alias("status"), (F.col("last.l_quantity") >= 46).alias("is_favorite"), F.col("last.o_orderdate").alias("updated_at"))
+        return self.kept(latest.select("user_id", "book_id", status.alias("status"), (F.col("last.l_quantity") >= 46).alias("is_favorite"), F.col("last.o_orderdate").alias("updated_at")))
 
     @cached_property
     def ratings(self) -> DataFrame:
@@ -48,7 +54,7 @@ class Catalogue:
     def view_counts(self) -> DataFrame:
         """Views of each entity id that the event stream names."""
         views = self.table("events").where("event_type = 'view'")
-        return views.groupBy(F.get_json_object("props", "$.k").cast("long").alias("entity_id")).agg(F.count("*").alias("view_count"))
+        return self.kept(views.groupBy(F.get_json_object("props", "$.k").cast("long").alias("entity_id")).agg(F.count("*").alias("view_count")))
 
     @cached_property
     def books(self) -> DataFrame:
@@ -62,7 +68,7 @@ class Catalogue:
         rated = self.ratings.groupBy(F.col("book_id").alias("p_partkey")).agg(F.count("*").alias("rating_count"), F.sum(F.col("overall_rating") * 2).cast("long").alias("halves"))
         factor, known = F.lit(1) + p % 40, p % 18 != 0
         some = lambda x: F.coalesce(F.col(x), F.lit(0)) * factor
-        return (
+        return self.kept(
             self.table("part")
             .join(sold, "p_partkey", "left")
             .join(rated, "p_partkey", "left")
@@ -101,7 +107,7 @@ class Catalogue:
 
     @cached_property
     def book_authors(self) -> DataFrame:
-        return self.table("lineitem").where("l_linenumber = 1 and l_quantity >= 46").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id")).distinct()
+        return self.table("lineitem").where("l_linenumber = 1 and l_quantity >= 46").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id")).distinct().transform(self.kept)
 
     @cached_property
     def book_genres(self) -> DataFrame:
@@ -143,4 +149,20 @@ class Catalogue:
         """Sorted names and slugs of each book's authors."""
         linked = self.book_authors.join(self.authors.select("author_id", "name", "slug"), "author_id")
         text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-        return linked.groupBy("book_id").agg(text("name").alias("author_names"), text("slug").alias("author_slugs"))
+        return self.kept(linked.groupBy("book_id").agg(text("name").alias("author_names"), text("slug").alias("author_slugs")))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of the warehouse where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
+
+
+_OPEN: dict[tuple[str, str], Catalogue] = {}
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The application's catalogue of a folder: queries share the tables that it keeps."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = Catalogue(spark, sf_dir, keep=True)
+    return _OPEN[key]

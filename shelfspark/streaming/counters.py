@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.operators.merge import replace
+from shelfspark.operators.merge import recovered, replace
 
 
 def view_counts(events: DataFrame) -> DataFrame:
@@ -44,9 +44,8 @@ def fold_counts(path: str) -> Callable[[DataFrame, int], None]:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         new = batch.persist()
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if recovered(spark, path):
             old = spark.read.parquet(path).join(new, "entity_id", "left_anti")
             replace(old.unionByName(new), path)
         else:
@@ -66,9 +65,8 @@ def fold_best(path: str, keys: list[str], order: list[str]) -> Callable[[DataFra
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         new = best(batch)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if recovered(spark, path):
             new = best(spark.read.parquet(path).unionByName(new))
         replace(new, path)
 
@@ -83,8 +81,7 @@ def recompute_touched(source: Callable[[], DataFrame], compute: Callable[[DataFr
         spark = batch.sparkSession
         touched = batch.select(key).distinct().persist()
         new = compute(source().join(touched, key, "left_semi"))
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if recovered(spark, path):
             new = spark.read.parquet(path).join(touched, key, "left_anti").unionByName(new)
         replace(new, path)
         touched.unpersist()
