@@ -57,6 +57,15 @@ def book_details(cat: Catalogue) -> DataFrame:
     return wide.select("book_id", "title", "slug", "language", empty("author_names"), empty("genres"), empty("series_id"), "series_position", zero("want_to_read"), zero("reading"), zero("read"), F.col("total_readers").cast("long").alias("total_readers"), X.six(X.combined_rating(None)).alias("combined_rating"))
 
 
+def author_arrays(cat: Catalogue) -> DataFrame:
+    """(book_id, authors): id, name, slug and photo of each book's authors, in order of their ids; an empty array where
+    there are none."""
+    linked = cat.book_authors.join(cat.authors, "author_id").select("book_id", F.struct("author_id", "name", "slug", F.coalesce("photo_url", F.lit("")).alias("photo_url")).alias("a"))
+    arrays = linked.groupBy("book_id").agg(F.array_sort(F.collect_set("a")).alias("authors"))
+    empty = F.array().cast("array<struct<author_id:bigint,name:string,slug:string,photo_url:string>>")
+    return cat.books.select("book_id").join(arrays, "book_id", "left").select("book_id", F.coalesce("authors", empty).alias("authors"))
+
+
 def book_by_slug(cat: Catalogue, slug: str, language: str = "en") -> DataFrame:
     return book_details(cat).where((F.col("slug") == slug) & (F.col("language") == language))
 

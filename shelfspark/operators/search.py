@@ -139,12 +139,12 @@ def search_categories(cat: Catalogue, query: str, language: str = "en") -> DataF
     return cat.books.where(F.col("language") == language).join(ids, "book_id", "left_semi").select("book_id", "title", X.total_ratings().cast("long").alias("rating_count"), X.six(F.coalesce("avg_rating", F.lit(0.0))).alias("avg_rating"), "created_at")
 
 
-def federated(cat: Catalogue, query: str, limit: int = 10, kind: str = "all", language: str = "en") -> DataFrame:
-    """Hits of all kinds in one list. With kind all, authors and series found bring their best books at a fixed low
+def federated(cat: Catalogue, query: str, limit: int = 10, kind: str = "all", language: str = "en", stem: bool = True) -> DataFrame:
+    """Hits of all kinds in one list; books are compared by stems unless stem is false. With kind all, authors and series found bring their best books at a fixed low
     score; of hits of one thing the best counts."""
     parts = []
     if kind in ("all", "books"):
-        parts.append(search_books(cat, query, language))
+        parts.append(search_books(cat, query, language, stem))
     if kind in ("all", "authors"):
         parts.append(authors := search_authors(cat, query, language).orderBy(F.desc("score"), "id").limit(limit * 2))
     if kind in ("all", "series"):

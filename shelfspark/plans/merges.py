@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,9 @@ from shelfspark.functions import expressions as X
 from shelfspark.functions import text as T
 from shelfspark.operators import batch, browse, cleanup, ingest, merge, sampling, search, similar, userdata
 from shelfspark.plans.oracle import sql
-from shelfspark.sources.catalogue import Catalogue, catalogue
+from shelfspark.sources import dumps
+from shelfspark.sources.catalogue import Catalogue, catalogue, shared_dir
+from shelfspark.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -396,3 +399,122 @@ def _with_unread(cat: Catalogue):
 
     return Wider
 
+
+add(
+    "x09_author_arrays",
+    lambda cat: browse.author_arrays(cat).select("book_id", F.to_json("authors").alias("authors")),
+    sql("SELECT book_id, coalesce(a, '[]') AS authors FROM books LEFT JOIN (SELECT book_id, CAST(to_json(list({'author_id': author_id, 'name': name, 'slug': slug, 'photo_url': coalesce(photo_url, '')} ORDER BY author_id)) AS VARCHAR) AS a FROM book_authors JOIN authors USING (author_id) GROUP BY 1) USING (book_id)"),
+)
+
+# ---- searches, comments and cases in other forms
+
+
+def _federated_sql(query: str) -> str:
+    """Hits of books, the first twenty authors and series, and these two's best books at a fixed score."""
+    from shelfspark.plans import queries as q
+
+    books = q.hits_sql("book", q.ORACLE_SQL["q01_book_docs"], "book_id", "title", q.BOOK_FIELDS, query)
+    authors = q.hits_sql("author", q.ORACLE_SQL["q02_author_rollup"], "author_id", "name", q.NAME_FIELDS, query)
+    series = q.hits_sql("series", q.ORACLE_SQL["q03_series_rollup"], "series_id", "name", q.NAME_FIELDS, query)
+    best = "SELECT book_id, title FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY total_ratings DESC, avg_rating DESC NULLS LAST, book_id) AS nth FROM {t} WHERE language = 'en') WHERE nth <= 3"
+    return sql(
+        f"""
+SELECT type, id, max(title) AS title, max(score) AS score FROM (
+  SELECT * FROM b UNION ALL SELECT * FROM a UNION ALL SELECT * FROM s
+  UNION ALL SELECT 'book', CAST(book_id AS VARCHAR), title, 0.4::DOUBLE FROM ({best.format(k='author_id', t='book_authors JOIN rated USING (book_id) JOIN (SELECT CAST(id AS BIGINT) AS author_id FROM a) USING (author_id)')})
+  UNION ALL SELECT 'book', CAST(book_id AS VARCHAR), title, 0.4::DOUBLE FROM ({best.format(k='series_id', t='rated JOIN (SELECT id AS series_id FROM s) USING (series_id)')}))
+GROUP BY 1, 2 ORDER BY score DESC, type, id LIMIT 10""",
+        b=books,
+        a=f"SELECT * FROM ({authors}) ORDER BY score DESC, id LIMIT 20",
+        s=f"SELECT * FROM ({series}) ORDER BY score DESC, id LIMIT 20",
+    )
+
+
+def add_after_queries() -> None:
+    """Queries whose SQL is made of that of queries registered before."""
+    for key, query in (("q09b_search_unstemmed", "gren brand"), ("q09c_search_names", "supplier 12")):
+        add(key, lambda cat, query=query: search.federated(cat, query, stem=False), _federated_sql(query))
+    add("g06_cases", _cases, _cases_sql())
+
+
+def _rated_comments(cat: Catalogue) -> DataFrame:
+    """Comments of the shelves' own users, so that some have ratings, by exact rating."""
+    said = cat.ratings.where("user_id % 3 = 0").select((F.col("user_id") * 1_000_000 + F.col("book_id")).alias("comment_id"), "user_id", "book_id", F.lit("x").alias("body"), (F.col("book_id") % 2 == 0).alias("is_spoiler"), F.timestamp_seconds(F.col("book_id")).alias("created_at"))
+
+    class Wider:
+        comments, ratings, users = said, cat.ratings, cat.users
+
+    return userdata.book_comments(Wider, rating=4.5, limit=3)
+
+
+add(
+    "u08_exact_rating",
+    _rated_comments,
+    sql(
+        """SELECT book_id, CAST(position AS INTEGER) AS position, comment_id, username, overall_rating, is_spoiler, total FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY overall_rating DESC NULLS LAST, created_at DESC, comment_id DESC) AS position, count(*) OVER (PARTITION BY book_id) AS total
+  FROM (SELECT user_id * 1000000 + book_id AS comment_id, book_id, coalesce(username, '') AS username, overall_rating, book_id % 2 = 0 AS is_spoiler, to_timestamp(book_id) AS created_at FROM ratings LEFT JOIN users USING (user_id) WHERE user_id % 3 = 0 AND overall_rating = 4.5)) WHERE position <= 3"""
+    ),
+)
+
+
+def _cases(cat: Catalogue) -> DataFrame:
+    """A case for each user: the winner of a spin."""
+    return sampling.spins(cat, SEED).select("user_id", "tier", "book_id")
+
+
+def _cases_sql() -> str:
+    from shelfspark.plans import queries as q
+
+    return f"SELECT user_id, tier, book_id FROM ({q.ORACLE_SQL['g10_slots']})"
+
+
+# ---- input that is damaged, phases that are resumed, streams that go on
+
+
+def _damaged(cat: Catalogue) -> DataFrame:
+    """Dump lines of authors of which some are cut off, lack fields, or are of another kind."""
+    from shelfspark.plans import imports
+
+    lines = imports.author_lines(cat).select("value", F.regexp_extract("value", r"OL(\d+)A", 1).cast("long").alias("n"))
+    damaged = F.when(F.col("n") % 4 == 0, F.substring("value", 1, 40)).when(F.col("n") % 4 == 1, F.replace("value", F.lit("\t"), F.lit(" "))).when(F.col("n") % 4 == 2, F.replace("value", F.lit("/type/author"), F.lit("/type/edition"))).otherwise(F.col("value"))
+    return dumps.records(lines.select(damaged.alias("value")), "/type/author", dumps.AUTHOR).select("key", "name")
+
+
+add("s04_damaged_lines", _damaged, "SELECT '/authors/OL' || s_suppkey || 'A' AS key, s_name AS name FROM supplier WHERE s_suppkey % 4 = 3")
+
+
+def _phases(cat: Catalogue) -> DataFrame:
+    """Which phases run: a broken run first, then the resumed one, then one with nothing left to do."""
+    root = f"{shared_dir(cat.spark)}/phases-{uuid.uuid4().hex}"
+    first = lambda: cat.genres.select("genre_id")
+    second = lambda: cat.spark.read.parquet(f"{root}/genres").agg(F.count("*").alias("n"))
+
+    def broken() -> DataFrame:
+        raise OSError("broken off")
+
+    runs = []
+    for phases in ({"genres": first, "counts": broken}, {"genres": first, "counts": second}, {"genres": first, "counts": second}):
+        try:
+            runs.append(ingest.run_phases(phases, root, cat.spark))
+        except OSError:
+            runs.append(["broken"])
+    found = cat.spark.read.parquet(f"{root}/counts")
+    return found.select(F.lit("/".join("+".join(r) for r in runs)).alias("runs"), "n")
+
+
+add("e07_resumed_phases", _phases, sql("SELECT 'broken/counts/' AS runs, count(*) AS n FROM genres"))
+
+
+def _resumed_views(cat: Catalogue) -> DataFrame:
+    """Views counted by a stream that takes one file at a time, ends, and goes on when more files are there."""
+    root = f"{shared_dir(cat.spark)}/resumed-{uuid.uuid4().hex}"
+    events = cat.table("events")
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if part % 2:
+            stream = counters.event_stream(cat.spark, f"{root}/in", 1)
+            counters.drain(counters.view_counts(stream), counters.fold_counts(f"{root}/table"), f"{root}/checkpoint")
+    return cat.spark.read.parquet(f"{root}/table").select("entity_id", "view_count")
+
+
+add("m05_resumed_views", _resumed_views, """SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id, count(*) AS view_count FROM events WHERE event_type = 'view' GROUP BY 1""")

@@ -745,5 +745,6 @@ SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id,
 
 from shelfspark.plans import imports, merges  # noqa: E402
 
+merges.add_after_queries()
 QUERIES |= imports.QUERIES | merges.QUERIES
 ORACLE_SQL |= imports.ORACLE_SQL | merges.ORACLE_SQL

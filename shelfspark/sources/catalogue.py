@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expressions import DIMENSIONS, READER_SHELVES, average_of_halves
 
 
+def kept(cat: Catalogue, df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if getattr(cat, "keep", False) else df
+
+
 @dataclass(frozen=True)
 class Catalogue:
     """Tables by their reader; each is read when it is first asked for. With keep, tables that take a join or a
@@ -21,9 +25,6 @@ class Catalogue:
     sf_dir: str
     keep: bool = False
 
-    def kept(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -35,7 +36,7 @@ class Catalogue:
         last = F.max(F.struct("o_orderdate", "l_orderkey", "l_linenumber", "o_orderstatus", "l_returnflag", "l_quantity"))
         latest = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id")).agg(last.alias("last"))
         status = F.when(F.col("last.o_orderstatus") == "F", "read").when(F.col("last.o_orderstatus") == "O", "reading").when(F.col("last.l_returnflag") == "R", "abandoned").otherwise("want_to_read")
-        return self.kept(latest.select("user_id", "book_id", status.alias("status"), (F.col("last.l_quantity") >= 46).alias("is_favorite"), F.col("last.o_orderdate").alias("updated_at")))
+        return kept(self, latest.select("user_id", "book_id", status.alias("status"), (F.col("last.l_quantity") >= 46).alias("is_favorite"), F.col("last.o_orderdate").alias("updated_at")))
 
     @cached_property
     def ratings(self) -> DataFrame:
@@ -54,7 +55,7 @@ class Catalogue:
     def view_counts(self) -> DataFrame:
         """Views of each entity id that the event stream names."""
         views = self.table("events").where("event_type = 'view'")
-        return self.kept(views.groupBy(F.get_json_object("props", "$.k").cast("long").alias("entity_id")).agg(F.count("*").alias("view_count")))
+        return kept(self, views.groupBy(F.get_json_object("props", "$.k").cast("long").alias("entity_id")).agg(F.count("*").alias("view_count")))
 
     @cached_property
     def books(self) -> DataFrame:
@@ -68,7 +69,8 @@ class Catalogue:
         rated = self.ratings.groupBy(F.col("book_id").alias("p_partkey")).agg(F.count("*").alias("rating_count"), F.sum(F.col("overall_rating") * 2).cast("long").alias("halves"))
         factor, known = F.lit(1) + p % 40, p % 18 != 0
         some = lambda x: F.coalesce(F.col(x), F.lit(0)) * factor
-        return self.kept(
+        return kept(
+            self,
             self.table("part")
             .join(sold, "p_partkey", "left")
             .join(rated, "p_partkey", "left")
@@ -95,7 +97,7 @@ class Catalogue:
                 some("a").alias("ol_currently_reading_count"),
                 some("r").alias("ol_already_read_count"),
                 F.coalesce("view_count", F.lit(0)).alias("view_count"),
-            )
+            ),
         )
 
     @cached_property
@@ -107,7 +109,7 @@ class Catalogue:
 
     @cached_property
     def book_authors(self) -> DataFrame:
-        return self.table("lineitem").where("l_linenumber = 1 and l_quantity >= 46").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id")).distinct().transform(self.kept)
+        return self.table("lineitem").where("l_linenumber = 1 and l_quantity >= 46").select(F.col("l_partkey").alias("book_id"), F.col("l_suppkey").alias("author_id")).distinct().transform(lambda df: kept(self, df))
 
     @cached_property
     def book_genres(self) -> DataFrame:
@@ -149,7 +151,7 @@ class Catalogue:
         """Sorted names and slugs of each book's authors."""
         linked = self.book_authors.join(self.authors.select("author_id", "name", "slug"), "author_id")
         text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-        return self.kept(linked.groupBy("book_id").agg(text("name").alias("author_names"), text("slug").alias("author_slugs")))
+        return kept(self, linked.groupBy("book_id").agg(text("name").alias("author_names"), text("slug").alias("author_slugs")))
 
 
 def shared_dir(spark: SparkSession) -> str:
