@@ -66,3 +66,35 @@ def test_blocks_below_the_kth_score_are_skipped():
         s[rows[q]] = topk.LOW + 1
         order = np.lexsort((np.arange(len(s)), -s))[:5]
         assert best.vec[best.q == q].tolist() == order.tolist()
+
+
+@pytest.mark.parametrize("pile, chunk", [(1, 7), (3, 2048)])
+def test_many_piles_and_chunks_against_brute_force(spark, tmp_path, monkeypatch, pile, chunk):
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "MAX_PILES", 40)
+    rng = np.random.default_rng(pile)
+    rows = [(i, [float(x) for x in rng.normal(size=5) + 6 * (i % 7)]) for i in range(600)] + [(i, [1.0] * 5) for i in range(600, 700)]
+    path = f"file://{tmp_path}/v"
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
+    got = sorted((tuple(r) for r in topk.top_k(spark.read.parquet(path), "vec_id % 50 = 0", block=8, pile=pile).collect()), key=key)
+    assert got == sorted(brute(rows), key=key)
+
+
+def test_queries_go_to_piles_that_can_reach_their_floor():
+    """Of piles apart from each other nearly none besides the first is asked; of equal bounds only those whose ids could win."""
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(50, 12)) * 200
+    members = [(m + rng.normal(size=(100, 12)) * 5).astype(np.int64) for m in middles]
+    piles = topk.Piles(np.arange(50) * 100, np.stack([v.max(axis=0) for v in members]), np.stack([v.min(axis=0) for v in members]))
+    queries = np.concatenate([v[:3] for v in members])
+    first = np.argmax(piles.bounds(queries), axis=1)
+    floors = np.array([np.sort(members[p] @ q)[-5] for p, q in zip(first, queries)])
+    batch = topk.pa.RecordBatch.from_arrays([topk.pa.array(range(len(queries))), topk.pa.array(range(len(queries))), topk.pa.array(queries.tolist()), topk.pa.array(floors), topk.pa.array([topk.BLANK] * len(queries))], names=["row_id", "vec_id", "v", "floor", "worst_id"])
+    sent = [(r["row_id"], r["pile"]) for out in topk.other_piles(piles)(iter([batch])) for r in out.to_pylist()]
+    assert len(sent) < 0.05 * len(queries) * 50
+    for q in range(len(queries)):
+        needed = {p for p in range(50) if p != first[q] and (members[p] @ queries[q]).max() >= floors[q]}
+        assert needed <= {p for i, p in sent if i == q}
+    same = topk.Piles(np.array([10, 20, 30]), np.array([[5], [5], [5]]), np.array([[5], [5], [5]]))
+    asked = topk.pa.RecordBatch.from_arrays([topk.pa.array([0]), topk.pa.array([0]), topk.pa.array([[1]]), topk.pa.array([5]), topk.pa.array([20])], names=["row_id", "vec_id", "v", "floor", "worst_id"])
+    assert [r["pile"] for out in topk.other_piles(same)(iter([asked])) for r in out.to_pylist()] == [1]
