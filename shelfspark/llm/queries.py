@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, mixing, packing, quality, rollup, sharding, simhash, topk, toxicity, warc_zip
-from .common import WORD, shared_dir, table
+from .common import SMALL_IDS, WORD, broadcast_if_small, shared_dir, table
 
 SHARDS = 8
 
@@ -38,7 +38,7 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad are deleted. The revision is committed twice, and counts once."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     tidy_text = F.concat_ws(" ", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
-    bad = labels.where("quality = 0").select("doc_id").distinct()
+    bad = broadcast_if_small(labels.where("quality = 0").select("doc_id").distinct(), SMALL_IDS)
     totals = rollup.TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
     old, new = rollup.counted(docs), rollup.counted(docs.withColumn("text", tidy_text))
     nothing = F.lit(None).cast("long").alias("old_tokens")
