@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -20,6 +21,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.warehouse.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
