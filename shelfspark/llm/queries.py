@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, rollup, sharding, simhash, topk, toxicity, warc_zip
+from . import exact_dedup, mixing, packing, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
 from .common import SMALL_IDS, WORD, broadcast_if_small, shared_dir, table
 
 SHARDS = 8
@@ -74,8 +74,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents. In those whose h = crc32(doc_id) is divisible by 10, the words from a on repeat the p words
+    there (a and p are made of h), as the contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words, n = F.floor(h / 10), F.col("words"), F.size("words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    repeated = F.transform(words, lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get(words, F.col("a") + (i - F.col("a")) % F.col("p"))))
+    planted = F.when(F.col("p").isNotNull(), F.concat_ws(" ", repeated)).otherwise(F.col("text"))
+    return runs.digests(runs.find_runs(docs.select("doc_id", planted.alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op13_runs)
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
