@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
+from . import exact_dedup, mixing, packing, phrases, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
 from .common import SMALL_IDS, WORD, broadcast_if_small, shared_dir, table
 
 SHARDS = 8
@@ -74,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words stand together most beyond chance."""
+    return phrases.best_of_each(phrases.collocations(table(spark, sf_dir, "documents")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents. In those whose h = crc32(doc_id) is divisible by 10, the words from a on repeat the p words
     there (a and p are made of h), as the contract has it."""
@@ -87,7 +92,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op13_runs)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op11_phrases, op13_runs)
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -137,5 +142,28 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
+""",
+    "op11_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM i),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, x.f AS l, y.f AS r, n.n, k.k, 1000 * k.a * n.n // (x.f * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')
+  JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+q AS (SELECT lang, w, a, m, unnest(range(2, m)) AS size FROM c),
+z AS (SELECT lang, a, array_to_string(w[pos:pos + size - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - size + 2)) AS pos FROM q))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.lang = b.lang AND z.phrase = b.phrase AND 100 * z.a >= 100 * b.a)
+QUALIFY rank <= 2000
 """,
 }
