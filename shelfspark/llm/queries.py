@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, phrases, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
+from . import exact_dedup, html_text, mixing, packing, phrases, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
 from .common import SMALL_IDS, WORD, broadcast_if_small, shared_dir, table
 
 SHARDS = 8
@@ -79,6 +79,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.best_of_each(phrases.collocations(table(spark, sf_dir, "documents")))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents. In those whose h = crc32(doc_id) is divisible by 10, the words from a on repeat the p words
     there (a and p are made of h), as the contract has it."""
@@ -92,7 +96,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op11_phrases, op13_runs)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op11_phrases, op12_html_text, op13_runs)
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
