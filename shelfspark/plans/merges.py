@@ -14,6 +14,7 @@ from shelfspark.operators import batch, browse, cleanup, ingest, merge, sampling
 from shelfspark.plans.oracle import sql
 from shelfspark.sources import dumps
 from shelfspark.sources.catalogue import Catalogue, catalogue, shared_dir
+from shelfspark.sources.versions import BucketedTable
 from shelfspark.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,13 +509,13 @@ add("e07_resumed_phases", _phases, sql("SELECT 'broken/counts/' AS runs, count(*
 def _resumed_views(cat: Catalogue) -> DataFrame:
     """Views counted by a stream that takes one file at a time, ends, and goes on when more files are there."""
     root = f"{shared_dir(cat.spark)}/resumed-{uuid.uuid4().hex}"
-    events = cat.table("events")
+    events, made = cat.table("events"), BucketedTable(cat.spark, f"{root}/table", ["entity_id"])
     for part in range(4):
         events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
         if part % 2:
             stream = counters.event_stream(cat.spark, f"{root}/in", 1)
-            counters.drain(counters.view_counts(stream), counters.fold_counts(f"{root}/table"), f"{root}/checkpoint")
-    return cat.spark.read.parquet(f"{root}/table").select("entity_id", "view_count")
+            counters.drain(counters.view_counts(stream), counters.fold_counts(made), f"{root}/checkpoint")
+    return made.read().select("entity_id", "view_count")
 
 
 add("m05_resumed_views", _resumed_views, """SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id, count(*) AS view_count FROM events WHERE event_type = 'view' GROUP BY 1""")

@@ -14,6 +14,7 @@ from shelfspark.functions import text as T
 from shelfspark.operators import browse, cleanup, discover, lists, merge, personal, profile, sampling, search, similar, userdata
 from shelfspark.plans.oracle import sql
 from shelfspark.sources.catalogue import Catalogue, catalogue, shared_dir
+from shelfspark.sources.versions import BucketedTable
 from shelfspark.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -701,12 +702,13 @@ def _reindexed(cat: Catalogue) -> DataFrame:
 add("m02_changed_since", _reindexed, "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 1 ELSE 2 END AS pass FROM events")
 
 
-def _streamed(cat: Catalogue, table: str, sink: Callable[[str], Callable[[DataFrame, int], None]], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The table that a sink has made of another, streamed."""
+def _streamed(cat: Catalogue, table: str, key: str, sink: Callable[[BucketedTable], Callable[[DataFrame, int], None]], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table, in buckets by key, that a sink has made of another, streamed."""
     root = f"{shared_dir(cat.spark)}/stream-{uuid.uuid4().hex}"
     stream = cat.spark.readStream.schema(cat.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(cat.sf_dir)
-    counters.drain(change(stream), sink(f"{root}/table"), f"{root}/checkpoint", "append")
-    return cat.spark.read.parquet(f"{root}/table")
+    made = BucketedTable(cat.spark, f"{root}/table", [key])
+    counters.drain(change(stream), sink(made), f"{root}/checkpoint", "append")
+    return made.read()
 
 
 add(
@@ -714,7 +716,8 @@ add(
     lambda cat: _streamed(
         cat,
         "lineitem",
-        lambda path: counters.fold_best(path, ["book_id"], ["less", "l_orderkey", "l_linenumber"]),
+        "book_id",
+        lambda to: counters.fold_best(to, ["book_id"], ["less", "l_orderkey", "l_linenumber"]),
         lambda lines: lines.select(F.col("l_partkey").alias("book_id"), (-F.col("l_quantity")).alias("less"), "l_orderkey", "l_linenumber"),
     ).select("book_id", "l_orderkey", "l_linenumber"),
     "SELECT l_partkey AS book_id, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) = 1",
@@ -722,7 +725,7 @@ add(
 add(
     "m07_touched_stats",
     lambda cat: _streamed(
-        cat, "events", lambda path: counters.recompute_touched(lambda: cat.bookshelves, userdata.shelf_stats_of, "user_id", path), lambda events: events.where("event_type = 'purchase'").select("user_id")
+        cat, "events", "user_id", lambda to: counters.recompute_touched(lambda: cat.bookshelves, userdata.shelf_stats_of, "user_id", to), lambda events: events.where("event_type = 'purchase'").select("user_id")
     ),
     sql("SELECT shelf_stats.* FROM shelf_stats WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')", **STAT_TABLES),
 )
@@ -735,8 +738,9 @@ def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counters.drain(counters.view_counts(stream), counters.fold_counts(f"{root}/table"), f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/table").select("entity_id", "view_count", F.unix_micros(F.col("last_viewed_at").cast("timestamp")).alias("last_viewed"))
+    made = BucketedTable(spark, f"{root}/table", ["entity_id"])
+    counters.drain(counters.view_counts(stream), counters.fold_counts(made), f"{root}/checkpoint")
+    return made.read().select("entity_id", "view_count", F.unix_micros(F.col("last_viewed_at").cast("timestamp")).alias("last_viewed"))
 
 
 QUERIES["m03_view_counts"] = _drained

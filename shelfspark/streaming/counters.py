@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators.merge import recovered, replace
+from shelfspark.sources.versions import BucketedTable
 
 
 def view_counts(events: DataFrame) -> DataFrame:
@@ -38,53 +39,76 @@ def drain(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
     return query
 
 
-def fold_counts(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the table at path equal to the running counts: updated keys replace their rows. Running counts
-    are states, not increments, so a batch that is delivered twice changes nothing."""
+class PlainTable:
+    """A folder of files that is written as a whole; a small table that others read by its path."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def touched(self, rows: DataFrame) -> None:
+        """All of it."""
+
+    def read(self, buckets: None = None) -> DataFrame | None:
+        spark = SparkSession.active()
+        return spark.read.parquet(self.path) if recovered(spark, self.path) else None
+
+    def write(self, rows: DataFrame, touched: None = None) -> None:
+        replace(rows, self.path)
+
+
+def _state(to: str | BucketedTable) -> PlainTable | BucketedTable:
+    return PlainTable(to) if isinstance(to, str) else to
+
+
+def fold_counts(to: str | BucketedTable) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps a table equal to the running counts: updated keys replace their rows. Running counts are states,
+    not increments, so a batch that is delivered twice changes nothing. Of a table in buckets only those that hold keys of
+    the batch are read and written."""
+    table = _state(to)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = batch.persist()
-        if recovered(spark, path):
-            old = spark.read.parquet(path).join(new, "entity_id", "left_anti")
-            replace(old.unionByName(new), path)
-        else:
-            replace(new, path)
+        touched = table.touched(new)
+        if touched != []:
+            old = table.read(touched)
+            table.write(new if old is None else old.join(new, "entity_id", "left_anti").unionByName(new), touched)
         new.unpersist()
 
     return sink
 
 
-def fold_best(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+def fold_best(to: str | BucketedTable, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A sink that keeps, for each key, the row that comes first by the order, over all batches so far. The first of
     firsts is the first, so neither the cut into batches nor a batch that is delivered twice changes the table."""
+    table = _state(to)
 
     def best(rows: DataFrame) -> DataFrame:
         others = [c for c in rows.columns if c not in keys]
         return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__best")).select(*keys, *[F.col("__best")[c].alias(c) for c in others])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = best(batch)
-        if recovered(spark, path):
-            new = best(spark.read.parquet(path).unionByName(new))
-        replace(new, path)
+        new = best(batch).persist()
+        touched = table.touched(new)
+        if touched != []:
+            old = table.read(touched)
+            table.write(new if old is None else best(old.unionByName(new)), touched)
+        new.unpersist()
 
     return sink
 
 
-def recompute_touched(source: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], key: str, path: str) -> Callable[[DataFrame, int], None]:
+def recompute_touched(source: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], key: str, to: str | BucketedTable) -> Callable[[DataFrame, int], None]:
     """A sink that recomputes statistics of the keys in a batch of changes from the whole source, and leaves the rest of
-    the table at path alone."""
+    the table alone: other keys, and of a table in buckets the buckets without keys of the batch."""
+    table = _state(to)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select(key).distinct().persist()
-        new = compute(source().join(touched, key, "left_semi"))
-        if recovered(spark, path):
-            new = spark.read.parquet(path).join(touched, key, "left_anti").unionByName(new)
-        replace(new, path)
-        touched.unpersist()
+        keys = batch.select(key).distinct().persist()
+        touched = table.touched(keys)
+        if touched != []:
+            new, old = compute(source().join(keys, key, "left_semi")), table.read(touched)
+            table.write(new if old is None else old.join(keys, key, "left_anti").unionByName(new), touched)
+        keys.unpersist()
 
     return sink
 
