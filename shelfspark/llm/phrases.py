@@ -5,10 +5,10 @@ between pieces of text; its suffixes are ranked by prefix doubling as far as the
 of suffixes with `n` common words (of the LCP array) is one phrase of `n` words and its count there. Counts of all shards
 are merged by language and phrase.
 
-A phrase of `least` occurrences is made of words, and of pairs of words, that have as many. So there are three passes:
-words; pairs of frequent words; longer phrases, within chains of frequent pairs. What is frequent is told to the tasks by
-a bit map of fixed size: a phrase that it lets through by chance is counted and then found to be too rare, so its size
-changes the work, never a result.
+A phrase of `least` occurrences is made of words, pairs and triples that have as many. So before phrases are written out
+and counted, three passes find frequent words, pairs of these, and triples of these, by sums of counts by a hash; what is
+frequent is told to the next pass by a bit map of bounded size. Hashes that meet, in the sums or in the map, let a phrase
+through that the last pass counts and finds too rare: they change the work, never a result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -33,6 +32,10 @@ LEAST, LONGEST, LIMIT = 100, 5, 2000
 SHARD = 1 << 20
 #: Bits of the map of frequent phrases: 64 for each of them, 2^27 (16 MB) at most.
 BITS_EACH, MOST_BITS = 64, 27
+#: Words of the phrases that are counted by hash first.
+HASHED = 3
+#: Hashes that a task holds before it passes their counts on.
+HELD = 1 << 22
 UNKNOWN = "und"
 #: Lower case; what ends a piece becomes a line feed.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
@@ -84,18 +87,18 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
         yield shard
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words, from the words' hashes."""
-    key = first * MIX + second
-    return (key ^ key >> np.uint64(32)) * STIR
+def phrase_keys(hashed: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the phrases of n words at some places, from the hashes of all words."""
+    key = hashed[places]
+    for k in range(1, n):
+        key = key * MIX + hashed[places + k]
+        key = (key ^ key >> np.uint64(32)) * STIR
+    return key
 
 
-def frequent(keys: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-    """Which keys the map lets through; without a map, all."""
-    if bits is None:
-        return np.ones(len(keys), bool)
-    shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    at = keys >> shift
+def frequent(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys the map lets through."""
+    at = keys >> np.uint64(65 - (len(bits) * 8).bit_length())
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -113,8 +116,11 @@ def chains(ids: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def intervals(ids: np.ndarray, least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, a place of each phrase of n words, its count), n from least to longest. ids ends with 0, as all pieces do."""
+def intervals(ids: np.ndarray, least: int, longest: int, reach: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, a place of each phrase of n words, its count), n from least to longest. ids ends with 0, as all pieces do.
+    reach: words of the longest phrase that may begin at a place."""
+    if not len(ids):
+        return
     padded = np.append(ids, np.zeros(longest, ids.dtype)).astype(np.int64)
     size, rank, k = len(ids), ids.astype(np.int64), 1
     while k < longest:  # now rank orders suffixes by k words
@@ -128,6 +134,8 @@ def intervals(ids: np.ndarray, least: int, longest: int) -> Iterator[tuple[int,
     for n in range(1, longest + 1):
         word = padded[order + n - 1]
         inside &= word > 0
+        if reach is not None:
+            inside &= reach[order] >= n
         common &= word[1:] == word[:-1]  # the LCP is n or more
         if n >= least:
             begins = np.flatnonzero(np.append(True, ~common)[: len(order)])
@@ -136,76 +144,111 @@ def intervals(ids: np.ndarray, least: int, longest: int) -> Iterator[tuple[int,
             yield n, order[begins[whole]], times[whole]
 
 
-def count_shard(shard: Shard, least: int, longest: int, words: np.ndarray | None, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of the phrases of least to longest words; with single words also the words of each language, as
-    null. words, pairs: maps of what is frequent."""
-    lang, word, hashed = shard.names()
+def live(shard: Shard, hashed: np.ndarray, maps: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, reach): chains of `least` words or more, of words and pairs that the maps let through, and how far
+    phrases of frequent triples go on from each place. maps: of words, pairs, triples, as many as there are."""
     ids = np.frombuffer(shard.ids, np.int32)
-    langs = pa.array(list(shard.words), pa.string())
-    if least == 1:
-        yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.binary()), pa.array(shard.words.values(), pa.int64())], names=["lang", "phrase", "f"])
-    if longest > 1:
-        ids = np.where(frequent(hashed, words)[ids], ids, 0)
-        joined = np.append((ids[:-1] > 0) & (ids[1:] > 0), False)
-        if pairs is not None:
-            at = np.flatnonzero(joined)
-            joined[at] = frequent(pair_keys(hashed[ids[at]], hashed[ids[at + 1]]), pairs)
-        ids = chains(ids, joined, least)
-    if not len(ids):
-        return
-    for n, places, times in intervals(ids, least, longest):
-        parts = [word.take(pa.array(ids[places + d])) for d in range(n)]
-        phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[ids[places]])), phrase, pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
-
-
-def counted(docs: DataFrame, least: int, longest: int, words=None, pairs=None, shard_words: int = SHARD) -> DataFrame:
-    """(lang, phrase, f) of all phrases of least to longest words of docs (lang, text) that the maps let through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [m.value if m else None for m in (words, pairs)]
+    if maps:
+        ids = np.where(frequent(hashed, maps[0])[ids], ids, 0)
+    joined = np.append((ids[:-1] > 0) & (ids[1:] > 0), False)
+    if len(maps) > 1:
+        at = np.flatnonzero(joined)
+        joined[at] = frequent(phrase_keys(hashed[ids], at, 2), maps[1])
+    ids = chains(ids, joined, least)
+    ends = np.flatnonzero(ids == 0)
+    reach = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(len(ids))
+    if len(maps) > 2:
+        at = np.flatnonzero(reach >= 3)
+        rare = at[~frequent(phrase_keys(hashed[ids], at, 3), maps[2])]
+        stop = np.append(rare, len(ids))[np.searchsorted(rare, np.arange(len(ids)))]  # where the next rare triple begins
+        reach = np.minimum(reach, stop + 2 - np.arange(len(ids)))
+    return ids, reach
+
+
+def passed_on(keys: np.ndarray, times: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Counts of hashes (in order), a row for each part: the parts are by the first bits, of the rest 32 bits are kept."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    low = (keys >> np.uint64(32 - bits)).astype(np.uint32)
+    at = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    times = times.astype(np.uint32)
+    columns = [pa.array(part[at[:-1]]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, times))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "low", "times"])
+
+
+def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
+
+
+def frequent_keys(texts: DataFrame, n: int, least: int, maps: list, shard_words: int) -> DataFrame:
+    """(key) of the hashes, 32 bits and those of their part, whose phrases of n words have `least` occurrences together."""
+    bits = max(6, (4 * texts.rdd.getNumPartitions()).bit_length())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, held = [], [], 0
         for shard in shards(batches, shard_words):
-            yield from count_shard(shard, least, longest, *maps)
-
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
-def bit_map(phrases: DataFrame, most_bits: int = MOST_BITS):
-    """A broadcast map of the words or pairs of words (lang, phrase). What comes to the driver are words of 64 bits of the
-    map, so 2^(most_bits - 6) rows at most."""
-    spark, size = phrases.sparkSession, min(most_bits, max(10, (phrases.count() * BITS_EACH).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << size, bool)
-        for batch in batches:
-            keys = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seed = xxhash.xxh64_intdigest(lang)
-                keys.append([xxhash.xxh64_intdigest(w, seed) for w in phrase.split(b" ")])
-            if keys:
-                hashed = np.array(keys, np.uint64)
-                bits[(hashed[:, 0] if hashed.shape[1] == 1 else pair_keys(hashed[:, 0], hashed[:, 1])) >> np.uint64(64 - size)] = True
-        packed = np.packbits(bits, bitorder="little").view(np.int64)
-        some = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], names=["place", "bits"])
-
-    found = phrases.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+            hashed = shard.names()[2]
+            ids, reach = live(shard, hashed, [m.value for m in maps], n)
+            for _, places, counts in intervals(ids, n, n, reach):
+                keys.append(phrase_keys(hashed[ids], places, n))
+                times.append(counts)
+                held += len(counts)
+            if held > HELD:
+                keys, times = map(lambda x: [x], merged(keys, times))
+                held = len(keys[0])
+                if 2 * held > HELD:
+                    yield passed_on(keys[0], times[0], bits)
+                    keys, times, held = [], [], 0
+        if held:
+            yield passed_on(*merged(keys, times), bits)
+
+    def sums(table: pa.Table) -> pa.Table:
+        part = np.uint64(table["part"][0].as_py())
+        low, times = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint32) for c in ("low", "times"))
+        found, total = merged([low], [times])
+        often = found[total >= least].astype(np.uint64)
+        return pa.table({"key": ((part << np.uint64(64 - bits)) | often << np.uint64(32 - bits)).view(np.int64)})
+
+    return texts.mapInArrow(count, "part long, low binary, times binary").groupBy("part").applyInArrow(sums, "key long")
+
+
+def bit_map(keys: DataFrame, most_bits: int = MOST_BITS):
+    """A broadcast map of keys. What comes to the driver are words of 64 bits of the map, 2^(most_bits - 6) rows at most."""
+    keys = cut(keys)
+    spark, size = keys.sparkSession, min(most_bits, max(10, (keys.count() * BITS_EACH).bit_length()))
+    words = keys.select(F.shiftrightunsigned("key", 64 - size).alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+    found = words.toArrow()
     packed = np.zeros((1 << size) // 64, np.int64)
     packed[found["place"].to_numpy()] = found["bits"].to_numpy()
     return spark.sparkContext.broadcast(packed.view(np.uint8))
 
 
+def written_out(texts: DataFrame, longest: int, maps: list, shard_words: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that the maps let through; phrase null: all words of lang."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, shard_words):
+            lang, word, hashed = shard.names()
+            langs = pa.array(list(shard.words), pa.string())
+            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.binary()), pa.array(shard.words.values(), pa.int64())], names=["lang", "phrase", "f"])
+            ids, reach = live(shard, hashed, [m.value for m in maps], 1)
+            for n, places, times in intervals(ids, 1, longest, reach):
+                parts = [word.take(pa.array(ids[places + d])) for d in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[ids[places]])), phrase, pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
+
+    return texts.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD, most_bits: int = MOST_BITS) -> DataFrame:
     """(lang, phrase, f) of all phrases up to `longest` words with `least` occurrences; phrase null: all words of lang."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    often = lambda df: cut(df.where(F.col("phrase").isNull() | (F.col("f") >= least)))
-    found = [often(counted(texts, 1, 1, shard_words=shard_words))]
-    words = bit_map(found[0].where(F.col("phrase").isNotNull()), most_bits)
-    if longest > 1:
-        found.append(often(counted(texts, 2, 2, words, shard_words=shard_words)))
-    if longest > 2:
-        found.append(often(counted(texts, 3, longest, words, bit_map(found[1], most_bits), shard_words)))
-    return reduce(DataFrame.unionByName, found).withColumn("phrase", F.col("phrase").cast("string"))
+    maps: list = []
+    for n in range(1, min(HASHED, longest) + 1):
+        maps.append(bit_map(frequent_keys(texts, n, least, maps, shard_words), most_bits))
+    found = written_out(texts, longest, maps, shard_words)
+    return cut(found.where(F.col("phrase").isNull() | (F.col("f") >= least)).withColumn("phrase", F.col("phrase").cast("string")))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, contained_percent: int = 100, shard_words: int = SHARD, most_bits: int = MOST_BITS) -> DataFrame:
