@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from shelfspark.functions import expressions as X
 from shelfspark.functions.stem import stem as stem_of
 from shelfspark.sources.catalogue import Catalogue
 
+if TYPE_CHECKING:
+    from shelfspark.operators.index import SearchIndex
+
 K1, B = 1.2, 0.75
 BOOST = 4.0
 EXPANDED_SCORE = 0.4
@@ -64,7 +69,12 @@ def best_field(docs: DataFrame, doc: str, fields: dict[str, float], query: str,
         return F.coalesce(*by_field)
 
     hit = rows.select("doc", "field", "weight", "length", F.explode("terms").alias("term")).withColumn("asked", F.explode(hits(F.col("term"))))
-    matched = hit.groupBy("doc", "field", "weight", "length", "term", "asked").agg(F.count("*").alias("tf"))
+    return scored(hit.groupBy("doc", "field", "weight", "length", "term", "asked").agg(F.count("*").alias("tf")), statistics)
+
+
+def scored(matched: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(doc, score) of matched (doc, field, weight, length, term, asked, tf), all postings of the terms that stand for a
+    query term, and statistics (field, n, average)."""
     frequency = matched.groupBy("field", "term").agg(F.count_distinct("doc").alias("df"))
     weighed = matched.join(frequency, ["field", "term"]).join(F.broadcast(statistics), "field")  # a row for each field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -105,23 +115,50 @@ def series_documents(cat: Catalogue) -> DataFrame:
     return _rollup(cat.books.where("series_id is not null"), "series_id", "language").withColumn("name", F.col("series_id")).withColumn("slug", F.lower(F.replace("series_id", F.lit(" "), F.lit("-"))))
 
 
-def _hits(docs: DataFrame, kind: str, key: str, title: str, fields: dict[str, float], query: str, stemmed_fields: tuple[str, ...] = ()) -> DataFrame:
-    scored = best_field(docs, key, fields, query, stemmed_fields=stemmed_fields).join(docs.withColumnRenamed(key, "doc"), "doc")
+#: Fields of each kind of document with their weights, its key and its title.
+BOOK_FIELDS, NAME_FIELDS = {"title": 3.0, "authors_names": 2.0, "series_name": 1.0, "slug": 1.0}, {"name": 3.0, "slug": 1.0}
+STEMMED = ("title", "authors_names", "series_name")
+
+
+def index_texts(docs: DataFrame, kind: str, key: str, fields: Iterable[str]) -> DataFrame:
+    """Search documents as an index takes them: (field, doc, text, stem), one row for each field."""
+    each = F.array(*[F.struct(F.concat_ws("/", F.lit(kind), F.coalesce("language", F.lit("")), F.lit(f)).alias("field"), F.col(f).alias("text"), F.lit(kind == "book" and f in STEMMED).alias("stem")) for f in fields])
+    return docs.select(F.concat_ws("/", F.lit(kind), F.coalesce("language", F.lit("")), F.col(key).cast("string")).alias("doc"), F.explode(each).alias("f")).select("f.field", "doc", "f.text", "f.stem")
+
+
+def all_texts(cat: Catalogue) -> DataFrame:
+    """What an index holds of a catalogue."""
+    return (
+        index_texts(book_documents(cat), "book", "book_id", BOOK_FIELDS)
+        .unionByName(index_texts(author_documents(cat), "author", "author_id", NAME_FIELDS))
+        .unionByName(index_texts(series_documents(cat), "series", "series_id", NAME_FIELDS))
+    )
+
+
+def _hits(docs: DataFrame, kind: str, key: str, title: str, fields: dict[str, float], query: str, stemmed_fields: tuple[str, ...] = (), index: SearchIndex | None = None, language: str = "en") -> DataFrame:
+    """From the index, if one is given; else the documents are analysed for the query."""
+    docs = docs.where(F.col("language") == language)
+    if index is None:
+        found = best_field(docs, key, fields, query, stemmed_fields=stemmed_fields)
+    else:
+        named = {f"{kind}/{language}/{f}" + "~" * (f in stemmed_fields): w for f, w in fields.items()}
+        found = index.best_field(named, query).withColumn("doc", F.substring("doc", len(f"{kind}/{language}/") + 1, 1_000).cast(dict(docs.dtypes)[key]))
+    scored = found.join(docs.withColumnRenamed(key, "doc"), "doc")
     return scored.select(F.lit(kind).alias("type"), F.col("doc").cast("string").alias("id"), F.col(title).alias("title"), X.six(F.col("score") + BOOST * F.col("bayesian_score")).alias("score"))
 
 
-def search_books(cat: Catalogue, query: str, language: str = "en", stem: bool = True) -> DataFrame:
+def search_books(cat: Catalogue, query: str, language: str = "en", stem: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """Hits among books; titles, authors and series are compared by English stems unless stem is false, slugs never are."""
-    stems = ("title", "authors_names", "series_name") if stem else ()
-    return _hits(book_documents(cat).where(F.col("language") == language), "book", "book_id", "title", {"title": 3.0, "authors_names": 2.0, "series_name": 1.0, "slug": 1.0}, query, stems)
+    return _hits(book_documents(cat), "book", "book_id", "title", BOOK_FIELDS, query, STEMMED if stem else (), index, language)
 
 
-def search_authors(cat: Catalogue, query: str, language: str = "en") -> DataFrame:
-    return _hits(author_documents(cat).where(F.col("language") == language), "author", "author_id", "name", {"name": 3.0, "slug": 1.0}, query)
+def search_authors(cat: Catalogue, query: str, language: str = "en", index: SearchIndex | None = None) -> DataFrame:
+    """Names are compared with their accents folded, as titles are."""
+    return _hits(author_documents(cat), "author", "author_id", "name", NAME_FIELDS, query, index=index, language=language)
 
 
-def search_series(cat: Catalogue, query: str, language: str = "en") -> DataFrame:
-    return _hits(series_documents(cat).where(F.col("language") == language), "series", "series_id", "name", {"name": 3.0, "slug": 1.0}, query)
+def search_series(cat: Catalogue, query: str, language: str = "en", index: SearchIndex | None = None) -> DataFrame:
+    return _hits(series_documents(cat), "series", "series_id", "name", NAME_FIELDS, query, index=index, language=language)
 
 
 def top_books_of(cat: Catalogue, links: DataFrame, key: str, each: int = 3, language: str = "en") -> DataFrame:
@@ -139,16 +176,16 @@ def search_categories(cat: Catalogue, query: str, language: str = "en") -> DataF
     return cat.books.where(F.col("language") == language).join(ids, "book_id", "left_semi").select("book_id", "title", X.total_ratings().cast("long").alias("rating_count"), X.six(F.coalesce("avg_rating", F.lit(0.0))).alias("avg_rating"), "created_at")
 
 
-def federated(cat: Catalogue, query: str, limit: int = 10, kind: str = "all", language: str = "en", stem: bool = True) -> DataFrame:
+def federated(cat: Catalogue, query: str, limit: int = 10, kind: str = "all", language: str = "en", stem: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """Hits of all kinds in one list; books are compared by stems unless stem is false. With kind all, authors and series found bring their best books at a fixed low
     score; of hits of one thing the best counts."""
     parts = []
     if kind in ("all", "books"):
-        parts.append(search_books(cat, query, language, stem))
+        parts.append(search_books(cat, query, language, stem, index))
     if kind in ("all", "authors"):
-        parts.append(authors := search_authors(cat, query, language).orderBy(F.desc("score"), "id").limit(limit * 2))
+        parts.append(authors := search_authors(cat, query, language, index).orderBy(F.desc("score"), "id").limit(limit * 2))
     if kind in ("all", "series"):
-        parts.append(series := search_series(cat, query, language).orderBy(F.desc("score"), "id").limit(limit * 2))
+        parts.append(series := search_series(cat, query, language, index).orderBy(F.desc("score"), "id").limit(limit * 2))
     if kind == "all":
         found = cat.book_authors.join(authors.select(F.col("id").cast("long").alias("author_id")), "author_id", "left_semi")
         mine = cat.books.where("series_id is not null").select("book_id", F.col("series_id").alias("found_series")).join(series.select(F.col("id").alias("found_series")), "found_series", "left_semi")

@@ -71,7 +71,7 @@ class BucketedTable:
     def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = BUCKETS, kind: str | None = None):
         self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
         self.files = Files(spark, self.root)
-        self._kind = StructType.fromDDL(kind) if kind else None
+        self.kind = StructType.fromDDL(kind) if kind else None
 
     def bucket(self, *keys: Column) -> Column:
         parts = [F.coalesce(k.cast("string"), F.lit("\0")) for k in keys or map(F.col, self.keys)]
@@ -85,15 +85,18 @@ class BucketedTable:
         """The buckets of the rows' keys, as many as there are buckets at most."""
         return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
 
-    def manifest(self) -> dict:
-        """{version, kind, folders: {bucket: [folder, ...]}, done: {writer: last batch}}; version 0 before any."""
+    def manifest(self, version: int | None = None) -> dict:
+        """{version, kind, folders: {bucket: [folder, ...]}, done: {writer: last batch}} of the last version or one of
+        those kept; version 0 before any."""
+        if version is not None:
+            return json.loads(self.files.text(f"manifest-{version:09}.json"))
         numbers = [n for n in self.files.names() if n.startswith("manifest-")]
         return json.loads(self.files.text(numbers[-1])) if numbers else {"version": 0, "kind": None, "folders": {}, "done": {}}
 
-    def read(self, buckets: Iterable[int] | None = None) -> DataFrame | None:
-        """The rows, of some buckets alone if these are given; None while there is no version. What is filtered and
-        selected of it is pushed down to its files."""
-        now = self.manifest()
+    def read(self, buckets: Iterable[int] | None = None, version: int | None = None) -> DataFrame | None:
+        """The rows, of some buckets alone if these are given, of the last version unless one is named; None while there
+        is no version. What is filtered and selected of it is pushed down to its files."""
+        now = self.manifest(version)
         if not now["version"]:
             return None
         some = now["folders"] if buckets is None else {str(b) for b in buckets} & now["folders"].keys()
@@ -108,11 +111,11 @@ class BucketedTable:
         if writer is not None and batch <= now["done"].get(writer, -1):
             return False
         folder = f"data-{uuid.uuid4().hex}"
-        kind = self._kind or (StructType.fromJson(now["kind"]) if now["kind"] else rows.schema)
+        kind = self.kind or (StructType.fromJson(now["kind"]) if now["kind"] else rows.schema)
         if "bucket" in map(str.lower, kind.names):
             raise ValueError("the column bucket is the table's own")
         placed = rows.select(*[F.col(f"`{c}`").cast(kind[c].dataType).alias(c) for c in kind.names]).withColumn("bucket", self.bucket())
-        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         new = [n.split("=")[1] for n in self.files.names(folder) if "=" in n]
         folders = {b: paths for b, paths in now["folders"].items() if append or touched is not None and int(b) not in touched}
         for b in new:
