@@ -91,10 +91,11 @@ def analysed(texts: DataFrame) -> DataFrame:
 
 class SearchIndex:
     """The index at root. Changes come in numbered batches by one writer; a batch that comes again changes nothing, and
-    one that was broken off is taken up where it was. Readers see a batch whole or not at all."""
+    one that was broken off is taken up where it was. Readers see a batch whole or not at all. Without `fuzzy` there is no
+    dictionary, and words are found as they are."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, fuzzy: bool = True):
+        self.spark, self.root, self.fuzzy = spark, root.rstrip("/"), fuzzy
         table = lambda name, keys, kind: BucketedTable(spark, f"{self.root}/{name}", keys, buckets, kind)
         self.postings = table("postings", ["term"], f"{POSTING}, sign int")
         self.typos = table("typos", ["key"], "key string, term string")
@@ -134,7 +135,9 @@ class SearchIndex:
         signed = cut(signed.groupBy(*names).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0"))
         once = {"writer": "index", "batch": batch}
         self.postings.write(signed, append=True, **once)
-        self.typos.write(signed.where("sign > 0").select("term").distinct().select(F.explode(term_keys(F.col("term"))).alias("key"), "term"), append=True, **once)
+        if self.fuzzy:
+            terms = signed.where("sign > 0").select("term").distinct()
+            self.typos.write(terms.select(F.explode(term_keys(F.col("term"))).alias("key"), "term"), append=True, **once)
         of_docs = signed.select("field", "doc", "length", "sign").distinct().groupBy("field").agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("length")).alias("words"))
         self.lengths.write(of_docs, append=True, **once)
         self.contents.write(new if before is None else before.join(changed, "doc", "left_anti").select(*names).unionByName(new), touched, **once)
@@ -145,7 +148,8 @@ class SearchIndex:
         """Replaces the postings and keys of some buckets (all, if none are named) by what holds of them."""
         every = list(range(self.postings.buckets)) if buckets is None else buckets
         self.postings.write(self.held(every).withColumn("sign", F.lit(1)), every)
-        self.typos.write(self._read("typos", every).distinct(), every)
+        if self.fuzzy:
+            self.typos.write(self._read("typos", every).distinct(), every)
         self._commit(self.manifest()["batch"])
 
     def held(self, buckets: Iterable[int] | None = None, fields: Iterable[str] | None = None, words: DataFrame | None = None) -> DataFrame:
@@ -157,9 +161,15 @@ class SearchIndex:
             rows = rows.join(words, "term", "left_semi")
         return rows.groupBy("term", "field", "doc", "tf", "length").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
 
+    def dictionary(self) -> DataFrame:
+        """(key, term) of all terms."""
+        return self._read("typos").distinct()
+
     def near(self, asked: Iterable[str], fuzzy: bool = True) -> DataFrame:
         """(asked, term) of the dictionary's terms within the edits of each query word."""
-        edits = {w: search.fuzzy_edits(w) if fuzzy else 0 for w in asked}
+        if not (fuzzy and self.fuzzy):
+            return self.spark.createDataFrame([(w, w) for w in asked], "asked string, term string")
+        edits = {w: search.fuzzy_edits(w) for w in asked}
         keys = {w: sorted(asked_keys(w, n)) for w, n in edits.items()}
         wanted = self.spark.createDataFrame([(k, w, edits[w]) for w, ks in keys.items() for k in ks], "key string, asked string, edits int")
         met = self._read("typos", {self.typos.bucket_of(k) for ks in keys.values() for k in ks}).join(F.broadcast(wanted), "key")  # a few hundred rows a word

@@ -410,11 +410,11 @@ add(
 # ---- searches, comments and cases in other forms
 
 
-def _federated_sql(query: str) -> str:
+def _federated_sql(query: str, stemmed: tuple[str, ...] = ()) -> str:
     """Hits of books, the first twenty authors and series, and these two's best books at a fixed score."""
     from shelfspark.plans import queries as q
 
-    books = q.hits_sql("book", q.ORACLE_SQL["q01_book_docs"], "book_id", "title", q.BOOK_FIELDS, query)
+    books = q.hits_sql("book", q.ORACLE_SQL["q01_book_docs"], "book_id", "title", q.BOOK_FIELDS, query, stemmed)
     authors = q.hits_sql("author", q.ORACLE_SQL["q02_author_rollup"], "author_id", "name", q.NAME_FIELDS, query)
     series = q.hits_sql("series", q.ORACLE_SQL["q03_series_rollup"], "series_id", "name", q.NAME_FIELDS, query)
     best = "SELECT book_id, title FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY total_ratings DESC, avg_rating DESC NULLS LAST, book_id) AS nth FROM {t} WHERE language = 'en') WHERE nth <= 3"
@@ -433,8 +433,11 @@ GROUP BY 1, 2 ORDER BY score DESC, type, id LIMIT 10""",
 
 def add_after_queries() -> None:
     """Queries whose SQL is made of that of queries registered before."""
+    from shelfspark.plans import queries as q
+
     for key, query in (("q09b_search_unstemmed", "gren brand"), ("q09c_search_names", "supplier 12")):
-        add(key, lambda cat, query=query: search.federated(cat, query, stem=False), _federated_sql(query))
+        add(key, lambda cat, query=query: search.federated(cat, query, stem=False, index=q._index(cat)), _federated_sql(query))
+    ORACLE_SQL["q09_search"] = _federated_sql("green large", search.STEMMED)
     add("g06_cases", _cases, _cases_sql())
 
 
