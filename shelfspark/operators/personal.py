@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import expressions as X
 from shelfspark.operators import profile as P
 from shelfspark.operators import signatures as S
+from shelfspark.operators.overlap import top_overlaps
 from shelfspark.sources.catalogue import Catalogue
 
 LIMIT = 20
@@ -32,10 +33,9 @@ def _reads(cat: Catalogue) -> DataFrame:
 
 def similar_users(cat: Catalogue, least: int = 2, most: int = SIMILAR_USERS) -> DataFrame:
     """(user_id, other_id): the users who read most of what the user has read or given up."""
-    others = _reads(cat).withColumnRenamed("user_id", "other_id")
-    overlap = P.excluded(cat).join(others, "book_id").where("user_id <> other_id").groupBy("user_id", "other_id").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("overlap"), "other_id"))
-    return overlap.withColumn("nth", nth).where(F.col("nth") <= most).select("user_id", "other_id")
+    mine = P.excluded(cat).select(F.col("user_id").alias("source_id"), F.col("book_id").alias("member"))
+    theirs = _reads(cat).select(F.col("user_id").alias("target_id"), F.col("book_id").alias("member"))
+    return top_overlaps(mine, theirs, least, most).select(F.col("source_id").alias("user_id"), F.col("target_id").alias("other_id"))
 
 
 def collaborative(cat: Catalogue, others: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
 from shelfspark.operators import signatures as S
+from shelfspark.operators.overlap import top_overlaps
 from shelfspark.sources.catalogue import Catalogue
 
 TOP = 20
@@ -82,18 +83,14 @@ def similar_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
     return ranked(own, k, F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"))
 
 
-def _reader_pairs(sources: DataFrame, targets: DataFrame, least: int = 3) -> DataFrame:
-    """(source_id, target_id, score): readers of a source, the first READERS by id, who also read a target.
+def _read_together(sources: DataFrame, targets: DataFrame, least: int = 3, same: bool = True, most: int = CANDIDATES) -> DataFrame:
+    """(source_id, target_id, score): how many of the readers of a source, the first READERS by id, also read a target; of
+    each source the first CANDIDATES targets.
 
     sources: (source_id, user_id); targets: (target_id, user_id); both distinct."""
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("user_id"))
-    some = sources.withColumn("nth", nth).where(F.col("nth") <= READERS).drop("nth")
-    return some.join(targets, "user_id").groupBy("source_id", "target_id").agg(F.count("*").alias("score")).where(F.col("score") >= least)
-
-
-def _top_candidates(pairs: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES).drop("nth")
+    some = sources.withColumn("nth", nth).where(F.col("nth") <= READERS).select("source_id", F.col("user_id").alias("member"))
+    return top_overlaps(some, targets.select("target_id", F.col("user_id").alias("member")), least, most, same=same)
 
 
 def _reads(cat: Catalogue) -> DataFrame:
@@ -103,9 +100,9 @@ def _reads(cat: Catalogue) -> DataFrame:
 def readers_also_enjoyed(cat: Catalogue, k: int = TOP) -> DataFrame:
     reads = _reads(cat)
     sources = reads.join(eligible_books(cat), F.col("book_id") == F.col("source_id")).select("source_id", "user_id")
-    pairs = _reader_pairs(sources, reads.withColumnRenamed("book_id", "target_id")).where("source_id <> target_id")
+    pairs = _read_together(sources, reads.withColumnRenamed("book_id", "target_id"))
     shown = cat.books.where(X.listable() & (X.total_ratings() >= LEAST_RATINGS)).select(F.col("book_id").alias("target_id"), "avg_rating")
-    return ranked(_top_candidates(pairs).join(shown, "target_id"), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
+    return ranked(pairs.join(shown, "target_id"), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
 
 
 def _author_books(cat: Catalogue) -> DataFrame:
@@ -131,8 +128,8 @@ def authors_by_genre(cat: Catalogue, k: int = TOP, sources: DataFrame | None = N
 def fans_also_read(cat: Catalogue, k: int = TOP) -> DataFrame:
     reads = _reads(cat).join(cat.book_authors, "book_id").select("author_id", "user_id").distinct()
     sources = reads.join(eligible_authors(cat), F.col("author_id") == F.col("source_id")).select("source_id", "user_id")
-    pairs = _reader_pairs(sources, reads.withColumnRenamed("author_id", "target_id")).where("source_id <> target_id")
-    return ranked(_top_candidates(pairs).join(_author_books(cat), "target_id", "left"), k, F.desc("score"), F.desc_nulls_last("book_count"))
+    pairs = _read_together(sources, reads.withColumnRenamed("author_id", "target_id"))
+    return ranked(pairs.join(_author_books(cat), "target_id", "left"), k, F.desc("score"), F.desc_nulls_last("book_count"))
 
 
 def _series_of(cat: Catalogue) -> DataFrame:
@@ -172,8 +169,12 @@ def series_readers_also_enjoyed(cat: Catalogue, k: int = TOP) -> DataFrame:
     reads = _reads(cat)
     sources = reads.join(_series_of(cat), "book_id").select(F.col("series_id").alias("source_id"), "user_id").distinct().join(eligible_series(cat), "source_id")
     outside = cat.books.select(F.col("book_id").alias("target_id"), "series_id", "avg_rating", (X.listable() & (X.total_ratings() >= LEAST_RATINGS)).alias("shown"))
-    pairs = _reader_pairs(sources, reads.withColumnRenamed("book_id", "target_id")).join(outside, "target_id").where(~F.col("series_id").eqNullSafe(F.col("source_id")))
-    return ranked(_top_candidates(pairs).where("shown"), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
+    # A series' own books are no candidates, and may be many: so as many more are asked for.
+    own = cat.books.where("series_id IS NOT NULL").groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    pairs = _read_together(sources, reads.withColumnRenamed("book_id", "target_id"), same=False, most=CANDIDATES + own)
+    pairs = pairs.join(outside, "target_id").where(~F.col("series_id").eqNullSafe(F.col("source_id")))
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
+    return ranked(pairs.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES).where("shown"), k, F.desc("score"), F.desc_nulls_last("avg_rating"))
 
 
 #: Sections by kind of entity, in the order in which pages show them.
