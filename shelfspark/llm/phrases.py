@@ -37,9 +37,13 @@ HASHED = 3
 #: Hashes that a task holds before it passes their counts on.
 HELD = 1 << 22
 UNKNOWN = "und"
-#: Lower case; what ends a piece becomes a line feed.
-TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
+#: Lower case; what ends a piece becomes a byte that UTF-8 doesn't have.
+END = b"\xff"
+TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
+#: Bytes of a text that are cut into words together; a longer text is dealt with in parts that end with a piece.
+PART = 1 << 22
 COUNTS = "lang string, phrase binary, f long"
+COUNTS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
 MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -52,24 +56,30 @@ class Shard:
         self._numbers: dict[str, defaultdict[bytes, int]] = {}
 
     def add(self, lang: str, words: list[bytes]) -> None:
+        """Words of some pieces, END between pieces."""
         if lang not in self._numbers:
-            self._numbers[lang] = defaultdict(self._next)
+            self._numbers[lang] = defaultdict(self._next, {END: 0})
         self.ids.extend(map(self._numbers[lang].__getitem__, words))
         self.ids.append(0)
-        self.words[lang] += len(words)
+        self.words[lang] += len(words) - words.count(END)
 
-    def names(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """By word number: the language's place in `self.words`, the word, and a hash of both."""
-        n = sum(map(len, self._numbers.values())) + 1
-        lang, word, hashed = np.zeros(n, np.int64), [b""] * n, np.zeros(n, np.uint64)
-        for place, (name, numbers) in enumerate(self._numbers.items()):
+    def hashed(self) -> np.ndarray:
+        """By word number, a hash of language and word."""
+        out = np.zeros(1 + sum(len(n) - 1 for n in self._numbers.values()), np.uint64)
+        for name, numbers in self._numbers.items():
             seed = xxhash.xxh64_intdigest(name)
             at = np.fromiter(numbers.values(), np.int64, len(numbers))
-            lang[at] = place
-            hashed[at] = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
-            for w, k in numbers.items():
-                word[k] = w
-        return lang, pa.array(word, pa.binary()), hashed
+            out[at] = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
+        return out
+
+    def names(self) -> tuple[np.ndarray, pa.Array]:
+        """By word number, the language's place in `self.words`, and the word."""
+        n = 1 + sum(len(n) - 1 for n in self._numbers.values())
+        lang, word = np.zeros(n, np.int64), [b""] * n
+        for place, name in enumerate(self.words):
+            for w, k in self._numbers[name].items():
+                word[k], lang[k] = w, place
+        return lang, pa.array(word, pa.binary())
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
@@ -77,12 +87,16 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
     shard = Shard()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for piece in (text.as_py() or b"").translate(TABLE).split(b"\n"):
-                if words := piece.split():
+            data, at = (text.as_py() or b"").translate(TABLE), 0
+            while at < len(data):
+                stop = data.find(END, at + PART)
+                stop = len(data) if stop < 0 else stop
+                if words := data[at:stop].replace(END, b" \xff ").split():
                     shard.add(lang, words)
-                    if len(shard.ids) >= size:
-                        yield shard
-                        shard = Shard()
+                at = stop + 1
+                if len(shard.ids) >= size:
+                    yield shard
+                    shard = Shard()
     if shard.ids:
         yield shard
 
@@ -123,12 +137,14 @@ def intervals(ids: np.ndarray, least: int, longest: int, reach: np.ndarray | Non
         return
     padded = np.append(ids, np.zeros(longest, ids.dtype)).astype(np.int64)
     size, rank, k = len(ids), ids.astype(np.int64), 1
-    while k < longest:  # now rank orders suffixes by k words
+    while k < longest:  # rank orders suffixes by k words
         behind = np.zeros(size, np.int64)
         behind[: max(0, size - k)] = rank[k:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + behind, return_inverse=True)[1]
+        rank = rank * (int(rank.max()) + 1) + behind
         k *= 2
-    order = np.argsort(rank, kind="stable")
+        if k < longest:
+            rank = np.unique(rank, return_inverse=True)[1]
+    order = np.argsort(rank)
     order = order[padded[order] > 0]
     inside, common = np.ones(len(order), bool), np.ones(max(0, len(order) - 1), bool)
     for n in range(1, longest + 1):
@@ -181,14 +197,19 @@ def merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray,
     return found, np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
 
 
+def part_bits(texts: DataFrame) -> int:
+    """Bits of a part's number: some four parts or more for each task, so that a part's counts stay as many at any size."""
+    return max(6, (4 * texts.rdd.getNumPartitions()).bit_length())
+
+
 def frequent_keys(texts: DataFrame, n: int, least: int, maps: list, shard_words: int) -> DataFrame:
     """(key) of the hashes, 32 bits and those of their part, whose phrases of n words have `least` occurrences together."""
-    bits = max(6, (4 * texts.rdd.getNumPartitions()).bit_length())
+    bits = part_bits(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times, held = [], [], 0
         for shard in shards(batches, shard_words):
-            hashed = shard.names()[2]
+            hashed = shard.hashed()
             ids, reach = live(shard, hashed, [m.value for m in maps], n)
             for _, places, counts in intervals(ids, n, n, reach):
                 keys.append(phrase_keys(hashed[ids], places, n))
@@ -224,21 +245,63 @@ def bit_map(keys: DataFrame, most_bits: int = MOST_BITS):
     return spark.sparkContext.broadcast(packed.view(np.uint8))
 
 
-def written_out(texts: DataFrame, longest: int, maps: list, shard_words: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases that the maps let through; phrase null: all words of lang."""
+def grouped(tables: list[pa.Table]) -> pa.Table:
+    """Counts (lang, phrase, f) added up."""
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+
+
+def in_parts(table: pa.Table, bits: int) -> pa.RecordBatch:
+    """(part, counts): the rows of each part, by a hash of the phrase, as one Arrow stream."""
+    hashed = np.fromiter((xxhash.xxh32_intdigest(p or b"") for p in table["phrase"].to_pylist()), np.int64, len(table))
+    part = hashed >> (32 - bits)
+    order = np.argsort(part, kind="stable")
+    table, part = table.take(pa.array(order)), part[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    blobs = []
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(part)).tolist()):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table.slice(a, b - a))
+        blobs.append(out.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blobs, pa.binary())], names=["part", "counts"])
+
+
+def written_out(texts: DataFrame, least: int, longest: int, maps: list, shard_words: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that have `least` occurrences and more; phrase null: all words of lang. Maps of
+    what is frequent decide what is counted at all."""
+    bits = part_bits(texts)
+    names = ["lang", "phrase", "f"]
+
+    def tables(shard: Shard) -> Iterator[pa.Table]:
+        (lang, word), hashed, at = shard.names(), shard.hashed(), [m.value for m in maps]
+        langs = pa.array(list(shard.words), pa.string())
+        yield pa.table([langs, pa.nulls(len(langs), pa.binary()), pa.array(shard.words.values(), pa.int64())], names)
+        times = np.bincount(np.frombuffer(shard.ids, np.int32), minlength=len(hashed))
+        times[0] = 0
+        some = np.flatnonzero((times > 0) & frequent(hashed, at[0]))
+        yield pa.table([langs.take(pa.array(lang[some])), word.take(pa.array(some)), pa.array(times[some], pa.int64())], names)
+        if longest > 1:
+            ids, reach = live(shard, hashed, at, 2)
+            for n, places, times in intervals(ids, 2, longest, reach):
+                phrase = pc.binary_join_element_wise(*[word.take(pa.array(ids[places + d])) for d in range(n)], b" ")
+                yield pa.table([langs.take(pa.array(lang[ids[places]])), phrase, pa.array(times, pa.int64())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for shard in shards(batches, shard_words):
-            lang, word, hashed = shard.names()
-            langs = pa.array(list(shard.words), pa.string())
-            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.binary()), pa.array(shard.words.values(), pa.int64())], names=["lang", "phrase", "f"])
-            ids, reach = live(shard, hashed, [m.value for m in maps], 1)
-            for n, places, times in intervals(ids, 1, longest, reach):
-                parts = [word.take(pa.array(ids[places + d])) for d in range(n)]
-                phrase = pc.binary_join_element_wise(*parts, b" ") if n > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[ids[places]])), phrase, pa.array(times, pa.int64())], names=["lang", "phrase", "f"])
+            held += tables(shard)
+            if sum(map(len, held)) > HELD // 4:
+                held = [grouped(held)]
+                if len(held[0]) > HELD // 8:
+                    yield in_parts(held.pop(), bits)
+        if held:
+            yield in_parts(grouped(held), bits)
+
+    def sums(table: pa.Table) -> pa.Table:
+        found = grouped([pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in table["counts"]])
+        return found.filter(pc.or_(pc.is_null(found["phrase"]), pc.greater_equal(found["f"], least))).cast(COUNTS_ARROW)
 
-    return texts.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(sums, COUNTS)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD, most_bits: int = MOST_BITS) -> DataFrame:
@@ -247,8 +310,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     maps: list = []
     for n in range(1, min(HASHED, longest) + 1):
         maps.append(bit_map(frequent_keys(texts, n, least, maps, shard_words), most_bits))
-    found = written_out(texts, longest, maps, shard_words)
-    return cut(found.where(F.col("phrase").isNull() | (F.col("f") >= least)).withColumn("phrase", F.col("phrase").cast("string")))
+    return cut(written_out(texts, least, longest, maps, shard_words).withColumn("phrase", F.col("phrase").cast("string")))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, contained_percent: int = 100, shard_words: int = SHARD, most_bits: int = MOST_BITS) -> DataFrame:
