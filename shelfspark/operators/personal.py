@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import expressions as X
 from shelfspark.operators import profile as P
 from shelfspark.operators import signatures as S
+from shelfspark.operators.common import cut
 from shelfspark.operators.overlap import top_overlaps
 from shelfspark.sources.catalogue import Catalogue
 
@@ -75,10 +76,12 @@ def for_you(cat: Catalogue, k: int = LIMIT) -> DataFrame:
     tastes = weights.groupBy("user_id").agg(F.collect_list(F.struct("genre_id", "raw")).alias("tastes"), F.max("total").alias("total"))
     users = _needs(cat, tastes, k)
     shown = _shown(cat, F.coalesce("avg_rating", F.lit(0.0)).alias("average")).join(S.signed(cat), "book_id")
-    books = S.numbered(shown, "signature", _deepest(cat, k), F.desc("average"), F.asc("book_id"))
+    books = cut(S.numbered(shown, "signature", _deepest(cat, k), F.desc("average"), F.asc("book_id")))
     signatures = books.groupBy("signature").agg(F.max("average").alias("best"), F.min(F.when(F.col("nth") == 1, F.col("book_id"))).alias("first"), F.count("*").cast("int").alias("n"))
     found = S.best_signatures(users, signatures, cat.users.count(), S.signed(cat).select("signature").distinct().count(), 0.6, 0.15)
     score = lambda part: X.six(F.col("genre_score") * 0.6 + part * 0.25 + F.col("average") / 5.0 * 0.15)
+    # A book's average has to make up for what its genres leave to the floor; roundings are far below the margin.
+    found = S.narrowed(found, books, "signature", "average", (F.col("floor") - F.col("genre_score") * 0.6) / 0.15 * 5.0 - 1e-4)
     base = S.first_of(found, books, "signature").withColumn("score", score(F.lit(0.0))).where(F.col("score") >= F.col("floor"))
     base = base.join(P.excluded(cat), ["user_id", "book_id"], "left_anti")
     readers = collaborative(cat).withColumn("most", F.max("readers").over(Window.partitionBy("user_id")))

@@ -19,6 +19,8 @@ from shelfspark.sources.catalogue import Catalogue
 PACK = 16
 #: Users and signatures that meet in one cell, about.
 USERS, SIGNATURES = 1024, 8192
+#: Places of a ranking between two of which its value is known before its rows are fetched.
+STEP = 4
 
 
 def signed(cat: Catalogue) -> DataFrame:
@@ -55,6 +57,15 @@ def first_of(asked: DataFrame, ranked: DataFrame, key: str, need: str = "need")
     return wanted.join(placed, [key, "pack"]).where(F.col("nth") <= F.col(need)).drop("pack")
 
 
+def narrowed(asked: DataFrame, ranked: DataFrame, key: str, value: str, least: Column) -> DataFrame:
+    """asked (key, need, ...) with `need` lowered to the places of its key's ranking whose value can be `least` or more.
+    Rankings fall by value; each is known here by its value at every STEP-th place."""
+    steps = ranked.where((F.col("nth") - 1) % STEP == 0).groupBy(key).agg(F.sort_array(F.collect_list(value), asc=False).alias("__steps"))
+    some = asked.withColumn("__least", least).join(steps, key)
+    held = F.size(F.filter("__steps", lambda v: v >= F.col("__least"))) * STEP
+    return some.withColumn("need", F.least("need", held)).drop("__steps", "__least")
+
+
 def before(value: str, rows: str, key: str) -> Column:
     """Sum of `rows` over the rows of the key with a higher value."""
     upto = Window.partitionBy(key).orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -118,3 +129,50 @@ def best_signatures(users: DataFrame, signatures: DataFrame, n_users: int, n_sig
     left = users.withColumn("chunk", F.pmod(F.xxhash64("user_id"), F.lit(chunks)).cast("int")).withColumn("pile", spread(piles))
     right = signatures.withColumn("pile", F.pmod(F.xxhash64("signature"), F.lit(piles)).cast("int")).withColumn("chunk", spread(chunks))
     return left.groupBy("chunk", "pile").cogroup(right.groupBy("chunk", "pile")).applyInArrow(_best_cell(weight, average_weight), FOUND)
+
+
+SHARED = "source_id {source}, target_id {target}, shared int"
+
+
+def _shared_cell(least: int, most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """left: (source_id, genres), right: (target_id, genres): the first `most` targets of each source in this cell."""
+        right = right.sort_by("target_id")
+        held: dict[str, tuple[list[int], list[int]]] = {}
+        for side, table in enumerate((left, right)):
+            for row, genres in enumerate(table.column("genres").to_pylist()):
+                for genre in genres:
+                    held.setdefault(genre, ([], []))[side].append(row)
+        n = len(right)
+        shared = np.zeros((len(left), n), np.int64)
+        for rows, columns in held.values():
+            if rows and columns:
+                shared[np.ix_(rows, columns)] += 1
+        if n:
+            shared[left.column("source_id").to_numpy(zero_copy_only=False)[:, None] == right.column("target_id").to_numpy(zero_copy_only=False)[None, :]] = 0
+        order = shared * n + np.arange(n)[::-1]  # greater for more in common, then for a smaller id
+        if n > most:
+            best = np.argpartition(-order, most - 1, axis=1)[:, :most]
+        else:
+            best = np.broadcast_to(np.arange(n), shared.shape)
+        rows, at = np.nonzero(np.take_along_axis(shared, best, axis=1) >= least)
+        columns = best[rows, at]
+        return pa.table({"source_id": left.column("source_id").take(pa.array(rows)), "target_id": right.column("target_id").take(pa.array(columns)), "shared": pa.array(shared[rows, columns].astype(np.int32))})
+
+    return run
+
+
+def top_shared(left: DataFrame, right: DataFrame, least: int, most: int) -> DataFrame:
+    """(source_id, target_id, shared, nth): of the targets with `least` genres in common or more, the first `most` of each
+    source by genres in common, then id; none is its own target.
+
+    left: (source_id, genres), right: (target_id, genres), one row for each id, ids of one kind. Chunks of sources meet
+    piles of targets, and a cell passes on `most` targets of each source."""
+    chunks, piles = max(1, -(-left.count() // USERS)), max(1, -(-right.count() // SIGNATURES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("chunk", F.pmod(F.xxhash64("source_id"), F.lit(chunks)).cast("int")).withColumn("pile", spread(piles))
+    b = right.withColumn("pile", F.pmod(F.xxhash64("target_id"), F.lit(piles)).cast("int")).withColumn("chunk", spread(chunks))
+    kind = SHARED.format(source=dict(left.dtypes)["source_id"], target=dict(right.dtypes)["target_id"])
+    found = a.groupBy("chunk", "pile").cogroup(b.groupBy("chunk", "pile")).applyInArrow(_shared_cell(least, most), kind)
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), "target_id"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= most)

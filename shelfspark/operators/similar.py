@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
 from shelfspark.operators import signatures as S
+from shelfspark.operators.common import cut
 from shelfspark.operators.overlap import top_overlaps
 from shelfspark.sources.catalogue import Catalogue
 
@@ -68,13 +69,13 @@ def similar_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
     sources = signed.join(eligible_books(cat), F.col("book_id") == F.col("source_id")).select("source_id", F.col("signature").alias("source_signature"))
     rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select(F.col("book_id").alias("target_id"), "rating_count", X.listable().alias("shown"))
     targets = rated.join(signed.select(F.col("book_id").alias("target_id"), F.col("signature").alias("target_signature")), "target_id")
-    books = S.numbered(targets, "target_signature", CANDIDATES + 1, F.asc("target_id"))
+    books = cut(S.numbered(targets, "target_signature", CANDIDATES + 1, F.asc("target_id")))
     sizes = books.groupBy("target_signature").agg(F.count("*").alias("held"))
     pairs = S.signature_pairs(sources.select(F.col("source_signature").alias("signature")), sizes.select(F.col("target_signature").alias("signature")))
     levels = pairs.join(sizes, "target_signature").withColumn("need", F.least(F.col("held"), F.lit(CANDIDATES + 1) - S.before("shared", "held", "source_signature")))
     found = S.first_of(levels, books, "target_signature").drop("nth", "need", "held")
     per_signature = F.row_number().over(Window.partitionBy("source_signature").orderBy(F.desc("shared"), "target_id"))
-    candidates = found.withColumn("nth", per_signature).where(F.col("nth") <= CANDIDATES + 1)
+    candidates = cut(found.withColumn("nth", per_signature).where(F.col("nth") <= CANDIDATES + 1))  # three joins go through them
     among = sources.join(candidates.where(F.col("nth") <= CANDIDATES).select("source_signature", F.col("target_id").alias("source_id"), F.lit(True).alias("among")), ["source_signature", "source_id"], "left")
     best = Window.partitionBy("source_signature").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("rating_count"), "target_id")
     first = lambda n, most, among: candidates.where(F.col("shown") & (F.col("nth") <= n)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).withColumn("with_self", F.lit(among))
@@ -116,10 +117,9 @@ def authors_by_genre(cat: Catalogue, k: int = TOP, sources: DataFrame | None = N
     every = linked.select("author_id", "genre_id").distinct()
     english = linked.join(cat.books.where("language = 'en'").select("book_id"), "book_id", "left_semi").select(F.col("author_id").alias("target_id"), "genre_id").distinct()
     sizes = every.groupBy("author_id").agg(F.count("*").alias("n"))
-    sources = every.join(eligible_authors(cat) if sources is None else sources, F.col("author_id") == F.col("source_id")).select("source_id", "genre_id")
-    shared = sources.join(english, "genre_id").where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.count("*").alias("shared")).where("shared >= 2")
-    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), "target_id"))
-    shared = shared.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES)
+    genres = F.collect_set("genre_id").alias("genres")
+    asked = every.join(eligible_authors(cat) if sources is None else sources, F.col("author_id") == F.col("source_id")).groupBy("source_id").agg(genres)
+    shared = S.top_shared(cut(asked), cut(english.groupBy("target_id").agg(genres)), 2, CANDIDATES)
     a, b = sizes.select(F.col("author_id").alias("source_id"), "n"), sizes.select(F.col("author_id").alias("target_id"), F.col("n").alias("m"))
     scored = shared.join(a, "source_id").join(b, "target_id").withColumn("score", F.try_divide(F.col("shared").cast("double"), (F.col("n") + F.col("m") - F.col("shared")).cast("double")))
     return ranked(scored.join(_author_books(cat), "target_id", "left"), k, F.desc_nulls_last("score"), F.desc_nulls_last("book_count"))
@@ -154,7 +154,7 @@ def series_by_genre(cat: Catalogue, k: int = TOP) -> DataFrame:
     rated = cat.books.where((F.col("language") == "en") & (X.total_ratings() >= LEAST_RATINGS)).select(F.col("book_id").alias("target_id"), "series_id", "rating_count", X.listable().alias("shown"))
     targets = rated.join(S.signed(cat).withColumnRenamed("book_id", "target_id"), "target_id")
     deepest = (sizes.agg(F.max("members")).first()[0] or 0) + CANDIDATES
-    books = S.numbered(targets, "signature", deepest, F.asc("target_id"))
+    books = cut(S.numbered(targets, "signature", deepest, F.asc("target_id")))
     held = books.groupBy("signature").agg(F.count("*").alias("held"))
     tagged = held.select("signature", "held", F.size(S.genres_of(F.col("signature"))).alias("m"), F.explode(S.genres_of(F.col("signature"))).alias("genre_id"))
     shared = own.join(tagged, "genre_id").groupBy("source_id", "signature", "held", "m").agg(F.count("*").alias("shared")).where("shared >= 2").join(sizes, "source_id")

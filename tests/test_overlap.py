@@ -52,3 +52,30 @@ def test_what_all_share_brings_no_pairs(spark, monkeypatch):
     got = overlap.top_overlaps(left, right, 2, 200, hot=100)
     assert sorted(map(tuple, got.collect())) == sorted((u, u ^ 1, 3) for u in range(users))
     assert max(met) <= 4 * users
+
+
+@pytest.mark.parametrize("users, piles, most", [(1024, 8192, 500), (7, 11, 4), (3, 40, 1)])
+def test_top_shared_for_cells_of_any_size(spark, monkeypatch, users, piles, most):
+    from shelfspark.operators import signatures
+
+    monkeypatch.setattr(signatures, "USERS", users)
+    monkeypatch.setattr(signatures, "SIGNATURES", piles)
+    rng = random.Random(9)
+    sets = {i: rng.sample("abcdefghij", rng.randint(1, 6)) for i in range(50)}
+    left = spark.createDataFrame([(i, g) for i, g in sets.items() if i % 3], "source_id long, genres array<string>")
+    right = spark.createDataFrame([(i, g) for i, g in sets.items() if i % 4], "target_id long, genres array<string>")
+    want = []
+    for s in sets:
+        near = sorted((-len(set(sets[s]) & set(sets[t])), t) for t in sets if t % 4 and t != s and len(set(sets[s]) & set(sets[t])) >= 2)
+        want += [(s, t, -n) for n, t in near[:most] if s % 3]
+    assert sorted(map(tuple, signatures.top_shared(left, right, 2, most).drop("nth").collect())) == sorted(want)
+    assert signatures.top_shared(left.limit(0), right, 2, most).count() == signatures.top_shared(left, right.limit(0), 2, most).count() == 0
+
+
+def test_rankings_are_fetched_as_far_as_they_can_reach(spark):
+    from shelfspark.operators import signatures
+
+    ranked = spark.range(100).select(F.lit("k").alias("key"), F.col("id").alias("item"), (100.0 - F.col("id")).alias("value"), (F.col("id") + 1).cast("int").alias("nth"))
+    asked = spark.createDataFrame([(1, "k", 50, 99.5), (2, "k", 50, 90.0), (3, "k", 3, 0.0), (4, "k", 50, 101.0), (5, "none", 9, 0.0)], "user int, key string, need int, least double")
+    needs = {r["user"]: r["need"] for r in signatures.narrowed(asked, ranked, "key", "value", F.col("least")).collect()}
+    assert needs == {1: 4, 2: 12, 3: 3, 4: 0}
