@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.dates import fuzzy_date
+
 DIMENSIONS = ("emotional_impact", "intellectual_depth", "writing_quality", "rereadability", "pacing", "readability", "plot_complexity", "humor")
 #: Shelves whose rows count as readers, and as having read.
 READER_SHELVES = ("want_to_read", "reading", "read")
@@ -126,12 +128,12 @@ def clamp_position(value: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Year alone is its first of January; missing parts are 1; what can't be read is null."""
+    """Year alone is its first of January; missing parts are 1; what none of the formats reads is left to fuzzy_date()."""
     low = F.lower(F.trim(text))
     known = F.when(~low.isin("", "null", "unknown", "n/a", "none"), F.trim(text))
     tried = [F.try_to_timestamp(known, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "yyyy-MM", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "MMMM yyyy", "yyyy/MM/dd")]
     year = F.when(known.rlike(r"^\d{4}$"), F.make_date(known.try_cast("int"), F.lit(1), F.lit(1)))
-    return F.coalesce(year, *tried)
+    return F.coalesce(year, *tried, fuzzy_date(known))
 
 
 def work_number(key: Column) -> Column:

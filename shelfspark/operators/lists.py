@@ -5,14 +5,17 @@ A list filters, takes the top k by its own score (ties by id), and only then loo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
+from shelfspark.operators import similar
 from shelfspark.sources.catalogue import Catalogue
+from shelfspark.sources.versions import Files
 
 SIZE = 50
 #: The lists of the home page.
@@ -167,19 +170,68 @@ LISTS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
 }
 
 
-def build_all(cat: Catalogue, root: str, k: int = SIZE, now: str = "1970-01-01 00:00:00", keys: tuple[str, ...] | None = None) -> dict[str, str | None]:
+def build_all(cat: Catalogue, root: str, k: int = SIZE, now: str = "1970-01-01 00:00:00", keys: tuple[str, ...] | None = None, builders: dict[str, Callable[..., DataFrame]] | None = None) -> dict[str, str | None]:
     """Writes every list as a snapshot under root; a list that fails doesn't keep the others from being built. Gives the
-    error of each, None for those written."""
+    error of each, None for those written. builders: what builds some lists in place of LISTS."""
     failed: dict[str, str | None] = {}
     for key in keys or tuple(LISTS):
         try:
-            LISTS[key][1](cat, k=k).withColumn("built_at", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(f"{root}/list={key}")
+            build = (builders or {}).get(key) or LISTS[key][1]
+            build(cat, k=k).withColumn("built_at", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(f"{root}/list={key}")
             failed[key] = None
         except Exception as e:  # isolation is the feature
             failed[key] = str(e).splitlines()[0]
     return failed
 
 
+class Refresh:
+    """All lists of a catalogue under one root, refreshed as a whole. A run writes its lists into a folder of its own; a
+    manifest that comes last names, for each list, the run whose folder holds it: this one, or for a list that failed the
+    one before. Readers of a manifest never see half a run."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+
+    def manifest(self) -> dict:
+        """{run, lists: {list: run}, errors: {list: error}} of the last run that is whole."""
+        names = [n for n in self.files.names() if n.startswith("lists-")]
+        return json.loads(self.files.text(names[-1])) if names else {"run": 0, "lists": {}, "errors": {}}
+
+    def run(self, cat: Catalogue, k: int = SIZE, now: str = "1970-01-01 00:00:00", keys: tuple[str, ...] | None = None, builders: dict[str, Callable[..., DataFrame]] | None = None) -> dict:
+        """Builds all lists and then the sections of the books and authors on them that hang on no reader. What an earlier,
+        broken off run has left under the same number is written over."""
+        last = self.manifest()
+        number = last["run"] + 1
+        errors = {key: e for key, e in build_all(cat, f"{self.root}/run={number}", k, now, keys, builders).items() if e is not None}
+        wanted = keys or tuple(LISTS)
+        lists = last["lists"] | {key: number for key in wanted if key not in errors}
+        ids = [self._read(key, at).select(F.lit(LISTS[key][0]).alias("entity_type"), F.col(f"{LISTS[key][0]}_id").cast("string").alias("entity_id")) for key, at in lists.items()]
+        if ids:
+            listed = reduce(DataFrame.unionByName, ids).distinct()
+            similar.cold_sections(cat, listed, listed.limit(0)).write.mode("overwrite").parquet(f"{self.root}/run={number}/sections")
+        self.files.put(f"lists-{number:09}.json", json.dumps({"run": number, "lists": lists, "errors": errors}))
+        return self.manifest()
+
+    def _read(self, key: str, run: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/run={run}/list={key}")
+
+    def read(self, key: str) -> DataFrame | None:
+        """A list as its last run that didn't fail has left it."""
+        run = self.manifest()["lists"].get(key)
+        return None if run is None else self._read(key, run)
+
+    def sections(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/run={self.manifest()['run']}/sections")
+
+    def status(self) -> DataFrame:
+        """(list, version, rows, error) of every list: the run that it comes from, and why the last one failed."""
+        now = self.manifest()
+        none = F.lit(None).cast("string")
+        parts = [self._read(key, run).agg(F.count("*").alias("rows")).select(F.lit(key).alias("list"), F.lit(run).alias("version"), "rows", F.lit(now["errors"][key]).alias("error") if key in now["errors"] else none.alias("error")) for key, run in now["lists"].items()]
+        parts += [self.spark.createDataFrame([(key, None, 0, e)], "list string, version int, rows long, error string") for key, e in now["errors"].items() if key not in now["lists"]]
+        return reduce(DataFrame.unionByName, parts)
+
+
 def page(items: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page of a list, with the list's whole length as total."""
     total = items.count()

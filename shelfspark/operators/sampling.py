@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import expressions as X
+from shelfspark.operators.common import cut
 from shelfspark.sources.catalogue import Catalogue
 
 
@@ -261,3 +264,91 @@ def packs(cat: Catalogue, seed: int, length: int = 8) -> DataFrame:
     final = drawn.withColumn("lowest", lowest).withColumn("better", F.when(~lucky, better))
     swapped = F.transform("got", lambda g, i: F.when(F.col("better").isNotNull() & (i == F.col("lowest")), F.col("better")).otherwise(g))
     return final.select("user_id", F.posexplode(swapped).alias("place", "b")).select("user_id", "place", "b.tier", "b.book_id")
+
+
+# ---- packs from the whole table
+
+
+def numbered_tiers(books: DataFrame, parts: int = 256) -> DataFrame:
+    """(tier, place, book_id): the books of each tier numbered from 0 without a gap. They are numbered within `parts` parts
+    of a tier, and each part goes on where those before it end, so no task holds a tier."""
+    dealt = books.select("tier", "book_id", F.pmod(F.xxhash64("book_id"), F.lit(parts)).alias("part"))
+    own = F.row_number().over(Window.partitionBy("tier", "part").orderBy("book_id")) - 1
+    upto = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = dealt.groupBy("tier", "part").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(upto) - F.col("n")).drop("n")
+    return dealt.withColumn("own", own).join(F.broadcast(offsets), ["tier", "part"]).select("tier", (F.col("offset") + F.col("own")).alias("place"), "book_id")  # parts rows a tier
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
+
+
+def permuted(nth: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """The nth place of a permutation of 0 to size - 1 that the key names: different for different nth. A Feistel network
+    over the next even number of bits; places beyond the size go through it again until they are within."""
+    bits = np.maximum(2, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
+    half = ((bits + 1) // 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, todo = nth.astype(np.uint64).copy(), np.ones(len(nth), bool)
+    while todo.any():
+        h, m, k = half[todo], mask[todo], key[todo].astype(np.uint64)
+        left, right = out[todo] >> h, out[todo] & m
+        for r in range(rounds):
+            left, right = right, left ^ (_mixed(right + k * np.uint64(2 * r + 1)) & m)
+        out[todo] = left << h | right
+        todo[todo] = out[todo] >= size[todo].astype(np.uint64)
+    return out.astype(np.int64)
+
+
+def _permuted_batches(batches):
+    for batch in batches:
+        columns = {n: batch.column(n).to_numpy() for n in ("nth", "size", "key")}
+        place = permuted(columns["nth"], columns["size"], columns["key"].view(np.uint64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("user_id", "at", "tier")), pa.array(place)], names=["user_id", "at", "tier", "place"])
+
+
+def in_tiers(cat: Catalogue, language: str = "en") -> DataFrame:
+    """Books with the tier whose range their average is in and for which they have the ratings."""
+    r, n = X.combined_rating(None), X.total_ratings()
+    tier = F.coalesce(*[F.when((r > t.low) & (r <= t.high) & (n >= t.ratings), t.name) for t in TIERS])
+    return cat.books.where(F.col("language") == language).withColumn("tier", tier).where("tier is not null")
+
+
+def table_packs(cat: Catalogue, seed: int, length: int = 8, language: str = "en") -> DataFrame:
+    """(user_id, place, tier, book_id): a pack of `length` different books for each user, drawn from the whole table.
+
+    Each draw rolls a tier; where the user has already drawn all books of it, the nearest that still has one gives the
+    book, the more common of two first. A pack without a book of a guaranteed tier gets one in place of its most common
+    book, if there is any. A user's nth draw from a tier is the nth place of a permutation of the tier of the user's own,
+    so books differ without knowing each other, and only the places drawn are looked up. Without `length` books in all
+    tiers together no one gets a pack."""
+    if not 1 <= length <= 25:
+        raise ValueError("a pack has 1 to 25 books")
+    names = [t.name for t in TIERS]
+    books = cut(numbered_tiers(in_tiers(cat, language)))
+    sizes = dict.fromkeys(names, 0) | {r["tier"]: r["n"] for r in books.groupBy("tier").agg(F.count("*").alias("n")).collect()}  # six rows
+    if sum(sizes.values()) < length:
+        return cat.users.limit(0).select("user_id", F.lit(0).alias("place"), F.lit("").alias("tier"), F.lit(0).cast("long").alias("book_id"))
+    own = F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string"))
+    drawn = lambda got, t: F.size(F.filter(got, lambda g: g["tier"] == t))
+
+    def pick(order: list[str], got: Column) -> Column:
+        """The first tier in order of which a book is left, and how many the user has had of it."""
+        return F.coalesce(*[F.when(drawn(got, t) < sizes[t], F.struct(F.lit(t).alias("tier"), drawn(got, t).alias("nth"))) for t in order])
+
+    def draw_next(got: Column, i: Column) -> Column:
+        rolled = tier_at(uniform_column(own, F.lit("roll"), i))
+        return F.concat(got, F.array(F.coalesce(*[F.when(rolled == t, pick([t, *fallback_order(t)], got)) for t in names])))
+
+    rows = cat.users.select("user_id").withColumn("got", F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.array().cast("array<struct<tier:string,nth:int>>"), draw_next))
+    level = lambda g: F.coalesce(*[F.when(g["tier"] == t, F.lit(i)) for i, t in enumerate(names)])
+    lucky = F.exists("got", lambda g: g["tier"].isin(*GUARANTEED))
+    rows = rows.withColumn("lowest", F.array_min(F.transform("got", lambda g, i: F.struct((-level(g)).alias("level"), i.alias("i"))))["i"]).withColumn("better", F.when(~lucky, pick(list(reversed(GUARANTEED)), F.col("got"))))
+    swapped = F.transform("got", lambda g, i: F.when(F.col("better").isNotNull() & (i == F.col("lowest")), F.col("better")).otherwise(g))
+    size = F.coalesce(*[F.when(F.col("tier") == t, F.lit(n)) for t, n in sizes.items()]).cast("long")
+    asked = rows.select("user_id", F.posexplode(swapped).alias("at", "b")).select("user_id", "at", "b.tier", F.col("b.nth").cast("long").alias("nth"))
+    keyed = asked.select("user_id", "at", "tier", "nth", size.alias("size"), F.xxhash64(F.lit(seed), "user_id", "tier").alias("key"))
+    places = keyed.mapInArrow(_permuted_batches, f"user_id {dict(cat.users.dtypes)['user_id']}, at int, tier string, place long")
+    return places.join(books, ["tier", "place"]).select("user_id", F.col("at").alias("place"), "tier", "book_id")

@@ -823,8 +823,9 @@ QUERIES["m03_view_counts"] = _drained
 ORACLE_SQL["m03_view_counts"] = """
 SELECT CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS entity_id, count(*) AS view_count, epoch_us(max(ts)) AS last_viewed FROM events WHERE event_type = 'view' GROUP BY 1"""
 
-from shelfspark.plans import imports, merges  # noqa: E402
+from shelfspark.plans import imports, jobs, merges  # noqa: E402
 
 merges.add_after_queries()
-QUERIES |= imports.QUERIES | merges.QUERIES
-ORACLE_SQL |= imports.ORACLE_SQL | merges.ORACLE_SQL
+jobs.add_after_queries(ORACLE_SQL)
+QUERIES |= imports.QUERIES | merges.QUERIES | jobs.QUERIES
+ORACLE_SQL |= imports.ORACLE_SQL | merges.ORACLE_SQL | jobs.ORACLE_SQL

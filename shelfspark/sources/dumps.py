@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspark.operators.common import broadcast_if_small
+
 AUTHOR = "key string, name string, bio string, birth_date string, death_date string, photos array<bigint>, alternate_names array<string>, remote_ids map<string,string>, wikipedia string"
 WORK = "key string, title string, description string, subjects array<string>, covers array<bigint>, first_publish_date string, authors array<struct<author:struct<key:string>>>"
 EDITION = (
@@ -19,11 +21,41 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def kind_lines(text: DataFrame, kind: str, share: float | None = None, seed: int = 0) -> DataFrame:
+    """Rows (value, ...) of five fields, the first the kind, with the last as `raw`; of a share of them, if one is given,
+    drawn by a hash of the line."""
+    fields = text.withColumn("f", F.split("value", "\t", 5)).where((F.size("f") == 5) & (F.get("f", 0) == kind))
+    if share is not None:
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), "value").cast("binary"))
+        fields = fields.where(F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52) < share)
+    return fields.withColumn("raw", F.get("f", 4)).drop("f")
+
+
+def parsed(raw: DataFrame, schema: str) -> DataFrame:
+    """JSON records of rows (raw); damaged ones are left out."""
+    return raw.select(F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and r.key is not null").select("r.*")
+
+
 def records(text: DataFrame, kind: str, schema: str) -> DataFrame:
     """JSON records of one kind from rows (value): five fields, the first the kind, the last JSON. Lines of fewer fields
     or of damaged JSON are left out."""
-    fields = text.select(F.split("value", "\t", 5).alias("f")).where((F.size("f") == 5) & (F.get("f", 0) == kind))
-    return fields.select(F.from_json(F.get("f", 4), schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null and r.key is not null").select("r.*")
+    return parsed(kind_lines(text, kind), schema)
+
+
+def records_after(spark: SparkSession, path: str, kind: str, schema: str, skip: int = 0, share: float | None = None, seed: int = 0) -> DataFrame:
+    """records() of the files at path behind the first `skip` lines of the kind (damaged JSON counts), in the order of
+    file names and of lines; share and seed draw lines before they are counted.
+
+    Lines aren't sorted. Each split of a file counts its own; a split's offset is the sum of the counts before it, over
+    a table of splits; a line's number is that and its place in its split, as Spark reads a split in one task."""
+    meta, at = F.col("_metadata"), ["file", "start"]
+    placed = lines(spark, path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"))
+    found = kind_lines(placed, kind, share, seed).withColumn("place", F.monotonically_increasing_id())
+    splits = found.groupBy(*at).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    upto = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each split
+    offsets = broadcast_if_small(splits.withColumn("offset", F.sum("n").over(upto) - F.col("n")))
+    numbered = found.join(offsets, at).withColumn("number", F.col("offset") + F.col("place") - F.col("first"))
+    return parsed(numbered.where(F.col("number") >= skip), schema)
 
 
 def text_value(raw: str) -> Column:

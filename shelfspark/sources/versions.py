@@ -91,12 +91,16 @@ class BucketedTable:
         if version is not None:
             return json.loads(self.files.text(f"manifest-{version:09}.json"))
         numbers = [n for n in self.files.names() if n.startswith("manifest-")]
-        return json.loads(self.files.text(numbers[-1])) if numbers else {"version": 0, "kind": None, "folders": {}, "done": {}}
+        return json.loads(self.files.text(numbers[-1])) if numbers else self._nothing()
+
+    @staticmethod
+    def _nothing() -> dict:
+        return {"version": 0, "kind": None, "folders": {}, "done": {}}
 
     def read(self, buckets: Iterable[int] | None = None, version: int | None = None) -> DataFrame | None:
         """The rows, of some buckets alone if these are given, of the last version unless one is named; None while there
         is no version. What is filtered and selected of it is pushed down to its files."""
-        now = self.manifest(version)
+        now = self.manifest(version) if version != 0 else self._nothing()
         if not now["version"]:
             return None
         some = now["folders"] if buckets is None else {str(b) for b in buckets} & now["folders"].keys()
@@ -104,10 +108,12 @@ class BucketedTable:
         paths = [f"{self.root}/{folder}/bucket={b}" for b in sorted(some, key=int) for folder in now["folders"][b]]
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
-    def write(self, rows: DataFrame, touched: list[int] | None = None, append: bool = False, writer: str | None = None, batch: int | None = None) -> bool:
+    def write(self, rows: DataFrame, touched: list[int] | None = None, append: bool = False, writer: str | None = None, batch: int | None = None, base: int | None = None) -> bool:
         """A new version: rows are all that the touched buckets hold from now on (all buckets, if none are named), or with
-        append come beside what they hold. A batch whose number isn't above the writer's last one changes nothing."""
-        now = self.manifest()
+        append come beside what they hold. A batch whose number isn't above the writer's last one changes nothing. It goes
+        on from the last version, or from the one named as base: those since are left behind."""
+        last = self.manifest()
+        now = last if base is None else self.manifest(base) if base else self._nothing()
         if writer is not None and batch <= now["done"].get(writer, -1):
             return False
         folder = f"data-{uuid.uuid4().hex}"
@@ -121,7 +127,7 @@ class BucketedTable:
         for b in new:
             folders[b] = [*folders.get(b, []), folder]
         done = now["done"] | ({writer: batch} if writer is not None else {})
-        version = now["version"] + 1
+        version = last["version"] + 1
         self.files.put(f"manifest-{version:09}.json", json.dumps({"version": version, "kind": kind.jsonValue(), "folders": folders, "done": done}))
         self._forget(version)
         return True
