@@ -1,6 +1,7 @@
 """Toxicity classifier with a counterfactual regulariser.
 
-A logistic model over the words that a text holds, and the beginnings of these words. In each labelled text that names a
+A logistic model over the words that a text holds, and the beginnings of these words, told apart by how many different
+words have them. In each labelled text that names a
 group of people, the name is swapped for that of another group; the model is charged for the square of the change of its
 score, so that a name by itself carries little weight and neutral mentions aren't taken for abuse.
 
@@ -28,11 +29,12 @@ from .quality import remainder
 BITS = 24
 #: Labelled rows that the model is fitted on, about: those whose hash is in the share that gives as many.
 FIT_ROWS = 20_000
-#: Chi-square value of a difference that isn't taken for chance.
+#: Chi-square value of a difference that isn't taken for chance; a parameter of train() and score_documents().
 LEAST_CHI2 = 6.6
-#: Lengths of the beginnings of words.
-STEMS = (3, 4, 5, 6, 7, 8)
-#: Names of groups that are swapped for one another, in kinds; a name is only swapped within its kind.
+#: Lengths of the beginnings of words, and numbers of words with one that are told apart.
+STEMS, LEVELS = (3, 4, 5, 6, 7, 8), (1, 2, 3, 4)
+#: Names of groups that are swapped for one another, in kinds; a name is only swapped within its kind. English, German,
+#: French and Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -42,6 +44,24 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "deaf", "blind", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "buddhistisch"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("schwule", "lesben", "heteros"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "bouddhiste"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("discapacitados", "sordos", "ciegos"),
 )
 #: Bytes of a word: ASCII letters and whatever isn't ASCII.
 WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -55,13 +75,15 @@ def words_of(data: bytes) -> set[bytes]:
     return set(WORD.findall(data.lower()))
 
 
-def word_features(word: bytes) -> list[int]:
+def stems_of(word: bytes) -> list[bytes]:
     letters = word.decode("utf-8", "ignore")
-    return [index(word), *(index(b"<" + letters[:n].encode()) for n in STEMS if len(letters) > n)]
+    return [letters[:n].encode() for n in STEMS if len(letters) > n]
 
 
 def features(words: set[bytes]) -> set[int]:
-    return {f for w in words for f in word_features(w)}
+    """Each word, and each beginning of words as often as different words have it, up to the last of LEVELS."""
+    stems = Counter(s for w in words for s in stems_of(w))
+    return {index(w) for w in words} | {index(b"%d<%b" % (level, s)) for s, n in stems.items() for level in LEVELS if n >= level}
 
 
 def swaps(words: set[bytes], kinds: tuple = IDENTITY_TERMS) -> dict[bytes, bytes]:
@@ -128,19 +150,30 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, data: bytes, seen: dict[bytes, tuple[int, ...]]) -> float:
-        """seen: weighted features of words met before, so that most are looked up and not hashed."""
-        hits: set[int] = set()
+    def score(self, data: bytes, seen: dict[bytes, tuple]) -> float:
+        """seen: of words met before their own feature and beginnings, of beginnings their features, as far as these have
+        weights; so most are looked up and not hashed."""
+        hits, stems = set(), Counter()
+        if len(seen) > 200_000:
+            seen.clear()
         for word in words_of(data):
             if (found := seen.get(word)) is None:
-                if len(seen) > 200_000:
-                    seen.clear()
-                found = seen[word] = tuple(f for f in word_features(word) if f in self.weights)
-            if found:
-                hits.update(found)
+                own = index(word)
+                found = seen[word] = (own if own in self.weights else None, tuple(s for s in stems_of(word) if self._levels(s, seen)))
+            if found[0] is not None:
+                hits.add(found[0])
+            stems.update(found[1])
+        for stem, n in stems.items():
+            hits.update(f for level, f in self._levels(stem, seen) if n >= level)
         total = self.bias + sum(self.weights[f] for f in sorted(hits))
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
+    def _levels(self, stem: bytes, seen: dict[bytes, tuple]) -> tuple[tuple[int, int], ...]:
+        key = b"<" + stem
+        if key not in seen:
+            seen[key] = tuple((level, f) for level in LEVELS if (f := index(b"%d<%b" % (level, stem))) in self.weights)
+        return seen[key]
+
 
 class Bags:
     """Sparse rows of ones."""
@@ -200,9 +233,9 @@ def fit(own: list[list[int]], swapped: list[list[int] | None], toxic: np.ndarray
     return weights, float(bias - mean @ weights)
 
 
-def chosen_features(bodies: DataFrame, kinds: tuple) -> list[int]:
+def chosen_features(bodies: DataFrame, kinds: tuple, least_chi2: float = LEAST_CHI2) -> list[int]:
     """Features of rows (toxic, body) whose frequencies differ between the classes, and those that swaps touch: all of
-    them. They come from the bounded sample of rows that the model is fitted on, which bounds their number."""
+    them, however rare. They come from the bounded sample of rows that the model is fitted on, which bounds their number."""
     counts = bodies.mapInArrow(count_batches(kinds), "feature long, clean long, toxic long, named long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("named").alias("named"))
     classes = bodies.agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).first()
     n0, n1 = float(classes["n0"]), float(classes["n1"])
@@ -210,11 +243,11 @@ def chosen_features(bodies: DataFrame, kinds: tuple) -> list[int]:
         return []
     c, t = F.col("c").cast("double"), F.col("t").cast("double")
     chi2 = F.try_divide((t * (n0 - c) - c * (n1 - t)) ** 2 * (n0 + n1), n0 * n1 * (c + t) * (n0 + n1 - c - t))
-    scored = counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("chi2") >= LEAST_CHI2) & (F.col("c") + F.col("t") >= 3) | (F.col("named") > 0))
+    scored = counts.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("chi2") >= least_chi2) | (F.col("named") > 0))
     return sorted(r["feature"] for r in scored.select("feature").collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, **how) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tuple = IDENTITY_TERMS, least_chi2: float = LEAST_CHI2, **how) -> Model | None:
     """Fits on docs (doc_id, text) and labels (doc_id, toxic), both of the training part alone. None without labels of
     both kinds."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -222,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, kinds: tupl
         return None
     rows = labelled_sample(docs, known, limit / total)
     bodies = cut(rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.col("text").cast("binary").alias("body")))  # `limit` texts, about
-    chosen = chosen_features(bodies, kinds)
+    chosen = chosen_features(bodies, kinds, least_chi2)
     if not chosen:
         return None
     found = bodies.mapInArrow(kept_batches(kinds, {f: i for i, f in enumerate(chosen)}), "toxic int, own array<int>, swapped array<int>").toArrow()
