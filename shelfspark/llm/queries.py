@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_text, mixing, packing, phrases, quality, rollup, runs, sharding, simhash, topk, toxicity, warc_zip
-from .common import SMALL_IDS, WORD, broadcast_if_small, shared_dir, table
+from .common import SMALL_IDS, WORD, broadcast_if_small, cut, shared_dir, table
 
 SHARDS = 8
 
@@ -33,25 +33,41 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents are inserted; texts are then revised to single spaces between words; documents labelled
-    bad are deleted. The revision is committed twice, and counts once."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    tidy_text = F.concat_ws(" ", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+def _rolled_up(spark: SparkSession, counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Totals after the counts (doc_id, source, lang, tokenizer, old_tokens, tokens) of all documents were inserted, then
+    revised, the revision twice, and those of documents labelled bad deleted. A null id is labelled nothing; labels of a
+    document that isn't there, and repeated ones, delete nothing more."""
     bad = broadcast_if_small(labels.where("quality = 0").select("doc_id").distinct(), SMALL_IDS)
     totals = rollup.TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    old, new = rollup.counted(docs), rollup.counted(docs.withColumn("text", tidy_text))
-    nothing = F.lit(None).cast("long").alias("old_tokens")
-    totals.commit("insert-1", old.select(F.lit("insert").alias("kind"), *rollup.KEYS, "tokens", nothing))
-    both = docs.select("source", "lang", "text", tidy_text.alias("tidy"))
-    pairs = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("tidy")).alias("tokens"), count(F.col("text")).alias("old_tokens")) for name, count in rollup.COUNTERS.items()])
-    revised = both.select("source", "lang", F.explode(pairs).alias("t")).select(F.lit("revise").alias("kind"), "source", "lang", "t.tokenizer", "t.tokens", "t.old_tokens")
-    totals.commit("revise-1", revised)
-    totals.commit("revise-1", revised)
-    totals.commit("delete-1", new.join(bad, "doc_id", "left_semi").select(F.lit("delete").alias("kind"), *rollup.KEYS, "tokens", nothing))
+    change = lambda kind, tokens, old: (F.lit(kind).alias("kind"), *rollup.KEYS, tokens.alias("tokens"), old.alias("old_tokens"))
+    new, old, nothing = F.col("tokens"), F.col("old_tokens"), F.lit(None).cast("long")
+    totals.commit("insert-1", counts.select(*change("insert", old, nothing)))
+    for _ in range(2):
+        totals.commit("revise-1", counts.select(*change("revise", new, old)))
+    totals.commit("delete-1", counts.join(bad, "doc_id", "left_semi").select(*change("delete", new, nothing)))
     return totals.totals()
 
 
+def _tidy() -> Column:
+    """The text with single spaces between its words."""
+    return F.concat_ws(" ", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, bytes and tokens of the vocabulary of all documents are inserted; texts are then revised to single spaces
+    between words; documents labelled bad are deleted. Texts are read once, for all their counts."""
+    counts = cut(rollup.counted_twice(table(spark, sf_dir, "documents"), _tidy()))
+    return _rolled_up(spark, counts, table(spark, sf_dir, "labels"))
+
+
+def op5b_rollup_without_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the versions that SQL can count."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = F.array(*[F.struct(F.lit(name).alias("tokenizer"), count(F.col("text")).alias("old_tokens"), count(F.col("tidy")).alias("tokens")) for name, count in rollup.COUNTERS.items()])
+    counts = docs.withColumn("tidy", _tidy()).select("doc_id", "source", "lang", F.explode(pairs).alias("t")).select("doc_id", "source", "lang", "t.*")
+    return _rolled_up(spark, cut(counts), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -96,7 +112,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op11_phrases, op12_html_text, op13_runs)
+    f.__name__: f for f in (op1_sharding, op2_simhash, op3_packing, op4_topk, op5_token_rollup, op5b_rollup_without_vocabulary, op6_mixing, op7_quality, op8_exact_dedup, op9_warc_zip, op10_toxicity, op11_phrases, op12_html_text, op13_runs)
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -113,7 +129,7 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """,
-    "op5_token_rollup": r"""
+    "op5b_rollup_without_vocabulary": r"""
 WITH d AS (
   SELECT source, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
   WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)),

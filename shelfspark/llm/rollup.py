@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import utf8_size, word_count
@@ -37,17 +37,39 @@ def counted(docs: DataFrame, counters: dict = COUNTERS) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.explode(each).alias("t")).select("doc_id", "source", "lang", "t.tokenizer", "t.tokens")
 
 
-def bpe_counted(docs: DataFrame, version: str = "byte_bpe_50k", vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
-    """counted() for a version that takes a vocabulary: tokens of the public byte-level BPE."""
+BPE = "byte_bpe_50k"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary, ranks)
-        for batch in batches:
-            sizes = [len(bpe.ids(t.as_py() or "")) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
 
-    rows = docs.select("doc_id", "source", "lang", "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, tokenizer string, tokens long")
+def bpe_batches(batches: Iterator[pa.RecordBatch], texts: int, vocabulary: str | None, ranks: str | None) -> Iterator[pa.RecordBatch]:
+    """Replaces the last `texts` columns, texts or null, by their numbers of tokens. Equal texts of a row are counted once."""
+    bpe = ByteBpe(vocabulary, ranks)
+    for batch in batches:
+        kept, names = batch.columns[:-texts], batch.schema.names
+        sizes = []
+        for row in zip(*(c.to_pylist() for c in batch.columns[-texts:])):
+            known = {t: len(bpe.ids(t or "")) for t in set(row)}
+            sizes.append([known[t] for t in row])
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r[i] for r in sizes], pa.int64()) for i in range(texts))], names=names)
+
+
+def bpe_counted(docs: DataFrame, version: str = BPE, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+    """counted() for a version that takes a vocabulary: tokens of the public byte-level BPE. Null, empty and very long
+    texts, null ids, repeated rows and other columns as there."""
+    rows = docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), F.col("text").alias("tokens"))
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(lambda batches: bpe_batches(batches, 1, vocabulary, ranks), f"{kind}, tokens long")
+
+
+def counted_twice(docs: DataFrame, revised: Column, counters: dict = COUNTERS, version: str = BPE, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, old_tokens, tokens) of each row of docs and tokenizer version, those of counters
+    and of a vocabulary: tokens of its text and of its revised text, in one pass over docs. Edge cases are those of counted()."""
+    native = [c(t).alias(f"{when}_{i}") for i, c in enumerate(counters.values()) for when, t in (("old", F.col("text")), ("new", F.col("revised")))]
+    rows = docs.select("doc_id", "source", "lang", "text", revised.alias("revised")).select("doc_id", "source", "lang", *native, F.col("text").alias("old"), F.col("revised").alias("new"))
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-2])
+    found = rows.mapInArrow(lambda batches: bpe_batches(batches, 2, vocabulary, ranks), f"{kind}, old long, new long")
+    names = [*((name, f"old_{i}", f"new_{i}") for i, name in enumerate(counters)), (version, "old", "new")]
+    each = F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(a).alias("old_tokens"), F.col(b).alias("tokens")) for n, a, b in names])
+    return found.select("doc_id", "source", "lang", F.explode(each).alias("t")).select("doc_id", "source", "lang", "t.*")
 
 
 def deltas(changes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
 from shelfspark.llm import rollup
-from shelfspark.llm.queries import ORACLE_SQL, op5_token_rollup
+from shelfspark.llm.queries import ORACLE_SQL, op5_token_rollup, op5b_rollup_without_vocabulary
 from tests.oracle import SMALL, assert_same, connection
 
 
@@ -14,7 +14,31 @@ def totals(r):
 
 
 def test_query_matches_sql(spark):
-    assert_same(op5_token_rollup(spark, SMALL), connection().execute(ORACLE_SQL["op5_token_rollup"]).df())
+    want = connection().execute(ORACLE_SQL["op5b_rollup_without_vocabulary"]).df()
+    assert_same(op5b_rollup_without_vocabulary(spark, SMALL), want)
+    assert_same(op5_token_rollup(spark, SMALL).where("tokenizer <> 'byte_bpe_50k'"), want)
+
+
+def test_vocabulary_rows_against_brute_force(spark):
+    from tests.llm.test_packing import slow_ids
+
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 0").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        if r["doc_id"] not in bad:
+            n, tokens = want.get((r["source"], r["lang"]), (0, 0))
+            want[r["source"], r["lang"]] = n + 1, tokens + len(slow_ids(" ".join(w for w in (r["text"] or "").encode().decode().translate(dict.fromkeys((9, 10, 11, 12, 13), " ")).split(" ") if w)))
+    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in op5_token_rollup(spark, SMALL).where("tokenizer = 'byte_bpe_50k'").collect()}
+    assert got == want
+
+
+def test_both_counts_of_awkward_rows(edge_docs, no_docs):
+    from pyspark.sql import functions as F
+
+    both = rollup.counted_twice(edge_docs, F.concat("text", F.lit(" end")))
+    old = sorted((str(tuple(r)) for r in rollup.counted(edge_docs).unionByName(rollup.bpe_counted(edge_docs)).collect()))
+    assert sorted(str((r["doc_id"], r["source"], r["lang"], r["tokenizer"], r["old_tokens"])) for r in both.collect()) == old
+    assert all(r["tokens"] >= r["old_tokens"] for r in both.collect()) and rollup.counted_twice(no_docs, F.col("text")).count() == 0
 
 
 def test_batches_count_once(spark, tmp_path):
@@ -68,7 +92,7 @@ def test_query_plan_on_awkward_tables(spark, edge_docs, no_docs, tmp_path, docum
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     got = sorted(((r["source"], r["tokenizer"], r["documents"]) for r in op5_token_rollup(spark, f"file://{tmp_path}").collect()), key=str)
     left = [d for d in edge_docs.collect() if documents and d["doc_id"] not in {r[0] for r in rows if r[1] == 0 and r[0] is not None}]
-    want = {(d["source"], t): 0 for d in left for t in rollup.COUNTERS}
+    want = {(d["source"], t): 0 for d in left for t in (*rollup.COUNTERS, rollup.BPE)}
     for d in left:
         for t in rollup.COUNTERS:
             want[d["source"], t] += 1
