@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.dates import fuzzy_date
-from shelfspark.operators import jobs, lists, sampling
+from shelfspark.operators import jobs, lists, sampling, search, similar
 from shelfspark.plans import merges
+from shelfspark.plans.oracle import sql
 from shelfspark.sources import dumps
 from shelfspark.sources.catalogue import Catalogue, catalogue, shared_dir
 
@@ -217,8 +218,32 @@ def add_after_queries(sql_of: dict[str, str]) -> None:
         version, failed = (2 if key in ("most_read", "top_authors") else 1), ("true" if key == "most_wanted" else "NULL")
         parts.append(f"SELECT '{key}' AS list, {version} AS version, (SELECT count(*) FROM ({named[key]})) AS rows, CAST({failed} AS BOOLEAN) AS failed")
     add("l21_refresh", _refreshed, "\nUNION ALL ".join(parts))
+    listed = lambda kind, section, query, named, key, title: f"SELECT '{kind}' AS entity_type, CAST(source_id AS VARCHAR) AS entity_id, '{section}' AS section_key, CAST(rank AS BIGINT) AS rank, target_id, {title} AS title, slug FROM ({query}) JOIN ({named}) ON {key} = target_id WHERE rank <= 5"
+    people, books = sql("SELECT author_id, name, slug FROM authors"), sql("SELECT book_id, title, slug FROM books")
+    parts = [
+        listed("author", "similar_by_genre", sql_of["c05_authors_by_genre"], people, "author_id", "name"),
+        listed("author", "fans_also_read", sql_of["c06_fans_also_read"], people, "author_id", "name"),
+        listed("series", "more_by_author", sql_of["c07_series_more_by_author"], books, "book_id", "title"),
+    ]
+    add("c13b_read_other_sections", _other_sections, "\nUNION ALL ".join(parts))
 
 
+# ---- C13: sections of authors and series
+
+
+def _other_sections(cat: Catalogue) -> DataFrame:
+    found = [similar._listed(build(cat), kind, key) for kind, key, build in (("author", "similar_by_genre", similar.authors_by_genre), ("author", "fans_also_read", similar.fans_also_read), ("series", "more_by_author", similar.series_more_by_author))]
+    return similar.read_sections(cat, found[0].unionByName(found[1]).unionByName(found[2]), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---- Q4: titles as they are indexed
+
+add(
+    "q04b_analysed_titles",
+    lambda cat: cat.books.select("book_id", F.array_join(search.stemmed(search.terms(F.col("title"))), " ").alias("terms")),
+    sql("SELECT book_id, replace(lower(title), 'large', 'larg') AS terms FROM books"),
+)
+
 # ---- G9: packs from the whole table
 
 add("g09_packs_from_table", lambda cat: sampling.table_packs(cat, SEED))

@@ -706,9 +706,9 @@ add(
 )
 add("d03_small_series", partial(cleanup.small_series, few=26), sql("SELECT series_id, count(*) AS books FROM books WHERE series_id IS NOT NULL GROUP BY 1 HAVING count(*) <= 26"))
 add(
-    "d04_orphan_genres",
-    lambda cat: cleanup.orphan_genres(cat.genres, cat.book_genres.join(cat.books.where("language = 'de' and book_id < 400").select("book_id"), "book_id")),
-    sql("SELECT genre_id FROM genres WHERE genre_id NOT IN (SELECT genre_id FROM book_genres JOIN books USING (book_id) WHERE language = 'de' AND book_id < 400)"),
+    "d04_orphan_genres",  # brands stand for genre rows without a book
+    lambda cat: cleanup.orphan_genres(cat.genres.select("genre_id").unionByName(cat.table("part").select(F.lower("p_brand").alias("genre_id")).distinct()), cat.book_genres),
+    sql("SELECT genre_id FROM (SELECT genre_id FROM genres UNION ALL SELECT DISTINCT lower(p_brand) FROM part) WHERE genre_id NOT IN (SELECT genre_id FROM book_genres)"),
 )
 add("d04b_unlinked_genres", cleanup.unlinked_genres, sql("SELECT genre_id FROM genres WHERE genre_id NOT IN (SELECT genre_id FROM book_genres)"))
 add("d05_small_genres", partial(cleanup.small_genres, few=250), sql("SELECT genre_id, count(*) AS books FROM book_genres GROUP BY 1 HAVING count(*) <= 250"))

@@ -13,7 +13,10 @@ from shelfspark.functions.expressions import DIMENSIONS, READER_SHELVES, average
 
 
 def kept(cat: Catalogue, df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if getattr(cat, "keep", False) else df
+    if not getattr(cat, "keep", False):
+        return df
+    cat.__dict__.setdefault("persisted", []).append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
 
 
 @dataclass(frozen=True)
@@ -159,12 +162,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
 
 
-_OPEN: dict[tuple[str, str], Catalogue] = {}
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files that tables of a folder consist of."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for table in files.listStatus(path):
+        parts = files.listStatus(table.getPath()) if table.isDirectory() and table.getPath().getName().endswith(".parquet") else [table]
+        out += [(p.getPath().toString(), p.getLen(), p.getModificationTime()) for p in parts]
+    return tuple(sorted(out))
+
+
+_OPEN: dict[tuple[str, str], tuple[tuple, Catalogue]] = {}
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
-    """The application's catalogue of a folder: queries share the tables that it keeps."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The application's catalogue of a folder: queries share the tables that it keeps, as long as the folder's files are
+    the same. When one has changed, what was kept is released and derived anew."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), _files(spark, sf_dir)
+    if key in _OPEN and _OPEN[key][0] != files:
+        release(spark, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = Catalogue(spark, sf_dir, keep=True)
-    return _OPEN[key]
+        _OPEN[key] = files, Catalogue(spark, sf_dir, keep=True)
+    return _OPEN[key][1]
+
+
+def release(spark: SparkSession, sf_dir: str) -> None:
+    """Gives back the memory and disk that the catalogue of a folder keeps."""
+    _, cat = _OPEN.pop((spark.sparkContext.applicationId, sf_dir), (None, None))
+    for df in getattr(cat, "persisted", ()):
+        df.unpersist()
