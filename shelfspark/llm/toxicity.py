@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, labelled_sample
 from .quality import remainder
 
-BITS = 24
+#: Bits of the hash of a word or beginning; two more tell its levels apart.
+BITS = 28
 #: Labelled rows that the model is fitted on, about: those whose hash is in the share that gives as many.
 FIT_ROWS = 20_000
 #: Chi-square value of a difference that isn't taken for chance; a parameter of train() and score_documents().
@@ -67,23 +69,24 @@ IDENTITY_TERMS = (
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def index(feature: bytes) -> int:
-    return xxhash.xxh32_intdigest(feature, 7) & ((1 << BITS) - 1)
+def place(key: bytes) -> int:
+    """Of a word (=word) or a beginning of words (<beginning): the feature of its first level, the next ones follow."""
+    return (xxhash.xxh32_intdigest(key, 7) & ((1 << BITS) - 1)) << 2
 
 
 def words_of(data: bytes) -> set[bytes]:
     return set(WORD.findall(data.lower()))
 
 
-def stems_of(word: bytes) -> list[bytes]:
+def places_of(word: bytes) -> list[int]:
     letters = word.decode("utf-8", "ignore")
-    return [letters[:n].encode() for n in STEMS if len(letters) > n]
+    return [place(b"=" + word), *(place(b"<" + letters[:n].encode()) for n in STEMS if len(letters) > n)]
 
 
 def features(words: set[bytes]) -> set[int]:
     """Each word, and each beginning of words as often as different words have it, up to the last of LEVELS."""
-    stems = Counter(s for w in words for s in stems_of(w))
-    return {index(w) for w in words} | {index(b"%d<%b" % (level, s)) for s, n in stems.items() for level in LEVELS if n >= level}
+    met = Counter(p for w in words for p in places_of(w))
+    return {p + level - 1 for p, n in met.items() for level in LEVELS if n >= level}
 
 
 def swaps(words: set[bytes], kinds: tuple = IDENTITY_TERMS) -> dict[bytes, bytes]:
@@ -150,30 +153,28 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, data: bytes, seen: dict[bytes, tuple]) -> float:
-        """seen: of words met before their own feature and beginnings, of beginnings their features, as far as these have
-        weights; so most are looked up and not hashed."""
-        hits, stems = set(), Counter()
-        if len(seen) > 200_000:
-            seen.clear()
+    @cached_property
+    def levels(self) -> dict[int, list[tuple[int, int]]]:
+        """(level, feature) of each place whose features have weights."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for f in self.weights:
+            out.setdefault(f & ~3, []).append(((f & 3) + 1, f))
+        return out
+
+    def score(self, data: bytes, seen: dict[bytes, tuple[int, ...]]) -> float:
+        """seen: places of words met before, as far as these have weights; so most are looked up and not hashed."""
+        levels, met = self.levels, []
         for word in words_of(data):
             if (found := seen.get(word)) is None:
-                own = index(word)
-                found = seen[word] = (own if own in self.weights else None, tuple(s for s in stems_of(word) if self._levels(s, seen)))
-            if found[0] is not None:
-                hits.add(found[0])
-            stems.update(found[1])
-        for stem, n in stems.items():
-            hits.update(f for level, f in self._levels(stem, seen) if n >= level)
-        total = self.bias + sum(self.weights[f] for f in sorted(hits))
+                if len(seen) > 500_000:
+                    seen.clear()
+                found = seen[word] = tuple(p for p in places_of(word) if p in levels)
+            if found:
+                met += found
+        hits = [f for p, n in Counter(met).items() for level, f in levels[p] if n >= level]
+        total = self.bias + sum(map(self.weights.__getitem__, sorted(hits)))
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
-    def _levels(self, stem: bytes, seen: dict[bytes, tuple]) -> tuple[tuple[int, int], ...]:
-        key = b"<" + stem
-        if key not in seen:
-            seen[key] = tuple((level, f) for level in LEVELS if (f := index(b"%d<%b" % (level, stem))) in self.weights)
-        return seen[key]
-
 
 class Bags:
     """Sparse rows of ones."""
