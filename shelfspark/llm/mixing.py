@@ -58,7 +58,7 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **kinds) -> DataFrame:
 
     size counts words (null text: 0). A source without words has the target 0; null is a source of its own; repeated
     rows with one id are drawn alike; an empty table gives no rows; other columns are not looked at. The texts are read
-    once: ids, sources and sizes go through the shared folder.
+    once, long ones whole: ids, sources and sizes go through the shared folder.
     """
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix_rates(sized, seed, **kinds).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
 
     Returns the pieces (SCHEMA): the ids start..start+length-1 of a document lie at offset.. of sequence_id. A null or
     empty text is the end id alone; null ids are kept; repeated rows are packed one by one; an empty table gives no
-    rows; other columns are not looked at.
+    rows; other columns are not looked at. A very long text is tokenised whole in its task and fills windows of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,7 +136,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, load_factor: float = 1.0,
 
     Returns doc_id, size, text_crc32, shard, slot. Null ids hash like any other value; null texts have size 1 and the
     CRC of the empty text; repeated rows are placed one by one; an empty table gives no rows; other columns are not
-    looked at. Rows are placed singly: equal texts aren't kept together, as one such group may exceed a shard.
+    looked at. Rows are placed singly: equal texts aren't kept together, as one such group may exceed a shard. Of a very
+    long text only size and CRC are worked out, where it is read.
     """
     keyed = with_row_id(docs.select("doc_id", "text"), "row_id").select(
         "doc_id",

@@ -58,6 +58,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if most < 2.0**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most >= 2.0**63:
+        raise OverflowError("components are too large for scores of 64 bits")
     return a @ b.T
 
 
@@ -262,7 +264,8 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, bloc
 
     Vectors that are null or hold null or non-finite components neither ask nor are found; a shorter vector counts as
     filled up with zeros; a null vec_id never asks and ranks behind others; repeated rows are rows like others; fewer than
-    k others give all of them; an empty table gives no rows; other columns are not looked at.
+    k others give all of them; an empty table gives no rows; other columns are not looked at. Very long vectors are held
+    whole by a task, a block of them at a time. Scores are exact; components so large that one might reach 2^63 fail.
     """
     rows = cut(quantised(vectors))
     sample = rows.orderBy(F.xxhash64("vec_id", "row_id"), "row_id").limit(PIVOTS).collect()  # PIVOTS rows at most

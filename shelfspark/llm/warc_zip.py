@@ -378,6 +378,7 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
     A null html has an empty payload; null page ids come back null and are responses only where no other row has the
     payload; of repeated rows the first is the response; an empty table gives no rows; other columns are not looked at.
+    A very long page is one record, held whole by the task that writes or reads it.
     """
     root = f"{shared_dir(pages.sparkSession).rstrip('/')}/archives-{uuid.uuid4().hex}"
     return read_archives(cut(write_archives(pages, root, least)), root)

@@ -98,3 +98,10 @@ def test_queries_go_to_piles_that_can_reach_their_floor():
     same = topk.Piles(np.array([10, 20, 30]), np.array([[5], [5], [5]]), np.array([[5], [5], [5]]))
     asked = topk.pa.RecordBatch.from_arrays([topk.pa.array([0]), topk.pa.array([0]), topk.pa.array([[1]]), topk.pa.array([5]), topk.pa.array([20])], names=["row_id", "vec_id", "v", "floor", "worst_id"])
     assert [r["pile"] for out in topk.other_piles(same)(iter([asked])) for r in out.to_pylist()] == [1]
+
+
+def test_scores_beyond_64_bits_fail():
+    big = np.array([[1 << 40, 1 << 30]], np.int64)
+    assert topk.products(big, big >> 20).tolist() == [[(1 << 60) + (1 << 40)]]
+    with pytest.raises(OverflowError):
+        topk.products(big, big)
