@@ -112,7 +112,7 @@ SELECT how, '/works/OL' || p_partkey || 'W' AS key FROM n WHERE late AND p_partk
 # ---- Z3: dates in free text
 
 #: How a date d is written, and what can be read of it: its day, its month or its year; `us` if a day up to 12 counts as
-#: the month; `none` if nothing can.
+#: the month; `short` if a number up to 31 counts as a day, and there is no year then; `none` if nothing can.
 SHAPES = [
     ("date_format(d, 'yyyy-MM-dd')", "day"),
     ("date_format(d, 'yyyy/M/d')", "day"),
@@ -148,7 +148,7 @@ SHAPES = [
     ("date_format(d, 'MMM yyyy')", "month"),
     ("date_format(d, 'yyyy MMM')", "month"),
     ("concat('Sept. ', date_format(d, 'yyyy'))", "september"),
-    ("date_format(d, 'MMM yy')", "month"),
+    ("date_format(d, 'MMM yy')", "short"),
     ("concat(date_format(d, 'MMM '), '’', date_format(d, 'yy'))", "month"),
     ("date_format(d, 'yyyy-MM')", "month"),
     ("date_format(d, 'MM/yyyy')", "month"),
@@ -182,6 +182,7 @@ READ = {
     "month": "date_trunc('month', d)",
     "year": "date_trunc('year', d)",
     "us": "CASE WHEN day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END",
+    "short": "CASE WHEN year(d) % 100 NOT BETWEEN 1 AND 31 THEN date_trunc('month', d) END",
     "september": "make_date(year(d), 9, 1)",
     "none": "NULL",
 }
