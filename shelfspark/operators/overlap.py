@@ -42,9 +42,10 @@ def top_overlaps(left: DataFrame, right: DataFrame, least: int, k: int, hot: int
     kind, and none is its own target. Sources without targets have no row."""
     apart = (lambda df: df.where("source_id <> target_id")) if same else (lambda df: df)
     frequency = right.groupBy("member").agg(F.count("*").alias("df"))
-    many = cut(frequency.where(F.col("df") > hot))
+    many = frequency.where(F.col("df") > hot)
     if many.isEmpty():
         return first(apart(counted(left, right)).where(F.col("score") >= least), k)
+    many = cut(many)
     marked = left.join(many, "member", "left")  # hot members are rare: reads / hot of them at most
     plain = cut(apart(counted(marked.where("df IS NULL").select("source_id", "member"), right)))
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score")))
