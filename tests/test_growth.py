@@ -33,6 +33,18 @@ def test_series_in_progress_go_on_with_their_first_books(spark, k):
     assert sorted(rows(personal.continue_series(cat, k))) == want
 
 
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_more_of_a_series_is_its_first_books_without_itself(spark, k):
+    books, _, cat = series_catalogue(spark)
+    shown = {r[0] for r in personal._shown(cat).collect()}
+    want = []
+    for b in sorted(books, key=lambda b: b["book_id"]):
+        if b["series_id"] and b["book_id"] in shown:
+            others = [t for t in in_order(books) if t["series_id"] == b["series_id"] and t["book_id"] in shown - {b["book_id"]}][:k]
+            want += [(b["book_id"], nth, t["book_id"], t["series_position"] or 0.0) for nth, t in enumerate(others, 1)]
+    assert sorted(rows(similar.more_from_series(cat, k))) == want
+
+
 @pytest.fixture
 def met(spark, monkeypatch):
     """Rows of the largest input of any ranking of all pairs, by what ranked() is given."""
@@ -48,3 +60,6 @@ def test_series_are_not_met_book_by_book(spark, met):
     cat = catalogue(spark, books, shelves[:7])
     personal.continue_series(cat, 5).count()
     assert met and max(met) <= 3 * 3 * 8  # three users, three series, k books and the few that are gone; 900 books before
+    del met[:]
+    similar.more_from_series(cat, 5).count()
+    assert sum(met) == 0  # follows from the series' rankings; 300 * 300 * 3 pairs before
