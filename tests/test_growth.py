@@ -2,7 +2,9 @@
 
 import pytest
 
-from shelfspark.operators import personal, similar
+from shelfspark.operators import jobs, personal, similar
+from shelfspark.plans.jobs import KINDS
+from tests.test_jobs import RECORD
 from tests.test_operators import NOW, book, catalogue, rows
 
 
@@ -63,3 +65,43 @@ def test_series_are_not_met_book_by_book(spark, met):
     del met[:]
     similar.more_from_series(cat, 5).count()
     assert sum(met) == 0  # follows from the series' rankings; 300 * 300 * 3 pairs before
+
+
+def test_batches_together_leave_what_one_after_the_other_does(spark, tmp_path):
+    """Old rows, keys in several batches and sources, nulls that come first or last; and few imports for many batches."""
+    out = []
+    for source in "ab":
+        for i in range(12):
+            sentence, bio, name = (None if (i + len(out)) % 3 else f"It began {source}{i}"), (None if i % 2 else f"bio {source}{i}"), f"Genre{'!' * (i % 4)}"
+            series = (("Saga" + "?" * (i % 3), float(i)) if i % 4 else None)
+            out.append((source, i, f"Book {i % 5}{'!' * (i % 2)}", "en", None if i % 5 else f"d {source}{i}", sentence, 1900 + i, f"cover{i}", f"OL{source}{i}", None, series, ["pdf"], [f"i{i}"], None, i, {"x": str(i)} if i % 2 else None, [("Ann" + "." * (i % 3), bio)], [(name,)]))
+    records = spark.createDataFrame(out, RECORD)
+    tables = {}
+    for how in ("together", "alone"):
+        job = jobs.ImportJob(spark, f"file://{tmp_path}/{how}", KINDS, size=6, buckets=1)
+        job.fill({"genres": spark.createDataFrame([("genre", "Old")], KINDS["genres"]), "authors": spark.createDataFrame([("ann", "Old Ann", None)], KINDS["authors"])})
+        if how == "together":
+            assert len(job.run(records)) == 4 and job.manifest()["at"] == 2  # one import; four before
+        else:
+            for source in "ab":
+                for at in range(0, 12, 6):
+                    assert len(job.run(records.where(f"source = '{source}' AND seq >= {at} AND seq < {at + 6}"))) == 1
+        tables[how] = {name: sorted(map(str, job.table(name).collect())) for name in jobs.KEYS}
+    assert tables["together"] == tables["alone"]
+    assert all(tables["alone"].values())
+
+
+def test_one_bad_batch_takes_few_imports(spark, tmp_path, monkeypatch):
+    job, tried = jobs.ImportJob(spark, f"file://{tmp_path}/job", KINDS, size=1, buckets=2), []
+
+    def apply(records, now):
+        tried.append(sorted(r["seq"] for r in records.select("seq").collect()))
+        if 11 in tried[-1]:
+            raise ValueError("[11] is bad")
+        return now["versions"]
+
+    monkeypatch.setattr(job, "_apply", apply)
+    assert len(job.run(spark.range(32).selectExpr("'a' AS source", "id AS seq"))) == 32
+    assert [d[:3] for d in job.manifest()["dead"]] == [["a", 11, 1]] and job.run(spark.range(32).selectExpr("'a' AS source", "id AS seq")) == []
+    assert len(tried) == 11  # 32 before
+    assert sorted(sum((t for t in tried if 11 not in t), [])) == [i for i in range(32) if i != 11]
