@@ -1,8 +1,9 @@
 """Sections and jobs whose work must grow no faster than their input."""
 
+import pyarrow as pa
 import pytest
 
-from shelfspark.operators import jobs, personal, similar
+from shelfspark.operators import jobs, personal, signatures, similar
 from shelfspark.plans.jobs import KINDS
 from tests.test_jobs import RECORD
 from tests.test_operators import NOW, book, catalogue, rows
@@ -105,3 +106,13 @@ def test_one_bad_batch_takes_few_imports(spark, tmp_path, monkeypatch):
     assert [d[:3] for d in job.manifest()["dead"]] == [["a", 11, 1]] and job.run(spark.range(32).selectExpr("'a' AS source", "id AS seq")) == []
     assert len(tried) == 11  # 32 before
     assert sorted(sum((t for t in tried if 11 not in t), [])) == [i for i in range(32) if i != 11]
+
+
+def test_more_books_at_the_top_ask_for_fewer_signatures():
+    """One user, 100 genre sets that the user likes alike, in order of their best averages."""
+    users = pa.table({"user_id": [1], "tastes": [[{"genre_id": "g", "raw": 1.0}]], "total": [1.0], "need": pa.array([40], pa.int32())})
+    sets = {"signature": [f"g|{i:02}" for i in range(100)], "best": [5.0 - i / 25 for i in range(100)], "first": list(range(100)), "n": pa.array([20] * 100, pa.int32())}
+    run = signatures._best_cell(0.6, 0.15)
+    one, many = run(users, pa.table(sets)), run(users, pa.table(sets | {"ties": pa.array([20] * 100, pa.int32())}))
+    assert len(one) == 40 and many.column("signature").to_pylist() == ["g|00", "g|01"]  # 2 * 20 books; 40 sets before
+    assert many.column("floor")[0].as_py() <= 0.6 + 0.15 * sets["best"][1] / 5
