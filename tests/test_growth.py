@@ -3,8 +3,10 @@
 import pyarrow as pa
 import pytest
 
-from shelfspark.operators import jobs, personal, signatures, similar
+from shelfspark.operators import common, jobs, personal, signatures, similar
 from shelfspark.plans.jobs import KINDS
+from shelfspark.sources.catalogue import catalogue as opened
+from tests.oracle import SMALL
 from tests.test_jobs import RECORD
 from tests.test_operators import NOW, book, catalogue, rows
 
@@ -116,3 +118,38 @@ def test_more_books_at_the_top_ask_for_fewer_signatures():
     one, many = run(users, pa.table(sets)), run(users, pa.table(sets | {"ties": pa.array([20] * 100, pa.int32())}))
     assert len(one) == 40 and many.column("signature").to_pylist() == ["g|00", "g|01"]  # 2 * 20 books; 40 sets before
     assert many.column("floor")[0].as_py() <= 0.6 + 0.15 * sets["best"][1] / 5
+
+
+def test_personal_tables_are_spread_by_their_rows(spark, monkeypatch):
+    """Tasks of the table of similar users' reads are as many as its rows need, whatever the session's shuffle has."""
+    monkeypatch.setattr(common, "TASK_ROWS", 100)
+    cat = opened(spark, SMALL)
+    found = personal.collaborative(cat)
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reads, out, want = {}, {}, {}
+    for r in cat.bookshelves.collect():
+        if r["status"] in ("read", "reading"):
+            reads.setdefault(r["user_id"], set()).add(r["book_id"])
+        if r["status"] in ("read", "reading", "abandoned"):
+            out.setdefault(r["user_id"], set()).add(r["book_id"])
+    for r in personal.similar_users(cat).collect():
+        for b in reads.get(r["other_id"], set()) - out.get(r["user_id"], set()):
+            want[r["user_id"], b] = want.get((r["user_id"], b), 0) + 1
+    assert {(r["user_id"], r["book_id"]): r["readers"] for r in found.collect()} == want
+
+
+def test_home_finds_similar_users_once(spark, monkeypatch):
+    calls, find = [], personal.similar_users
+    monkeypatch.setattr(personal, "similar_users", lambda *a: calls.append(1) or find(*a))
+    personal.home(opened(spark, SMALL))
+    assert len(calls) == 1
+
+
+def test_genre_scores_of_chunks(spark, monkeypatch):
+    """Users in several chunks; users without rows, rows without users, genres that nobody weighs."""
+    monkeypatch.setattr(signatures, "SCORED_USERS", 2)
+    users = spark.createDataFrame([(u, [("a", 0.5 * u), ("b", 1.0)], 0.5 * u + 1.0) for u in range(1, 8)], "user_id long, tastes array<struct<genre_id: string, raw: double>>, total double")
+    rows = [(u, b, 2, 3, 4.0, s) for u in (1, 2, 3, 5, 9) for b, s in enumerate(("a", "a|b", "b|c", "c"))]
+    got = signatures.genre_scores(spark.createDataFrame(rows, "user_id long, book_id long, readers long, most long, average double, signature string"), users, 7)
+    weigh = lambda u, s: sum({"a": 0.5 * u, "b": 1.0}.get(g, 0.0) for g in s.split("|")) / (0.5 * u + 1.0)
+    assert sorted(map(tuple, got.collect())) == sorted((u, b, n, m, a, weigh(u, s)) for u, b, n, m, a, s in rows if u < 8 and weigh(u, s) > 0)
