@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from shelfspark.operators import common, jobs, personal, signatures, similar
+from shelfspark.operators import common, jobs, personal, sampling, signatures, similar
 from shelfspark.plans.jobs import KINDS
 from shelfspark.sources.catalogue import catalogue as opened
 from tests.oracle import SMALL
@@ -153,3 +153,11 @@ def test_genre_scores_of_chunks(spark, monkeypatch):
     got = signatures.genre_scores(spark.createDataFrame(rows, "user_id long, book_id long, readers long, most long, average double, signature string"), users, 7)
     weigh = lambda u, s: sum({"a": 0.5 * u, "b": 1.0}.get(g, 0.0) for g in s.split("|")) / (0.5 * u + 1.0)
     assert sorted(map(tuple, got.collect())) == sorted((u, b, n, m, a, weigh(u, s)) for u, b, n, m, a, s in rows if u < 8 and weigh(u, s) > 0)
+
+
+def test_packs_are_drawn_in_many_tasks(spark, monkeypatch):
+    """A table of users is a small file, and their draws are not one task's work."""
+    monkeypatch.setattr(sampling, "TASK_USERS", 10)
+    cat = opened(spark, SMALL)
+    assert sampling.packs(cat, 42).rdd.getNumPartitions() == -(-cat.users.count() // 10) > 4
+    assert sampling._dealt_users(cat).count() == cat.users.count()
