@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import exact_dedup, jaccard, mixing, packing, quality
+from shelfspark.llm import exact_dedup, jaccard, mixing, packing, quality, simhash
 from shelfspark.llm.common import shared_dir, table
 
 
@@ -33,9 +33,9 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more) stays, that of
-    the smallest doc_id. Candidates come from MinHash bands, every link is verified on the sets: one SimHash fingerprint
-    of 64 bits doesn't reach 0.8 (README)."""
-    return jaccard.drop_similar_documents(docs)
+    the smallest doc_id. Candidates are the components of SimHash fingerprints at 4 bits or fewer, and pairs of MinHash
+    bands for those that one fingerprint of 64 bits doesn't reach (README); every link is verified on the sets."""
+    return jaccard.drop_similar_documents(docs, near=simhash.near_pairs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

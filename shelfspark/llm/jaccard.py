@@ -10,7 +10,7 @@ shingle sets are compared, so no link is below the similarity asked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -239,12 +239,14 @@ def closer_links(open_rows: DataFrame, bodies: DataFrame, similarity: float, shi
     return with_sets.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(set_link_batches(similarity), "a long, b long")
 
 
-def similar_links(signed: DataFrame, bodies: DataFrame, similarity: float, shingle: int, piece: int = PIECE) -> DataFrame:
-    """Links (a, b) between rows (row_id, minima, keys) of the similarity, enough that linked rows stay connected."""
+def similar_links(signed: DataFrame, bodies: DataFrame, similarity: float, shingle: int, piece: int = PIECE, near: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between rows (row_id, minima, keys) of the similarity, enough that linked rows stay connected. Pairs
+    near (a, b) are candidates, too."""
     emitted = signed.select(F.explode("keys").alias("key"), "row_id")
     buckets = cut(emitted.groupBy("key").agg(F.min("row_id").alias("a"), F.count("*").alias("n")).where("n > 1"))
     shared = cut(emitted.join(buckets, "key").select("key", "a", F.col("row_id").alias("b"), "n"))
-    stars = cut(shared.where("a <> b").select("a", "b").distinct())
+    stars = shared.where("a <> b").select("a", "b")
+    stars = cut((stars if near is None else stars.union(near.select("a", "b"))).distinct())
     links = cut(verified(stars, bodies, similarity, shingle))
     label = components(links).withColumnsRenamed({"node": "b"})
     placed = cut(shared.join(label, "b", "left").select("key", "n", F.col("b").alias("row_id"), F.coalesce("component", "b").alias("component")))
@@ -253,14 +255,14 @@ def similar_links(signed: DataFrame, bodies: DataFrame, similarity: float, shing
     return links.union(cut(closer_links(open_rows, bodies, similarity, shingle, piece)))
 
 
-def _grouped(docs: DataFrame, similarity: float, shingle: int, piece: int, row_id: str | None) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, similarity: float, shingle: int, piece: int, row_id: str | None, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(row_id, doc_id) of all rows, and (row_id, component_id, kept_row) of those that have a partner."""
     if not SLACK < similarity <= 1:
         raise ValueError(f"similarity is above {SLACK} and at most 1")
     bodies = numbered(docs, "doc_id", "text", row_id=row_id).select("row_id", "doc_id", F.col("text").cast("binary").alias("body"))
     signed = cut(bodies.mapInArrow(signature_batches(shingle), "row_id long, doc_id long, minima binary, keys array<long>"))
     rows = signed.select("row_id", "doc_id")
-    label = components(similar_links(signed, bodies, similarity, shingle, piece)).withColumnsRenamed({"node": "row_id"})
+    label = components(similar_links(signed, bodies, similarity, shingle, piece, near)).withColumnsRenamed({"node": "row_id"})
     members = cut(rows.join(label, "row_id"))
     first = members.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("kept_row"))
     # Written first: the join with a hot component is then between two exchanges, which adaptive execution can split.
@@ -280,10 +282,12 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     return rows.join(grouped, "row_id", "left").select("row_id", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), keeps.alias("keeps"))
 
 
-def drop_similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def drop_similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, near: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The rows of docs (doc_id, text, ...) of which each component keeps one, that of the smallest id; all columns as
     they are. Nulls, blanks, long texts and repeats as in similar_documents; an empty table stays empty; columns of any
-    name are passed on."""
+    name are passed on. near takes the rows and the name of their numbers' column, and gives candidates (a, b) that are
+    verified with those of the bands."""
     name = fresh(docs, "__row")
     rows = with_row_id(docs, name)
-    return without_rows(rows, name, _grouped(rows, similarity, shingle, PIECE, name)[1].where("row_id <> kept_row").select("row_id"))
+    pairs = near(rows, name) if near else None
+    return without_rows(rows, name, _grouped(rows, similarity, shingle, PIECE, name, pairs)[1].where("row_id <> kept_row").select("row_id"))

@@ -71,3 +71,31 @@ def test_stages_keep_the_columns(spark, edge_docs, no_docs):
             assert out.count() <= 2 * max(1, docs.count())
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "SimHash near-dedup", "mixing sources to target weights", "packing"]
+
+
+def test_near_dedup_finds_candidates_by_fingerprints(spark, monkeypatch):
+    """With bands that no two rows share, rows whose fingerprints are near are still found, and no others."""
+    import pyarrow as pa
+
+    from shelfspark.llm import jaccard, simhash
+
+    words = [f"word{i}" for i in range(400)]
+    base = " ".join(words)
+    for i in range(400):
+        text = " ".join([*words[:i], "other", *words[i + 1 :]])
+        if 0 < (simhash.fingerprint(text.encode()) ^ simhash.fingerprint(base.encode())).bit_count() <= 4:
+            near = text
+            break
+
+    def apart(shingle):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    keys = [[hash((r, k)) for k in range(jaccard.BANDS)] for r in batch.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([bytes(4 * jaccard.BANDS * jaccard.ROWS)] * batch.num_rows, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["row_id", "doc_id", "minima", "keys"])
+
+        return run
+
+    monkeypatch.setattr(jaccard, "signature_batches", apart)
+    docs = spark.createDataFrame([(1, base), (2, near), (3, "quite another text of some more words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, SMALL).collect()) == [1, 3]
