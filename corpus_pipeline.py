@@ -33,7 +33,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more) stays, that of
-    the smallest doc_id. Candidates are the components of SimHash fingerprints at 4 bits or fewer, and pairs of MinHash
+    the smallest doc_id. Candidates are links of SimHash fingerprints at 4 bits or fewer, and pairs of MinHash
     bands for those that one fingerprint of 64 bits doesn't reach (README); every link is verified on the sets."""
     return jaccard.drop_similar_documents(docs, near=simhash.near_pairs)
 

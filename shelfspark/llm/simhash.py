@@ -225,16 +225,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, row_id: str | None
     """
     if shingle != SHINGLE:
         raise ValueError("fingerprints are of four-word shingles")
-    return _labelled(docs, row_id).select("row_id", "doc_id", "print", "component_id", (F.col("row_id") == F.col("kept_row")).alias("keeps"))
-
-
-def near_pairs(docs: DataFrame, row_id: str) -> DataFrame:
-    """(a, b): the row of each component that stays, and each other row of it, by the numbers of the column row_id."""
-    return _labelled(docs, row_id).where("row_id <> kept_row").select(F.col("kept_row").alias("a"), F.col("row_id").alias("b"))
-
-
-def _labelled(docs: DataFrame, row_id: str | None) -> DataFrame:
-    """(row_id, doc_id, print, component_id, kept_row) of all rows."""
     rows = numbered(docs, "doc_id", "text", row_id=row_id).select("row_id", "doc_id", F.col("text").cast("binary").alias("body"))
     rows = cut(rows.mapInArrow(fingerprint_batches, "row_id long, doc_id long, print long"))
     prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first")))
@@ -244,7 +234,20 @@ def _labelled(docs: DataFrame, row_id: str | None) -> DataFrame:
     # Written first: the join with a hot component is then between two exchanges, which adaptive execution can split.
     named = members.join(broadcast_if_small(ids), "component").select("print", "component_id", "kept_row")
     by_print = cut(prints.join(named, "print", "left").select("print", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("kept_row", "first.row_id").alias("kept_row")))
-    return rows.join(by_print, "print").select("row_id", "doc_id", "print", "component_id", "kept_row")
+    return rows.join(by_print, "print").select("row_id", "doc_id", "print", "component_id", (F.col("row_id") == F.col("kept_row")).alias("keeps"))
+
+
+def near_pairs(docs: DataFrame, row_id: str) -> DataFrame:
+    """Candidates (a, b) of docs (doc_id, text, ...) by the numbers of the column row_id: rows of one fingerprint with the
+    first of them, and first rows of fingerprints at 4 bits or fewer. Not all such pairs, but enough that rows whose
+    fingerprints are linked stay connected."""
+    rows = numbered(docs, "doc_id", "text", row_id=row_id).select("row_id", "doc_id", F.col("text").cast("binary").alias("body"))
+    rows = cut(rows.mapInArrow(fingerprint_batches, "row_id long, doc_id long, print long"))
+    first = broadcast_if_small(rows.groupBy("print").agg(F.min("row_id").alias("first")))
+    same = rows.join(first, "print").where("first <> row_id").select(F.col("first").alias("a"), F.col("row_id").alias("b"))
+    end = lambda name: first.withColumnsRenamed({"print": name, "first": f"row_{name}"})
+    linked = fingerprint_links(first).distinct().join(end("a"), "a").join(end("b"), "b")
+    return same.union(linked.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
