@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.functions.stem import stem as stem_of
+from shelfspark.operators import index as index_module
 from shelfspark.operators import search
 from shelfspark.operators.index import LONG, SearchIndex, asked_keys, term_keys
 from tests.test_operators import book, catalogue
@@ -137,3 +139,18 @@ def test_searches_of_a_catalogue(spark, tmp_path):
     for stem in (False, True):
         assert rows(search.federated(cat, "gren apple", stem=stem, index=index)) == rows(search.federated(cat, "gren apple", stem=stem)) != []
     assert rows(search.search_books(cat, "grün", "de", index=index)) == rows(search.search_books(cat, "grün", "de")) != []
+
+
+def test_terms_are_stemmed_and_keyed_by_several_tasks(spark, monkeypatch):
+    """Terms are few bytes, which adaptive execution puts in one task; only words of letters are stemmed."""
+    monkeypatch.setattr(index_module, "STEMMED_IN_TASK", 50)
+    monkeypatch.setattr(index_module, "KEYED_IN_TASK", 50)
+    words = sorted({f"wor{chr(97 + i % 26)}{chr(97 + i // 26)}king" for i in range(400)})
+    terms = spark.createDataFrame([(w,) for w in [*words, *map(str, range(100))]], "term string").distinct()
+    largest = lambda df, column: max(r["n"] for r in df.select(F.spark_partition_id().alias("p"), column).distinct().groupBy("p").agg(F.count("*").alias("n")).collect())
+    found = index_module.stems(terms)
+    assert sorted(r["term"] for r in found.collect()) == words and all(r["stem"] == stem_of(r["term"]) for r in found.collect())
+    assert largest(found, "term") <= 110
+    keys = index_module.dictionary_rows(terms)
+    assert largest(keys, "term") <= 110
+    assert {r["term"] for r in keys.collect()} == {*words, *map(str, range(100))}
