@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from shelfspark.operators import common, jobs, personal, sampling, signatures, similar
+from shelfspark.plans import imports
 from shelfspark.plans.jobs import KINDS
 from shelfspark.sources.catalogue import catalogue as opened
 from tests.oracle import SMALL
@@ -161,3 +162,13 @@ def test_packs_are_drawn_in_many_tasks(spark, monkeypatch):
     cat = opened(spark, SMALL)
     assert sampling.packs(cat, 42).rdd.getNumPartitions() == -(-cat.users.count() // 10) > 4
     assert sampling._dealt_users(cat).count() == cat.users.count()
+
+
+def test_lines_are_parsed_once_and_by_several_tasks(spark, monkeypatch):
+    """A file of few bytes and many rows isn't one task's; editions aren't parsed once for the best and once for ISBNs."""
+    cat = opened(spark, SMALL)
+    monkeypatch.setattr(common, "LINE_ROWS", 50)
+    assert imports.work_lines(cat).rdd.getNumPartitions() == -(-cat.table("part").count() // 50) > 1
+    assert imports.author_lines(cat).rdd.getNumPartitions() == max(1, -(-cat.table("supplier").count() // 50))
+    plan = imports.imported_editions(cat)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # editions and works, each once
