@@ -119,9 +119,11 @@ SMALL_ROWS, SMALL_IDS = 100_000, 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, written out and counted: marked for broadcast with `rows` rows or fewer, else left to a shuffled join."""
+    """df, written out and counted: marked for broadcast with `rows` rows or fewer, else left to a shuffled join. What is
+    written is counted by a task for each core, however many tasks wrote it."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    few = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    return F.broadcast(df) if few.limit(rows + 1).count() <= rows else df
 
 
 def drawn(df: DataFrame, name: str, share: float) -> DataFrame:

@@ -139,3 +139,18 @@ def test_a_large_group_of_near_copies(spark, tmp_path):
     found = simhash.near_duplicates(spark.read.parquet(path))
     assert found.where("doc_id % 3 = 0").select("component_id").distinct().count() == 1
     assert found.where("doc_id % 3 <> 0 and component_id = doc_id").count() == 600
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """However many partitions shuffles have: each task leaves files, of which rounds over few edges left more than data."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 41)], "a long, b long"))
+        assert {r["node"]: r["component"] for r in found.collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 41: 40}
+        assert found.rdd.getNumPartitions() <= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
