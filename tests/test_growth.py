@@ -172,3 +172,37 @@ def test_lines_are_parsed_once_and_by_several_tasks(spark, monkeypatch):
     assert imports.author_lines(cat).rdd.getNumPartitions() == max(1, -(-cat.table("supplier").count() // 50))
     plan = imports.imported_editions(cat)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 2  # editions and works, each once
+
+
+def test_lines_and_orders_meet_once_for_books_and_shelves(spark):
+    """q21_other_facets: books, ratings and shelves come from one join of lines and orders, and one pass sums them by book."""
+    from shelfspark.plans import queries
+    from shelfspark.sources.catalogue import catalogue, release
+    from tests.oracle import SMALL
+
+    release(spark, SMALL)
+    cat = catalogue(spark, SMALL)
+    queries.QUERIES["q21_other_facets"](spark, SMALL)
+    assert cat.purchases.storageLevel.useMemory and cat.book_sums.storageLevel.useMemory
+
+
+def test_dimension_lists_share_one_pass(spark):
+    """l21_refresh: the sums of all dimensions and the readers of all books are made once for all lists."""
+    from shelfspark.operators import lists
+    from shelfspark.sources.catalogue import catalogue
+    from tests.oracle import SMALL
+
+    cat = catalogue(spark, SMALL)
+    assert lists.dimension_sums(cat) is lists.dimension_sums(cat) and cat.app_readers.storageLevel.useDisk
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """q05_bm25: a text's words are counted where it is read; no table of all words and documents is shuffled or held."""
+    from shelfspark.operators.index import plain_postings
+
+    rows = [("f", "1", "b a b c A b"), ("f", "2", None), ("g", "1", ""), ("g", "3", "x"), ("f", "4", "z z z")]
+    found = plain_postings(spark.createDataFrame(rows, "field string, doc string, text string"))
+    want = {("a", "f", "1", 6, 2), ("b", "f", "1", 6, 3), ("c", "f", "1", 6, 1), ("x", "g", "3", 1, 1), ("z", "f", "4", 3, 3)}
+    assert sorted(map(tuple, found.select("term", "field", "doc", "length", "tf").collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
