@@ -83,3 +83,51 @@ def test_only_the_best_leave_the_cells_of_for_you(spark, monkeypatch):
     personal.for_you(cat, 5)
     personal.readers_like_you(cat, 5)
     assert max(met) <= 10
+
+
+def test_authors_of_one_set_of_genres_are_compared_once(spark, monkeypatch):
+    """c05_authors_by_genre: against all pairs, for sources that are among the candidates and that aren't; targets in slices.
+    What is compared are sets of genres; each author met every other one before."""
+    from shelfspark.operators import similar
+    from tests.test_operators import book, catalogue
+
+    met, top = [], signatures.top_shared
+    monkeypatch.setattr(signatures, "top_shared", lambda *a, **k: met.append((out := top(*a, **k)).count()) or out)
+    monkeypatch.setattr(similar, "CANDIDATES", 6)
+    n, kinds = 60, ["abc", "abd", "ae", "bcde"]
+    books = [book(i, ol_rating_count=600 if i % 5 else 1, language="de" if i % 7 == 0 else "en") for i in range(1, n + 1)]
+    genres = {i: sorted(kinds[i % 4]) for i in range(1, n + 1)}
+    cat = catalogue(spark, books, [])
+    cat.book_authors = spark.createDataFrame([(i, 1 + i // 2) for i in genres], "book_id long, author_id long")
+    cat.book_genres = spark.createDataFrame([(i, g) for i, gs in genres.items() for g in gs], "book_id long, genre_id string")
+    every, english, count = {}, {}, {}
+    for b in books:
+        author = 1 + b["book_id"] // 2
+        every.setdefault(author, set()).update(genres[b["book_id"]])
+        if b["language"] == "en":
+            english.setdefault(author, set()).update(genres[b["book_id"]])
+            count[author] = count.get(author, 0) + 1
+    want = []
+    for (source,) in similar.eligible_authors(cat).collect():
+        near = sorted((-len(every[source] & english[t]), t) for t in english if t != source and len(every[source] & english[t]) >= 2)[:6]
+        best = sorted(((s / (len(every[source]) + len(every[t]) + s), -count[t], t) for s, t in near))[:3]
+        want += [(source, rank, t, round(-score, 6)) for rank, (score, _, t) in enumerate(best, 1)]
+    assert sorted(map(tuple, similar.authors_by_genre(cat, 3).collect())) == sorted(want) != []
+    assert met[0] <= 7 * len({frozenset(g) for g in every.values()}) < 60  # some 30 * 6 before
+
+
+def test_shared_genres_in_slices(spark, monkeypatch):
+    """Many targets with ties: slices, thresholds and groups of genres don't change what a cell passes on."""
+    rng = np.random.default_rng(4)
+    sets = lambda n, key: pa.table({key: rng.permutation(n), "genres": [[f"g{g}" for g in rng.permutation(30)[: rng.integers(0, 20)]] for _ in range(n)]})
+    left, right = sets(40, "source_id"), sets(700, "target_id")
+    whole = signatures._shared_cell(2, 11, True)(left, right).to_pylist()
+    of = dict(zip(right.column("target_id").to_pylist(), map(set, right.column("genres").to_pylist())))
+    want = []
+    for s, genres in zip(left.column("source_id").to_pylist(), left.column("genres").to_pylist()):
+        want += [{"source_id": s, "target_id": t, "shared": -n} for n, t in sorted((-len(of[t] & set(genres)), t) for t in of if t != s and len(of[t] & set(genres)) >= 2)[:11]]
+    key = lambda r: tuple(r.values())
+    assert sorted(whole, key=key) == sorted(want, key=key)
+    monkeypatch.setattr(signatures, "SLICE", 64)
+    monkeypatch.setattr(signatures, "SCORED_USERS", 7)
+    assert sorted(signatures._shared_cell(2, 11, True)(left, right).to_pylist(), key=key) == sorted(want, key=key)
