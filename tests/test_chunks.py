@@ -131,3 +131,20 @@ def test_shared_genres_in_slices(spark, monkeypatch):
     monkeypatch.setattr(signatures, "SLICE", 64)
     monkeypatch.setattr(signatures, "SCORED_USERS", 7)
     assert sorted(signatures._shared_cell(2, 11, True)(left, right).to_pylist(), key=key) == sorted(want, key=key)
+
+
+def test_sections_of_home_by_lists_and_in_tasks_by_rows(spark, monkeypatch):
+    """p17_home: books of favourite authors against all pairs; what few bytes hold isn't one task's; who has read what is
+    gathered once."""
+    from shelfspark.operators import common
+
+    cat = opened(spark, SMALL)
+    theirs = P.authors_read(cat).join(cat.book_authors, "author_id").select("user_id", "book_id").distinct()
+    left = theirs.join(P.excluded(cat), ["user_id", "book_id"], "left_anti").join(personal._shown(cat, F.col("avg_rating").alias("score")), "book_id")
+    want = personal.ranked(left, 20, F.desc_nulls_last("score"))
+    found = personal.from_favorite_authors(cat)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert personal._gone(cat) is personal._gone(cat)
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    assert common.spread(spark.range(20), 30, "id").rdd.getNumPartitions() == 3  # 4, and then 1, before
